@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a reliable checkpoint and drop its lineage.
+    """Write ``df`` as a table in the shared folder and return that table.
 
-    The files go to the folder that the session names in
-    ``spark.checkpoint.dir``; only a session without that setting, as in
-    tests, gets a temporary folder. A lost executor loses nothing.
+    The folder is the one that the session names in ``spark.checkpoint.dir``,
+    below it one for each application; only a session without that setting, as
+    in tests, gets a temporary folder. A lost executor loses nothing, and the
+    table brings its true size, where a plan that joins its own earlier result
+    again and again would only multiply estimates. Remove the application's
+    folder when its results are no longer read.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _local()
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_made: list[str] = []
+
+
+def _local() -> str:
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="lineage-"))
+    return _made[0]
