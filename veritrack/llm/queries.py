@@ -13,6 +13,7 @@ from veritrack.llm.near_dup import minhash_near_duplicates
 from veritrack.llm.quality_knn import fit_quality, score_quality
 from veritrack.llm.quality_rules import apply_rules, fit_rules
 from veritrack.llm.token_counts import count_tokens, read_vocabulary
+from veritrack.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, fit_languages(docs))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +54,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_neighbours": op3_quality_neighbours,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
