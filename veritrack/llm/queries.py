@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritrack.llm.bpe import encode_and_decode, token_digests
+from veritrack.llm.embedding_dedup import embedding_near_duplicates
 from veritrack.llm.language import fit_languages, identify_languages
+from veritrack.llm.mixing import mix_sources
 from veritrack.llm.near_dup import minhash_near_duplicates
 from veritrack.llm.quality_knn import fit_quality, score_quality
 from veritrack.llm.quality_rules import apply_rules, fit_rules
+from veritrack.llm.quotes import link_quotes
 from veritrack.llm.token_counts import count_tokens, read_vocabulary
 from veritrack.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -39,6 +43,10 @@ def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
@@ -47,19 +55,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "n_tokens", "topic", F.round("chance", 6).alias("chance"), "sampled")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_quality_neighbours": op3_quality_neighbours,
+    "op4_quote_linking": op4_quote_linking,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
