@@ -5,11 +5,12 @@ come from one-permutation hashing with optimal densification: the top bits of a
 shingle's hash choose one of ``BINS`` bins, the least hash in a bin is its
 value, and each empty bin takes the value of a bin that a universal hash picks
 by trial, the same trials for every document. ``ROWS`` consecutive bins make a
-band. In each bucket of a band one member, picked by a hash that changes with
-the band, is the centre of a star of candidate edges, so a bucket of n members
-gives n - 1 pairs. Pairs whose sketches agree well enough are confirmed on the
-full sets. Members that their centre did not reach meet again under another
-centre until a round adds no link.
+band. In each bucket of a band the member of least hash is the centre of a star
+of candidate edges, so a bucket of n members gives n - 1 pairs. Pairs whose
+sketches agree well enough are confirmed on the full sets: first each member
+with the centre that it meets in most buckets, then what is still apart.
+Members that their centre did not reach meet again under another centre, by
+another hash, until a round adds no link.
 """
 
 from __future__ import annotations
@@ -105,21 +106,35 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """Edges ``(a, b)`` from each bucket's centre to its other members; ``members`` has ``(bucket, doc_id)``."""
+    """``(bucket, doc_id, centre)`` for each bucket's members but its centre; ``members`` has ``(bucket, doc_id)``."""
     centre = (members.groupBy("bucket")
-              .agg(F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)), "doc_id")).alias("c"), F.count("*").alias("n"))
+              .agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")).alias("c"), F.count("*").alias("n"))
               .where("n > 1").select("bucket", F.col("c.doc_id").alias("centre")))
-    return members.join(centre, "bucket").where("doc_id <> centre")
+    return members.join(centre.hint("merge"), "bucket").where("doc_id <> centre").select("bucket", "doc_id", "centre")
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches and then whose full sets agree."""
     side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"sketch_{s}"))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-                .mapInArrow(_agreeing, "a long, b long"))
-    involved = cut(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    text = lambda s: involved.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    return cut(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-               .mapInArrow(_confirmed, "a long, b long"))
+    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long"))
+    return cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"))
+
+
+def _named(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """Replaces documents by the least of their component so far."""
+    for c in columns:
+        known = labels.select(F.col("doc_id").alias(c), F.col("component").alias("_to"))
+        rows = rows.join(known, c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return rows
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after ``links`` are added to those of ``labels(doc_id, component)``."""
+    joined = connected_components(_named(links, labels, "a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = labels.join(joined, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
+    fresh = joined.select(F.col("component").alias("doc_id"), F.col("to").alias("component")).join(labels, "doc_id", "left_anti")
+    return cut(moved.union(fresh))
 
 
 def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,25 +152,31 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = (sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id")))
     heads = cut(sketches.join(classes, [sketches["print"] == classes["print"], sketches["doc_id"] == classes["class_id"]], "left_semi")
                 .dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch"))
-    members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
-    links, labels, open_members, turn = None, None, members, 0
+    open_members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
+    labels = docs.sparkSession.createDataFrame([], "doc_id long, component long")
+    texts, turn = None, 0
     while True:
-        star = cut(_stars(open_members, turn).select("bucket", "doc_id", "centre"))
-        pairs = star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        if labels is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        found = _confirm(pairs, heads, docs)
-        if found.isEmpty():
+        star = cut(_stars(open_members, turn))
+        pairs = cut(star.groupBy("doc_id", "centre").agg(F.count("*").alias("shared")))
+        if texts is None:
+            met = pairs.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
+            texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        ends = [F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")]
+        best = pairs.groupBy("doc_id").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre")).select(*ends).distinct()
+        found = _confirm(best, heads, texts)
+        added = not found.isEmpty()
+        if added:
+            labels = _merge(labels, found)
+        apart = _named(pairs.select(*ends, *[e.alias(f"{c}_in") for c, e in zip("ab", ends, strict=True)]).join(best, ["a", "b"], "left_anti"), labels, "a_in", "b_in")
+        found = _confirm(apart.where("a_in <> b_in").select("a", "b").distinct(), heads, texts)
+        if not found.isEmpty():
+            labels, added = _merge(labels, found), True
+        if not added:
             break
-        links = found if links is None else cut(links.union(found))
-        labels = connected_components(links)
-        known = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        open_members = cut(star.join(known("doc_id"), "doc_id", "left").join(known("centre"), "centre", "left")
-                           .where("coalesce(doc_id_in, doc_id) <> coalesce(centre_in, centre)").select("bucket", "doc_id"))
+        both = star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre")
+        open_members = cut(_named(both, labels, "doc_in", "centre").where("doc_in <> centre").select("bucket", "doc_id"))
         turn += 1
-    if labels is None:
-        labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    named = classes.join(labels, F.col("class_id") == F.col("node"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
+    named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
