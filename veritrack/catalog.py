@@ -1,6 +1,597 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the position domain and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veritrack.functions.geo import haversine, nearest_of
+from veritrack.functions.timeutil import HOUR_US, with_runs
+from veritrack.operators import calibrate, cluster, dwell, match, relink, score, screen, trajectory, window_run
+from veritrack.sources import adapters as src
+from veritrack.sources import files
+from veritrack.streaming import twins
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    return f"(2*6371.0088::double*asin(least(1.0::double, sqrt(pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2)))))"
+
+
+BASE = """WITH e AS (SELECT event_id, user_id, event_type, ts, epoch_us(ts) us, epoch_us(ts)//3600000000 h FROM events),
+e2 AS (SELECT *, 2550 + ((user_id*7919)%1000)*120//1000 + CASE WHEN user_id%10=0 THEN 0 ELSE 30*abs((user_id*37+h)%96-48)//48 END lat_c,
+ 5550 + ((user_id*104729)%1000)*160//1000 + CASE WHEN user_id%10=0 THEN 0 ELSE 40*abs((user_id*53+h)%96-48)//48 END lon_c FROM e),
+ais AS (SELECT event_id, user_id mmsi, h*3600000000 t, h AS hour, (lat_c + CASE WHEN event_type='error' AND event_id%11=0 THEN 80 ELSE 0 END)::double/100 lat, lon_c::double/100 lon,
+ CASE WHEN user_id%7=0 THEN 'FISHING' WHEN user_id%5=0 THEN 'OTHER' WHEN user_id%3=0 THEN 'TANKER' ELSE 'CARGO' END vessel_type,
+ CASE WHEN user_id%10=5 THEN concat('NET BUOY ', user_id) ELSE concat('VESSEL ', user_id) END ship_name FROM e2 WHERE event_type<>'view'),
+sar AS (SELECT event_id sar_id, us t, h AS hour, CASE WHEN event_id%5=0 THEN NULL ELSE user_id END mmsi,
+ (lat_c*20 + (event_id*31)%41-20 + CASE WHEN event_id%13=0 THEN 600 ELSE 0 END)::double/2000 lat, (lon_c*20 + (event_id*17)%41-20)::double/2000 lon FROM e2 WHERE event_type='view')"""
+
+TRACK = """, pts AS (SELECT mmsi, t, lat, lon, row_number() OVER (PARTITION BY mmsi, t ORDER BY lat, lon) r1, row_number() OVER (PARTITION BY mmsi, t ORDER BY lat DESC, lon DESC) r2 FROM ais),
+p1 AS (SELECT mmsi, t, lat, lon FROM pts WHERE r1=1), p2 AS (SELECT mmsi, t, lat, lon FROM pts WHERE r2=1),
+bef AS (SELECT s.sar_id, p.t bt, p.lat bla, p.lon blo FROM sar s ASOF JOIN p2 p ON s.mmsi=p.mmsi AND s.t>=p.t),
+aft AS (SELECT s.sar_id, p.t at_, p.lat ala, p.lon alo FROM sar s ASOF JOIN p1 p ON s.mmsi=p.mmsi AND s.t<=p.t),
+own AS (SELECT s.sar_id, CASE WHEN at_=s.t THEN ala ELSE bla+(s.t-bt)/(at_-bt)*(ala-bla) END ais_lat, CASE WHEN at_=s.t THEN alo ELSE blo+(s.t-bt)/(at_-bt)*(alo-blo) END ais_lon,
+ CASE WHEN at_=s.t THEN 0.0 ELSE least(s.t-bt, at_-s.t)/1e6 END::double gap_s FROM sar s JOIN bef USING (sar_id) JOIN aft USING (sar_id))"""
+
+NEAR = f""", cand AS (SELECT s.sar_id, {hav('s.lat', 's.lon', 'a.lat', 'a.lon')} km, a.mmsi, a.lat, a.lon FROM sar s JOIN ais a USING (hour)),
+near AS (SELECT sar_id, km near_km, mmsi near_mmsi, n candidates FROM (SELECT *, count(*) OVER (PARTITION BY sar_id) n, row_number() OVER (PARTITION BY sar_id ORDER BY km, mmsi, lat, lon) r FROM cand) WHERE r=1)"""
+
+CLS = TRACK + NEAR + f""", cls AS (SELECT s.sar_id, s.t, s.hour, s.lat, s.lon, s.mmsi, CASE WHEN o.gap_s IS NOT NULL THEN s.mmsi ELSE n.near_mmsi END matched_mmsi,
+ CASE WHEN o.gap_s IS NOT NULL THEN {hav('s.lat', 's.lon', 'o.ais_lat', 'o.ais_lon')} ELSE n.near_km END distance_km, o.gap_s time_gap_seconds FROM sar s LEFT JOIN own o USING (sar_id) LEFT JOIN near n USING (sar_id)),
+clf AS (SELECT *, CASE WHEN distance_km IS NULL THEN 'no_ais_activity' WHEN distance_km<=1.5 THEN 'matched' WHEN distance_km<=20 THEN 'discrepant' ELSE 'likely_spoofed' END classification FROM cls)"""
+
+STEP = f""", st AS (SELECT *, lag(t) OVER w t0, lag(lat) OVER w y0, lag(lon) OVER w x0, lag(t,2) OVER w t00, lag(lat,2) OVER w y00, lag(lon,2) OVER w x00 FROM ais WINDOW w AS (PARTITION BY mmsi ORDER BY t, lat, lon, event_id)),
+sp AS (SELECT *, {hav('y0', 'x0', 'lat', 'lon')} step_km, (t-t0)/3.6e9 AS hours FROM st WHERE t0 IS NOT NULL)"""
+
+TRIPLE = STEP + f""", tr0 AS (SELECT *, (t0-t00)/3.6e9 gap01, (t-t0)/3.6e9 gap12, {hav('y00', 'x00', 'y0', 'x0')} moved,
+ degrees(atan2(sin(radians(x0-x00))*cos(radians(y0)), cos(radians(y00))*sin(radians(y0))-sin(radians(y00))*cos(radians(y0))*cos(radians(x0-x00)))) brg FROM st WHERE t00 IS NOT NULL AND t0>t00 AND t>t0),
+tr1 AS (SELECT *, moved/gap01 speed_kmh, moved/gap01*gap12/6371.0088 d FROM tr0),
+tr2 AS (SELECT *, greatest(-1.0, least(1.0, sin(radians(y0))*cos(d)+cos(radians(y0))*sin(d)*cos(radians(brg)))) s FROM tr1),
+tr3 AS (SELECT *, CASE WHEN moved=0 THEN y0 ELSE degrees(asin(s)) END ply, CASE WHEN moved=0 THEN x0 ELSE x0+degrees(atan2(sin(radians(brg))*sin(d)*cos(radians(y0)), cos(d)-sin(radians(y0))*s)) END plx FROM tr2),
+tri AS (SELECT *, {hav('ply', 'plx', 'lat', 'lon')} deviation_km FROM tr3),
+trc AS (SELECT *, CASE WHEN deviation_km<=5*sqrt(gap12) THEN 'normal' WHEN deviation_km<=25*sqrt(gap12) THEN 'notable' ELSE 'high' END tier FROM tri)"""
+
+ANOM = CLS + TRIPLE + """, an AS (SELECT coalesce(matched_mmsi, mmsi) vessel, t, lat, lon, 'likely_spoofed' source FROM clf WHERE classification='likely_spoofed' AND coalesce(matched_mmsi, mmsi) IS NOT NULL
+ UNION ALL SELECT mmsi, t, lat, lon, 'traj_deviation_'||tier FROM trc WHERE tier<>'normal'),
+ar AS (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY vessel ORDER BY t, lat, lon, source) <= 10800000000 THEN 0 ELSE 1 END nw FROM an),
+ru AS (SELECT *, sum(nw) OVER (PARTITION BY vessel ORDER BY t, lat, lon, source ROWS UNBOUNDED PRECEDING)::bigint run FROM ar),
+ep AS (SELECT vessel, run, avg(lat) lat, avg(lon) lon, min(t) t_start, max(t) t_end, count(*) n_pings, string_agg(DISTINCT source, ';' ORDER BY source) sources, min(t)+(max(t)-min(t))//2 t, vessel||'-'||run episode_id FROM ru GROUP BY 1,2)"""
+
+
+def _ais(s, d):
+    return src.ais_presence(s, d)
+
+
+def _sar(s, d):
+    return src.sar_detection(s, d)
+
+
+def _classified(s, d):
+    return match.match_and_classify(_sar(s, d), _ais(s, d))
+
+
+def _triples(s, d):
+    return trajectory.predict_triples(_ais(s, d))
+
+
+def _episodes(s, d):
+    return cluster.episodes(cluster.anomalies(_classified(s, d), _triples(s, d)))
+
+
+def _identity(s, d):
+    return _classified(s, d).where("time_gap_seconds is not null").select("sar_id", "distance_km")
+
+
+# matching
+
+
+@query(BASE + TRACK + " SELECT sar_id, round(ais_lat,6) ais_lat, round(ais_lon,6) ais_lon, round(gap_s,3) gap_s FROM own")
+def J_01_interpolation(s, d):
+    return match.interpolate(_sar(s, d), _ais(s, d)).select("sar_id", *[F.round(c, n).alias(c) for c, n in (("ais_lat", 6), ("ais_lon", 6), ("gap_s", 3))])
+
+
+@query(BASE + CLS + " SELECT sar_id, matched_mmsi, round(distance_km,6) distance_km, round(time_gap_seconds,3) time_gap_seconds, classification FROM clf")
+def J_02_match_classify(s, d):
+    return _classified(s, d).select("sar_id", "matched_mmsi", F.round("distance_km", 6).alias("distance_km"), F.round("time_gap_seconds", 3).alias("time_gap_seconds"), "classification")
+
+
+@query(BASE + NEAR + " SELECT sar_id, round(near_km,6) near_km, near_mmsi, candidates FROM near JOIN sar USING (sar_id) WHERE mmsi IS NULL")
+def J_03_unbounded_nearest(s, d):
+    return match.nearest_in_hour(_sar(s, d).where("mmsi is null"), _ais(s, d)).select("sar_id", F.round("near_km", 6).alias("near_km"), "near_mmsi", "candidates")
+
+
+@query(BASE + NEAR + " SELECT sum((near_km>4.5)::int)::bigint over_4_5, sum((near_km>20)::int)::bigint over_20, sum((near_km>50)::int)::bigint over_50, sum((near_km>100)::int)::bigint over_100 FROM near JOIN sar USING (sar_id) WHERE mmsi IS NULL")
+def A_27_exceedance(s, d):
+    return match.nearest_in_hour(_sar(s, d).where("mmsi is null"), _ais(s, d)).agg(*[F.count_if(F.col("near_km") > k).alias(f"over_{k:g}".replace(".", "_")) for k in (4.5, 20.0, 50.0, 100.0)])
+
+
+@query(BASE + TRACK + """ SELECT sar_id, round(CASE WHEN at_ IS NULL OR s.t-bt<=at_-s.t THEN (CASE WHEN bt IS NULL THEN ala ELSE (SELECT lat FROM p1 WHERE p1.mmsi=s.mmsi AND p1.t=bt) END) ELSE ala END,6) ais_lat,
+ round(CASE WHEN bt IS NULL THEN at_-s.t WHEN at_ IS NULL THEN s.t-bt ELSE least(s.t-bt, at_-s.t) END/6e7,6) AS minutes FROM sar s LEFT JOIN bef USING (sar_id) LEFT JOIN aft USING (sar_id) WHERE s.mmsi IS NOT NULL AND (bt IS NOT NULL OR at_ IS NOT NULL)""".replace("WHEN at_ IS NULL OR s.t-bt<=at_-s.t", "WHEN bt IS NOT NULL AND (at_ IS NULL OR s.t-bt<=at_-s.t)"))
+def J_15_nearest_in_time(s, d):
+    return match.nearest_in_time(_sar(s, d), _ais(s, d)).select("sar_id", F.round("ais_lat", 6).alias("ais_lat"), F.round("minutes", 6).alias("minutes"))
+
+
+@query(BASE + CLS + " SELECT classification, count(*) n, round(100.0*count(*)/sum(count(*)) OVER (), 6)::double pct FROM clf GROUP BY 1")
+def A_01_class_share(s, d):
+    n = _classified(s, d).groupBy("classification").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("classification", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
+
+
+@query(BASE + CLS + " SELECT (time_gap_seconds IS NOT NULL) identity_path, sum((classification='matched')::int)::bigint matched, sum((classification='discrepant')::int)::bigint discrepant, sum((classification='likely_spoofed')::int)::bigint likely_spoofed, sum((classification='no_ais_activity')::int)::bigint no_ais_activity FROM clf GROUP BY 1")
+def A_02_class_pivot(s, d):
+    kinds = ["matched", "discrepant", "likely_spoofed", "no_ais_activity"]
+    return _classified(s, d).groupBy(F.col("time_gap_seconds").isNotNull().alias("identity_path")).pivot("classification", kinds).count().na.fill(0, kinds)
+
+
+@query(BASE + CLS + " SELECT coalesce(classification,'TOTAL') classification, count(*) n, sum((time_gap_seconds IS NOT NULL)::int)::bigint identity FROM clf GROUP BY ROLLUP(clf.classification)")
+def A_03_crosstab_total(s, d):
+    r = _classified(s, d).rollup("classification").agg(F.count("*").alias("n"), F.count_if(F.col("time_gap_seconds").isNotNull()).alias("identity"))
+    return r.select(F.coalesce("classification", F.lit("TOTAL")).alias("classification"), "n", "identity")
+
+
+@query(BASE + CLS + " SELECT floor(distance_km/2)::bigint bin, count(*) n FROM clf WHERE distance_km IS NOT NULL GROUP BY 1")
+def A_24_distance_histogram(s, d):
+    return _classified(s, d).where("distance_km is not null").groupBy(F.floor(F.col("distance_km") / 2).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(BASE + CLS + " SELECT classification, count(*) n, round(avg(distance_km),6) mean_km, round(stddev_samp(distance_km),6) std_km, round(quantile_cont(distance_km,0.5),6) p50, round(quantile_cont(distance_km,0.95),6) p95 FROM clf GROUP BY 1")
+def A_25_distance_stats(s, d):
+    return _classified(s, d).groupBy("classification").agg(F.count("*").alias("n"), F.round(F.avg("distance_km"), 6).alias("mean_km"), F.round(F.stddev_samp("distance_km"), 6).alias("std_km"), *[F.round(F.percentile("distance_km", F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))])
+
+
+@query(BASE + CLS + " SELECT hour//24 AS day, classification, count(*) n FROM clf GROUP BY 1,2")
+def A_26_by_date(s, d):
+    return _classified(s, d).groupBy(F.expr("hour div 24").alias("day"), "classification").agg(F.count("*").alias("n"))
+
+
+@query(BASE + CLS + " SELECT sar_id, coalesce(classification='likely_spoofed' OR distance_km>20, false) spoofed FROM clf")
+def P_06_spoof_predicate(s, d):
+    return _classified(s, d).select("sar_id", F.coalesce((F.col("classification") == "likely_spoofed") | (F.col("distance_km") > 20), F.lit(False)).alias("spoofed"))
+
+
+@query(BASE + " SELECT event_id FROM ais WHERE vessel_type IN ('CARGO','OTHER') AND NOT (vessel_type='OTHER' AND regexp_matches(ship_name, '(?i)fish|net|buoy'))")
+def P_02_merchant_filter(s, d):
+    return _ais(s, d).where(F.col("vessel_type").isin("CARGO", "OTHER") & ~((F.col("vessel_type") == "OTHER") & F.coalesce(F.col("ship_name").rlike("(?i)fish|net|buoy"), F.lit(False)))).select("event_id")
+
+
+@query(BASE + " SELECT count(*) n FROM ais WHERE mmsi IS NOT NULL AND lat IS NOT NULL AND lon BETWEEN 55.75 AND 56.75 AND lat BETWEEN 25.75 AND 26.75")
+def P_01_P_07_bbox(s, d):
+    return _ais(s, d).na.drop(subset=["mmsi", "lat", "lon"]).where(F.col("lat").between(25.75, 26.75) & F.col("lon").between(55.75, 56.75)).agg(F.count("*").alias("n"))
+
+
+@query(BASE + " SELECT mmsi, event_id FROM (SELECT *, max(t) OVER (PARTITION BY mmsi) m FROM ais) WHERE t >= m-48*3600000000")
+def P_12_last_hours(s, d):
+    last = _ais(s, d).groupBy("mmsi").agg(F.max("t").alias("m"))
+    return _ais(s, d).join(last, "mmsi").where(F.col("t") >= F.col("m") - 48 * HOUR_US).select("mmsi", "event_id")
+
+
+@query(BASE + " SELECT mmsi, event_id FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t, event_id)-1 r, ceil(count(*) OVER (PARTITION BY mmsi)/16.0)::bigint stride FROM ais) WHERE r%stride=0")
+def P_13_downsample(s, d):
+    w = Window.partitionBy("mmsi")
+    return _ais(s, d).withColumn("r", F.row_number().over(w.orderBy("t", "event_id")) - 1).withColumn("stride", F.ceil(F.count("*").over(w) / 16)).where("r % stride = 0").select("mmsi", "event_id")
+
+
+@query(BASE + " SELECT DISTINCT mmsi, ship_name FROM ais WHERE ship_name ILIKE '%buoy%' OR mmsi::varchar LIKE '%12%'")
+def P_14_search(s, d):
+    return _ais(s, d).where(F.col("ship_name").ilike("%buoy%") | F.col("mmsi").cast("string").contains("12")).select("mmsi", "ship_name").distinct()
+
+
+# screening
+
+
+@query(BASE + f" SELECT s.sar_id, a.event_id IS NOT NULL has_row, count(*) n, round(min({hav('s.lat', 's.lon', 'a.lat', 'a.lon')}),6) km FROM sar s JOIN ais a ON s.mmsi=a.mmsi AND abs(s.t-a.t)<=7200000000 GROUP BY 1,2")
+def J_04_own_window(s, d):
+    return screen.own_window(_sar(s, d), _ais(s, d)).groupBy("sar_id").agg(F.count("*").alias("n"), F.round(F.min("km"), 6).alias("km")).withColumn("has_row", F.lit(True))
+
+
+BRK = f""", ow AS (SELECT s.sar_id, count(*) n_own, min({hav('s.lat', 's.lon', 'a.lat', 'a.lon')}) own_km, bool_or(a.t<s.t) AND bool_or(a.t>s.t) br FROM sar s JOIN ais a ON s.mmsi=a.mmsi AND abs(s.t-a.t)<=7200000000 GROUP BY 1),
+brk AS (SELECT s.sar_id, coalesce(n_own,0) n_own, own_km, coalesce(br,false) brackets, CASE WHEN n_own IS NULL THEN 'unsupported' WHEN br AND own_km>15 THEN 'elsewhere' ELSE 'consistent' END bracket_status FROM sar s LEFT JOIN ow USING (sar_id) WHERE s.mmsi IS NOT NULL)"""
+ALT = f""", alt AS (SELECT sar_id, best_alt_mmsi, best_alt_km FROM (SELECT s.sar_id, a.mmsi best_alt_mmsi, {hav('s.lat', 's.lon', 'a.lat', 'a.lon')} best_alt_km, row_number() OVER (PARTITION BY s.sar_id ORDER BY {hav('s.lat', 's.lon', 'a.lat', 'a.lon')}, a.mmsi) r FROM sar s JOIN ais a ON a.mmsi<>s.mmsi AND a.hour BETWEEN s.hour-1 AND s.hour+1 AND abs(s.t-a.t)<=3600000000) WHERE r=1)"""
+
+
+@query(BASE + BRK + " SELECT sar_id, n_own, round(own_km,6) own_km, brackets, bracket_status FROM brk")
+def J_05_bracket(s, d):
+    return screen.bracket(_sar(s, d), _ais(s, d)).withColumn("own_km", F.round("own_km", 6))
+
+
+@query(BASE + ALT + " SELECT sar_id, best_alt_mmsi, round(best_alt_km,6) best_alt_km FROM alt")
+def J_06_alternatives(s, d):
+    return screen.alternatives(_sar(s, d), _ais(s, d)).withColumn("best_alt_km", F.round("best_alt_km", 6))
+
+
+KEEP = BRK + ALT + """, kp AS (SELECT c.sar_id, distance_km, CASE WHEN distance_km>10 THEN bracket_status ELSE 'not_screened' END bracket_status, distance_km>10 AND coalesce(best_alt_km<=5 AND best_alt_km<=0.5*distance_km, false) better_alt_exists FROM clf c LEFT JOIN brk USING (sar_id) LEFT JOIN alt USING (sar_id) WHERE time_gap_seconds IS NOT NULL),
+kept AS (SELECT *, NOT (bracket_status='elsewhere' OR better_alt_exists OR (bracket_status='unsupported' AND distance_km>25)) keep FROM kp)"""
+
+
+@query(BASE + CLS + KEEP + " SELECT sar_id, round(distance_km,6) distance_km, bracket_status, better_alt_exists, keep FROM kept")
+def K_23_keep_rule(s, d):
+    return screen.keep_links(_identity(s, d), _sar(s, d), _ais(s, d)).withColumn("distance_km", F.round("distance_km", 6))
+
+
+# trajectories
+
+
+@query(BASE + TRIPLE + " SELECT event_id, mmsi, round(gap12,6) gap12, round(speed_kmh,5) speed_kmh, round(deviation_km,5) deviation_km, tier FROM trc")
+def W_01_velocity_triples(s, d):
+    return _triples(s, d).select("event_id", "mmsi", F.round("gap12", 6).alias("gap12"), F.round("speed_kmh", 5).alias("speed_kmh"), F.round("deviation_km", 5).alias("deviation_km"), "tier")
+
+
+@query(BASE + STEP + " SELECT event_id, mmsi, round(step_km,6) step_km, round(CASE WHEN hours>0 THEN step_km/hours/1.852 END,6) knots FROM sp")
+def W_05_step_speed(s, d):
+    return trajectory.step_speeds(_ais(s, d)).where("hours is not null").select("event_id", "mmsi", F.round("step_km", 6).alias("step_km"), F.round("knots", 6).alias("knots"))
+
+
+@query(BASE + STEP + """, rt AS (SELECT event_id, mmsi, CASE vessel_type WHEN 'FISHING' THEN 16.0 ELSE 22.0 END lim, step_km, hours, CASE WHEN hours>0 THEN step_km/hours/1.852 END kn FROM sp)
+ SELECT event_id, round(kn,6) required_knots, CASE WHEN hours<=1.0/60 AND step_km>=5 THEN 'PHYSICALLY_IMPOSSIBLE' WHEN hours<=1.0/60 AND step_km>=1 THEN 'IMPLAUSIBLE_BUT_POSSIBLE' WHEN hours<=1.0/60 OR step_km<1 THEN 'PLAUSIBLE' WHEN kn>45 THEN 'PHYSICALLY_IMPOSSIBLE' WHEN kn>lim THEN 'IMPLAUSIBLE_BUT_POSSIBLE' ELSE 'PLAUSIBLE' END classification FROM rt""")
+def K_09_route_plausibility(s, d):
+    return trajectory.transitions(_ais(s, d)).select("event_id", F.round("required_knots", 6).alias("required_knots"), "classification")
+
+
+@query("WITH x AS (SELECT p_partkey, lower(translate(trim(p_type),' -/','___')) t FROM part) SELECT p_partkey, CASE WHEN " + " WHEN ".join(f"regexp_matches(t,'{w}'){' AND NOT contains(t,' + chr(39) + 'container' + chr(39) + ')' if i == 0 else ''} THEN '{k}'" for i, (k, w) in enumerate(trajectory.TYPE_KEYWORDS)) + " WHEN t='other' THEN 'commercial_slow' ELSE 'unknown' END kind FROM x")
+def K_11_type_class(s, d):
+    return src.table(s, d, "part").select("p_partkey", trajectory.type_class(F.col("p_type")).alias("kind"))
+
+
+HOTSPOTS = [("alpha", 26.0, 56.0), ("bravo", 25.6, 55.8), ("charlie", 26.6, 57.0)]
+
+
+@query(BASE + ", h(ord, nm, y, x) AS (VALUES (0,'alpha',26.0::double,56.0::double),(1,'bravo',25.6::double,55.8::double),(2,'charlie',26.6::double,57.0::double)) SELECT event_id, nm hotspot, round(km,6) km, km<=50 near_hotspot FROM (SELECT event_id, nm, " + hav("lat", "lon", "y", "x") + " km, row_number() OVER (PARTITION BY event_id ORDER BY " + hav("lat", "lon", "y", "x") + ", ord) r FROM ais, h) WHERE r=1")
+def J_10_nearest_hotspot(s, d):
+    n = nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS)
+    return _ais(s, d).withColumn("n", n).select("event_id", F.col("n.name").alias("hotspot"), F.round("n.km", 6).alias("km"), (F.col("n.km") <= 50).alias("near_hotspot"))
+
+
+# clustering
+
+
+@query(BASE + ANOM + " SELECT vessel, source, count(*) n, min(t) t0, max(t) t1 FROM an GROUP BY 1,2")
+def P_03_anomaly_streams(s, d):
+    return cluster.anomalies(_classified(s, d), _triples(s, d)).groupBy("vessel", "source").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+@query(BASE + ANOM + " SELECT episode_id, vessel, t, t_start, t_end, n_pings, sources, round(lat,6) lat, round(lon,6) lon FROM ep")
+def A_05_episodes(s, d):
+    return _episodes(s, d).select("episode_id", "vessel", "t", "t_start", "t_end", "n_pings", "sources", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+NEI = f""", nb AS (SELECT a.episode_id a, b.episode_id b FROM ep a JOIN ep b ON abs(a.t-b.t)<=7200000000 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=8)"""
+
+
+@query(BASE + ANOM + NEI + " SELECT a, count(*) n FROM nb GROUP BY 1")
+def J_08_neighbours(s, d):
+    return cluster.neighbours(_episodes(s, d)).groupBy("a").agg(F.count("*").alias("n"))
+
+
+DBS = NEI.replace(", nb AS", ", RECURSIVE_MARK nb AS") + """, rc(a, b) AS (SELECT a, b FROM nb UNION SELECT rc.a, nb.b FROM rc JOIN nb ON rc.b=nb.a),
+cm AS (SELECT rc.a episode_id, min(ep.t::varchar || '/' || rc.b) f, count(*) n FROM rc JOIN ep ON ep.episode_id=rc.b GROUP BY 1),
+lab AS (SELECT episode_id, CASE WHEN n>=2 THEN (dense_rank() OVER (ORDER BY CASE WHEN n>=2 THEN 0 ELSE 1 END, f)-1)::int ELSE -1 END cluster FROM cm)"""
+DBS = DBS.replace("RECURSIVE_MARK ", "")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
+
+
+@query(_recursive(BASE + ANOM + DBS + " SELECT episode_id, cluster FROM lab"))
+def G_01_st_dbscan(s, d):
+    return cluster.st_dbscan(_episodes(s, d)).select("episode_id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query(_recursive(BASE + ANOM + DBS + f""", cc AS (SELECT cluster, avg(lat) cy, avg(lon) cx, count(*) n_episodes, sum(n_pings)::bigint n_pings, count(DISTINCT vessel) n_vessels, (max(t_end)-min(t_start))/3.6e9 span_h FROM lab JOIN ep USING (episode_id) WHERE cluster>=0 GROUP BY 1),
+rr AS (SELECT cluster, max({hav('cy', 'cx', 'lat', 'lon')}) radius_km FROM lab JOIN ep USING (episode_id) JOIN cc USING (cluster) GROUP BY 1)
+SELECT cluster, n_episodes, n_pings, n_vessels, round(span_h,6) span_h, round(radius_km,6) radius_km, CASE WHEN n_vessels>=2 AND span_h<=6 AND radius_km<=10 THEN 'genuine' WHEN n_vessels>=2 THEN 'loose' ELSE 'single_vessel_artifact' END coherence FROM cc JOIN rr USING (cluster)"""))
+def A_06_cluster_summary(s, d):
+    c = cluster.cluster_summary(cluster.st_dbscan(_episodes(s, d)))
+    return c.select(F.col("cluster").cast("int").alias("cluster"), "n_episodes", "n_pings", "n_vessels", F.round("span_h", 6).alias("span_h"), F.round("radius_km", 6).alias("radius_km"), "coherence")
+
+
+@query(BASE + ANOM + ", x AS (SELECT unnest(string_split(sources,';')) source, n_pings FROM ep) SELECT source, count(*) n_episodes, sum(n_pings)::bigint n_pings FROM x GROUP BY 1")
+def A_07_by_source(s, d):
+    return _episodes(s, d).select(F.explode(F.split("sources", ";")).alias("source"), "n_pings").groupBy("source").agg(F.count("*").alias("n_episodes"), F.sum("n_pings").alias("n_pings"))
+
+
+@query()
+def G_02_parameter_sweep(s, d):
+    from functools import reduce
+
+    from veritrack.plans.lineage import cut
+
+    e = cut(_episodes(s, d))
+    runs = [cluster.st_dbscan(e, km, h, 2).agg(F.count_if(F.col("cluster") < 0).alias("noise"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters")).select(F.lit(km).alias("eps_km"), F.lit(h).alias("eps_h"), "clusters", "noise") for km in (5.0, 8.0) for h in (1.0, 4.0)]
+    return reduce(DataFrame.unionByName, runs)
+
+
+# relinking
+
+
+@query()
+def J_07_relink(s, d):
+    r = relink.relink(_sar(s, d), _ais(s, d))
+    return r.select("sar_id", "mmsi", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"), relink.change_label(F.col("mmsi"), F.col("relinked_mmsi")).alias("change"))
+
+
+# calibration
+
+
+HN = f""", hn AS (SELECT a.event_id, min({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) km FROM ais a JOIN ais b ON a.hour=b.hour AND a.mmsi<>b.mmsi GROUP BY 1)"""
+
+
+@query(BASE + HN + " SELECT event_id, round(km,6) km FROM hn")
+def J_09_hour_neighbours(s, d):
+    return calibrate.hour_neighbours(_ais(s, d)).withColumn("km", F.round("km", 6))
+
+
+@query(BASE + HN + " SELECT count(*) n, " + ", ".join(f"round(quantile_cont(km,{q}),6) {('p%g' % (q * 100)).replace('.', '_')}" for q in calibrate.GRID) + ", round(avg(km),6) mean, round(max(km),6) max FROM hn")
+def A_12_percentile_grid(s, d):
+    g = calibrate.percentile_grid(calibrate.hour_neighbours(_ais(s, d)), "km")
+    return g.select("n", *[F.round(c, 6).alias(c) for c in g.columns[1:]])
+
+
+@query(BASE + CLS + KEEP + " SELECT count(*) n_pairs, sum(keep::int)::bigint n_kept, round(quantile_cont(distance_km,0.5),6) raw_p50, round(quantile_cont(distance_km,0.99),6) raw_p99, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.5),6) matched_km, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.99),6) spoofed_km FROM kept")
+def A_13_distance_thresholds(s, d):
+    k = screen.keep_links(_identity(s, d), _sar(s, d), _ais(s, d))
+    kept = F.when(F.col("keep"), F.col("distance_km"))
+    p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 6)
+    return k.agg(F.count("*").alias("n_pairs"), F.count_if("keep").alias("n_kept"), p(F.col("distance_km"), 0.5).alias("raw_p50"), p(F.col("distance_km"), 0.99).alias("raw_p99"), p(kept, 0.5).alias("matched_km"), p(kept, 0.99).alias("spoofed_km"))
+
+
+@query(BASE + CLS + ", q AS (SELECT quantile_cont(distance_km,0.25) q1, quantile_cont(distance_km,0.75) q3, quantile_cont(distance_km,0.95) p95, quantile_cont(distance_km,0.99) p99 FROM clf WHERE time_gap_seconds IS NOT NULL) SELECT round(q3+3*(q3-q1),6) fence, n_beyond, p99>2*p95 AND n_beyond>0 heavy_tail FROM q, (SELECT count(*) n_beyond FROM clf, q WHERE time_gap_seconds IS NOT NULL AND distance_km>q3+3*(q3-q1))")
+def A_14_tukey_fence(s, d):
+    return calibrate.tail(_identity(s, d), "distance_km").select(F.round("fence", 6).alias("fence"), "n_beyond", "heavy_tail")
+
+
+GAP = ", g AS (SELECT (t-lag(t) OVER (PARTITION BY mmsi ORDER BY t))/3.6e9 gap_h FROM ais)"
+
+
+@query(BASE + GAP + " SELECT count(*) n, round(quantile_cont(gap_h,0.5),6) p50, round(quantile_cont(gap_h,0.9),6) p90, greatest(ceil(quantile_cont(gap_h,0.9)),2.0)::double eps_h FROM g WHERE gap_h>0")
+def A_15_A_16_bin_gaps(s, d):
+    return calibrate.bin_gaps(_ais(s, d)).agg(F.count("*").alias("n"), F.round(F.percentile("gap_h", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("gap_h", F.lit(0.9)), 6).alias("p90"), F.greatest(F.ceil(F.percentile("gap_h", F.lit(0.9))).cast("double"), F.lit(2.0)).alias("eps_h"))
+
+
+@query(BASE + HN + """, o AS (SELECT km, row_number() OVER (ORDER BY km)-1 x, count(*) OVER () n, min(km) OVER () y0, max(km) OVER () y1 FROM hn)
+ SELECT round(km,6) knee, round(greatest(km,3.0),6) eps_km FROM o ORDER BY round(abs((y1-y0)*x-(n-1)*(km-y0))/sqrt(pow(n-1,2)+pow(y1-y0,2)),9) DESC, x LIMIT 1""")
+def A_17_A_18_knee(s, d):
+    return calibrate.knee(calibrate.hour_neighbours(_ais(s, d)), "km").select(F.round("knee", 6).alias("knee"), F.round(F.greatest("knee", F.lit(3.0)), 6).alias("eps_km"))
+
+
+@query("SELECT o_orderpriority param, round(auto,6) auto, CASE WHEN r<=2 THEN 'AGREES' WHEN r<=3 THEN 'LOOSE' ELSE 'DIVERGES' END verdict FROM (SELECT o_orderpriority, avg(o_totalprice) auto, greatest(avg(o_totalprice)/60000.0, 60000.0/avg(o_totalprice)) r FROM orders GROUP BY 1)")
+def A_19_agreement(s, d):
+    g = src.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("param")).agg(F.avg("o_totalprice").alias("auto"))
+    r = F.greatest(F.col("auto") / 60000.0, 60000.0 / F.col("auto"))
+    return g.select("param", F.round("auto", 6).alias("auto"), F.when(r <= 2, "AGREES").when(r <= 3, "LOOSE").otherwise("DIVERGES").alias("verdict"))
+
+
+# dwell, scores, baselines, watch-list
+
+
+@query()
+def W_04_dwell(s, d):
+    ais = _ais(s, d)
+    e = dwell.dwell_episodes(ais, gap_h=24.0)
+    span = ais.agg(((F.max("t") - F.min("t")) / HOUR_US).alias("span"))
+    e = e.crossJoin(F.broadcast(span))
+    e = e.withColumn("facility_km", nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS[:1])["km"]).withColumn("anchorage_km", nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS[1:])["km"]).withColumn("domestic", F.col("mmsi") % 4 == 0)
+    return dwell.dwell_scores(e, F.greatest("span", F.lit(1.0))).select("mmsi", "t_start", "t_end", F.round("duration_h", 6).alias("duration_h"), "n_bins", "dwell_tier", "location_class", "resident", "dwell_score", "trigger_category", "escalate")
+
+
+@query("WITH v AS (SELECT o_orderkey visit_id, o_totalprice/1000 duration_hrs FROM orders) SELECT CASE WHEN duration_hrs<=48 THEN 'ordinary' WHEN duration_hrs<=168 THEN 'extended' ELSE 'prolonged' END dwell_tier, count(*) n FROM v GROUP BY 1")
+def K_14_duration_tier(s, d):
+    return src.port_visits(s, d).groupBy(dwell.duration_tier(F.col("duration_hrs")).alias("dwell_tier")).agg(F.count("*").alias("n"))
+
+
+@query(BASE + ANOM + " SELECT vessel, max(run) flagged_events FROM ru GROUP BY 1")
+def A_09_discrete_events(s, d):
+    return score.discrete_events(cluster.anomalies(_classified(s, d), _triples(s, d)))
+
+
+FLG = """, fl AS (SELECT vessel, 'w'||(t//604800000000)%4 AS window_, (t//604800000000)%4 ord, source event_type, count(*) flagged_events, true observed FROM an GROUP BY 1,2,3,4),
+con AS (SELECT vessel, count(DISTINCT window_) n_windows, sum(flagged_events)::bigint total_flags, round(sum(flagged_events)/count(DISTINCT window_),3) flag_rate, string_agg(DISTINCT event_type,';' ORDER BY event_type) event_types, max_by(window_, ord) last_window FROM fl GROUP BY 1)"""
+
+
+def _flags(s, d):
+    a = cluster.anomalies(_classified(s, d), _triples(s, d)).withColumn("ord", F.expr("(t div 604800000000) % 4")).withColumn("window", F.concat(F.lit("w"), "ord"))
+    return a.groupBy("vessel", "window", "ord", F.col("source").alias("event_type")).agg(F.count("*").alias("flagged_events")).withColumn("observed", F.lit(True))
+
+
+@query(BASE + ANOM + FLG + " SELECT * FROM con")
+def A_11_consolidate(s, d):
+    return score.consolidate(_flags(s, d))
+
+
+@query(BASE + ANOM + FLG + """, sc AS (SELECT vessel, round(60*least(1.0,flag_rate/4.0),1) b, CASE WHEN n_name IN ('GABON','PALAU') THEN 20.0 ELSE 0.0 END foc, CASE WHEN 2026-(1990+c_custkey%35)>15 THEN 20.0 ELSE 0.0 END age FROM con JOIN customer ON c_custkey=vessel LEFT JOIN nation ON c_nationkey=n_nationkey)
+ SELECT vessel, b::double behavioral_score, foc::double foc_score, age::double age_score, round(b+foc+age,1)::double reliability_score FROM sc""")
+def K_16_scores(s, d):
+    r = src.registry(s, d).withColumnRenamed("mmsi", "vessel").withColumnRenamed("segment", "vessel_type")
+    return score.scores(score.consolidate(_flags(s, d)).join(r, "vessel")).select("vessel", "behavioral_score", "foc_score", "age_score", "reliability_score")
+
+
+PV = "WITH v AS (SELECT o_orderkey visit_id, o_custkey mmsi, epoch_us(o_orderdate) t, o_totalprice/1000 duration_hrs, o_orderpriority port, (2000+(o_orderkey*37)%1500)::double/100 lat, (5000+(o_orderkey*91)%2500)::double/100 lon FROM orders)"
+
+
+@query(PV + f", x AS (SELECT *, (t-lag(t) OVER (PARTITION BY mmsi ORDER BY t, visit_id))/8.64e10 AS days FROM v) SELECT mmsi, count(*) n_visits, count(DISTINCT port) n_ports, min(lat) min_lat, max(lat) max_lat, round(avg(lon),6) mean_lon, round({hav('min(lat)', 'min(lon)', 'max(lat)', 'max(lon)')},6) extent_km, round(quantile_cont(duration_hrs,0.5),6) median_stay, round(quantile_cont(days,0.5),6) median_interval_d, sum((duration_hrs>24*7)::int)::bigint n_long FROM x GROUP BY 1")
+def A_21_W_09_baseline(s, d):
+    w = Window.partitionBy("mmsi").orderBy("t", "visit_id")
+    v = src.port_visits(s, d).withColumn("days", (F.col("t") - F.lag("t").over(w)) / 8.64e10)
+    return v.groupBy("mmsi").agg(F.count("*").alias("n_visits"), F.countDistinct("port").alias("n_ports"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.round(F.avg("lon"), 6).alias("mean_lon"), F.round(haversine(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")), 6).alias("extent_km"),
+                                 F.round(F.percentile("duration_hrs", F.lit(0.5)), 6).alias("median_stay"), F.round(F.percentile("days", F.lit(0.5)), 6).alias("median_interval_d"), F.count_if(F.col("duration_hrs") > 168).alias("n_long"))
+
+
+@query(PV + f", x AS (SELECT mmsi, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} km, (t-lag(t) OVER w)/3.6e9 h FROM v WINDOW w AS (PARTITION BY mmsi ORDER BY t, visit_id)) SELECT mmsi, count(*) legs, round(max(km/h/1.852),6) max_kn, round(quantile_cont(km/h/1.852,0.5),6) median_kn FROM x WHERE h>=3 AND km>=30 GROUP BY 1")
+def A_22_transit_speed(s, d):
+    w = Window.partitionBy("mmsi").orderBy("t", "visit_id")
+    v = src.port_visits(s, d)
+    legs = v.select("mmsi", haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("km"), ((F.col("t") - F.lag("t").over(w)) / HOUR_US).alias("h")).where("h >= 3 and km >= 30").withColumn("kn", F.col("km") / F.col("h") / trajectory.KNOT_KMH)
+    return legs.groupBy("mmsi").agg(F.count("*").alias("legs"), F.round(F.max("kn"), 6).alias("max_kn"), F.round(F.percentile("kn", F.lit(0.5)), 6).alias("median_kn"))
+
+
+@query(PV + ", l AS (SELECT mmsi, max(t) m FROM v GROUP BY 1), n AS (SELECT max(t) now_ FROM v) SELECT mmsi, CASE WHEN (now_-m)/8.64e10>30 THEN 'FRESH_PULL' ELSE 'CACHE_SKIP' END decision, row_number() OVER (ORDER BY CASE WHEN (now_-m)/8.64e10>30 THEN 0 ELSE 1 END, mmsi)<=8 AND (now_-m)/8.64e10>30 pull_now FROM l, n")
+def K_21_S_06_pull_decisions(s, d):
+    v = src.port_visits(s, d)
+    last = v.groupBy("mmsi").agg(F.max("t").alias("m")).crossJoin(F.broadcast(v.agg(F.max("t").alias("now"))))
+    rows = last.withColumn("decision", score.pull_decision((F.col("now") - F.col("m")) / 8.64e10))
+    first = rows.where("decision = 'FRESH_PULL'").orderBy("mmsi").limit(8).select("mmsi", F.lit(True).alias("pull_now"))
+    return rows.join(F.broadcast(first), "mmsi", "left").select("mmsi", "decision", F.coalesce("pull_now", F.lit(False)).alias("pull_now"))
+
+
+@query(BASE + ANOM + " SELECT vessel, string_agg(DISTINCT source,';' ORDER BY source) thresholds, sum((source='likely_spoofed')::int)::bigint n_spoofed, sum((source<>'likely_spoofed')::int)::bigint n_traj FROM an GROUP BY 1")
+def A_32_flagged_vessels(s, d):
+    a = cluster.anomalies(_classified(s, d), _triples(s, d))
+    return a.groupBy("vessel").agg(F.array_join(F.sort_array(F.collect_set("source")), ";").alias("thresholds"), F.count_if(F.col("source") == "likely_spoofed").alias("n_spoofed"), F.count_if(F.col("source") != "likely_spoofed").alias("n_traj"))
+
+
+@query("WITH a AS (SELECT c_custkey k, CASE WHEN c_custkey%3=0 THEN NULL ELSE c_name END v FROM customer WHERE c_custkey%2=0), b AS (SELECT c_custkey k, c_mktsegment v FROM customer) SELECT b.k, CASE WHEN a.k IS NOT NULL THEN a.v ELSE b.v END v FROM b LEFT JOIN a USING (k)")
+def J_14_first_source(s, d):
+    c = src.table(s, d, "customer")
+    a = c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "CASE WHEN c_custkey%3=0 THEN NULL ELSE c_name END AS v")
+    return score.first_source([a, c.selectExpr("c_custkey AS k", "c_mktsegment AS v")], "k", "v")
+
+
+# ordered analytics, views
+
+
+@query(BASE + STEP + " SELECT mmsi, round(max(kmh),6) peak_kmh, arg_max(event_id, (kmh, event_id)) event_id FROM (SELECT *, step_km/hours kmh FROM sp WHERE hours>0) GROUP BY 1")
+def A_29_peak_speed(s, d):
+    r = trajectory.step_speeds(_ais(s, d)).where("kmh is not null")
+    return r.groupBy("mmsi").agg(F.round(F.max("kmh"), 6).alias("peak_kmh"), F.max_by("event_id", F.struct("kmh", "event_id")).alias("event_id"))
+
+
+@query(BASE + " SELECT event_id, run FROM (SELECT event_id, sum(nw) OVER (PARTITION BY mmsi ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::bigint run FROM (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY mmsi ORDER BY t, event_id)<=10800000000 THEN 0 ELSE 1 END nw FROM ais))")
+def W_03_gaps_and_islands(s, d):
+    return with_runs(_ais(s, d), "mmsi", order=("event_id",)).select("event_id", "run")
+
+
+@query(BASE + ANOM + FLG + " SELECT vessel, row_number() OVER (ORDER BY flag_rate DESC, total_flags DESC, vessel) rank FROM con ORDER BY rank LIMIT 14")
+def W_07_S_02_top_ranked(s, d):
+    top = score.consolidate(_flags(s, d)).orderBy(F.desc("flag_rate"), F.desc("total_flags"), "vessel").limit(14)
+    return top.select("vessel", F.row_number().over(Window.orderBy(F.desc("flag_rate"), F.desc("total_flags"), "vessel")).cast("long").alias("rank"))
+
+
+@query(BASE + " SELECT event_id, round(row_number() OVER w*1.0/count(*) OVER (PARTITION BY mmsi),6)::double alpha, max(lat) OVER (PARTITION BY mmsi ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) max_lat FROM ais WINDOW w AS (PARTITION BY mmsi ORDER BY t, event_id)")
+def W_08_W_10_path_ramp(s, d):
+    p = Window.partitionBy("mmsi")
+    w = p.orderBy("t", "event_id")
+    return _ais(s, d).select("event_id", F.round(F.row_number().over(w) / F.count("*").over(p), 6).alias("alpha"), F.max("lat").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("max_lat"))
+
+
+@query(BASE + " SELECT mmsi, arg_min(vessel_type, (t, event_id)) first_type, arg_max(event_id, (t, event_id)) last_event FROM ais GROUP BY 1")
+def W_12_first_last(s, d):
+    o = F.struct("t", "event_id")
+    return _ais(s, d).groupBy("mmsi").agg(F.min_by("vessel_type", o).alias("first_type"), F.max_by("event_id", o).alias("last_event"))
+
+
+@query(BASE + " SELECT count(*) n FROM (SELECT DISTINCT mmsi, t, lat, lon FROM ais)")
+def S_04_dedup(s, d):
+    return _ais(s, d).dropDuplicates(["mmsi", "t", "lat", "lon"]).agg(F.count("*").alias("n"))
+
+
+@query(BASE + " SELECT mmsi FROM ais EXCEPT SELECT mmsi FROM sar")
+def U_02_set_difference(s, d):
+    return _ais(s, d).select("mmsi").subtract(_sar(s, d).select("mmsi"))
+
+
+@query(BASE + " SELECT mmsi FROM ais INTERSECT SELECT mmsi FROM sar")
+def U_03_intersect(s, d):
+    return _ais(s, d).select("mmsi").intersect(_sar(s, d).select("mmsi"))
+
+
+@query(BASE + " SELECT 'ais' kind, count(*) n, count(mmsi) n_mmsi FROM ais UNION ALL SELECT 'sar', count(*), count(mmsi) FROM sar")
+def U_01_ragged_union(s, d):
+    rows = _ais(s, d).select("mmsi", "vessel_type", F.lit("ais").alias("kind")).unionByName(_sar(s, d).select("sar_id", "mmsi", F.lit("sar").alias("kind")), allowMissingColumns=True)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("mmsi").alias("n_mmsi"))
+
+
+@query(BASE + f" SELECT sar_id, other, round(km,6) km FROM (SELECT s.sar_id, a.mmsi other, min({hav('s.lat', 's.lon', 'a.lat', 'a.lon')}) km FROM sar s JOIN ais a ON a.mmsi<>s.mmsi AND a.hour BETWEEN s.hour-1 AND s.hour+1 AND abs(s.t-a.t)<=3600000000 GROUP BY 1,2) WHERE km<=20")
+def J_11_J_17_rendezvous(s, d):
+    a = _ais(s, d).select(F.col("mmsi").alias("other"), F.col("t").alias("rt"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    p = match.range_join(_sar(s, d).where("mmsi is not null").select("sar_id", "mmsi", "t", "lat", "lon"), a, HOUR_US).where("other <> mmsi")
+    return p.groupBy("sar_id", "other").agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km")).where("km <= 20").withColumn("km", F.round("km", 6))
+
+
+@query(BASE + " SELECT event_id, c_name, n_name flag FROM ais LEFT JOIN customer ON c_custkey=mmsi LEFT JOIN nation ON c_nationkey=n_nationkey")
+def J_13_lookup(s, d):
+    return _ais(s, d).select("event_id", "mmsi").join(src.registry(s, d).select("mmsi", F.col("name").alias("c_name"), "flag"), "mmsi", "left").select("event_id", "c_name", "flag")
+
+
+@query(BASE + " SELECT vessel_type, sum((k2<=2)::int)::bigint within_2, sum((k2<=5)::int)::bigint within_5, sum((k2<=15)::int)::bigint within_15 FROM (SELECT vessel_type, " + hav("lat", "lon", "26.0::double", "56.0::double") + " k2 FROM ais) GROUP BY 1")
+def A_28_J_20_landmark_tiers(s, d):
+    km = haversine(F.col("lat"), F.col("lon"), F.lit(26.0), F.lit(56.0))
+    return _ais(s, d).withColumn("km", km).groupBy("vessel_type").agg(*[F.count_if(F.col("km") <= r).alias(f"within_{r}") for r in (2, 5, 15)])
+
+
+@query()
+def S_05_seeded_sample(s, d):
+    w = Window.partitionBy("vessel_type").orderBy(F.xxhash64("event_id", F.lit(42)))
+    return _ais(s, d).withColumn("r", F.row_number().over(w)).where("r <= 50").select("event_id", "vessel_type")
+
+
+# orchestration, sources
+
+
+@query()
+def R_01_window_run(s, d):
+    r = window_run.run_window(_sar(s, d), _ais(s, d), types=("CARGO", "OTHER", "TANKER"))
+    c = r.clusters.groupBy((F.col("cluster") >= 0).alias("clustered")).agg(F.count("*").alias("n"))
+    return c.select(F.concat(F.lit("episodes_clustered_"), F.col("clustered").cast("string")).alias("what"), "n").union(r.classified.groupBy("classification").count()).union(r.kept_links.groupBy(F.concat(F.lit("kept_"), F.col("keep").cast("string"))).count())
+
+
+def _payloads(s, d):
+    """Report payloads made from the events, one document for each vessel."""
+    row = F.struct(F.col("mmsi").cast("string").alias("mmsi"), F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm").alias("date"), "lat", "lon", F.col("ship_name").alias("shipName"), F.col("vessel_type").alias("vesselType"))
+    return _ais(s, d).groupBy("mmsi").agg(F.to_json(F.struct(F.array(F.create_map(F.lit("presence"), F.collect_list(row))).alias("entries"))).alias("json"))
+
+
+@query(BASE + " SELECT mmsi, count(*) n, round(sum(lat),4) s FROM ais GROUP BY 1")
+def SRC_01_SRC_04_report(s, d):
+    rows = files.normalise_ais(files.flatten_report(_payloads(s, d)))
+    return rows.groupBy("mmsi").agg(F.count("*").alias("n"), F.round(F.sum("lat"), 4).alias("s"))
+
+
+# streams
+
+
+@query("SELECT epoch_us(ts)//3600000000 AS hour, event_type, count(*) n FROM events GROUP BY 1,2")
+def ST_01_tumbling(s, d):
+    return twins.drain(twins.hourly_counts(twins.event_stream(s, d)), "complete")
+
+
+@query("SELECT epoch_us(ts)//3600000000 - k AS hour, event_type, count(*) n FROM events, (VALUES (0),(1)) v(k) GROUP BY 1,2")
+def ST_02_sliding(s, d):
+    return twins.drain(twins.hourly_counts(twins.event_stream(s, d), "2 hours", "1 hour"), "complete")
+
+
+@query("WITH x AS (SELECT user_id, epoch_us(ts) t, CASE WHEN epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 10800000000 THEN 0 ELSE 1 END nw FROM events), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t) run FROM x) SELECT user_id, min(t) t_start, max(t) t_end, count(*) n FROM y GROUP BY user_id, run")
+def ST_03_sessions(s, d):
+    return twins.drain(twins.sessions(twins.event_stream(s, d)), "complete")
+
+
+@query("SELECT DISTINCT user_id, epoch_us(ts)//3600000000 AS hour FROM events")
+def ST_04_dedup(s, d):
+    return twins.drain(twins.deduplicated(twins.event_stream(s, d)))
+
+
+@query("SELECT s.event_id sar_id, a.event_id FROM events s JOIN events a ON s.user_id=a.user_id AND s.event_type='view' AND a.event_type<>'view' AND abs(epoch_us(s.ts)-epoch_us(a.ts))<=3600000000")
+def ST_05_interval_join(s, d):
+    e = twins.event_stream(s, d)
+    return twins.drain(twins.interval_join(e.where("event_type = 'view'"), twins.event_stream(s, d).where("event_type <> 'view'")))
+
+
+@query()
+def ST_06_pull_state(s, d):
+    return twins.drain(twins.pull_state(twins.event_stream(s, d), ttl_days=7.0))

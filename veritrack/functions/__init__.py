@@ -1 +1 @@
-
+"""Column functions: geometry, time, tiers."""

@@ -1 +1 @@
-
+"""Readers and table adapters."""
