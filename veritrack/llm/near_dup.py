@@ -7,10 +7,10 @@ value, and each empty bin takes the value of a bin that a universal hash picks
 by trial, the same trials for every document. ``ROWS`` consecutive bins make a
 band. In each bucket of a band the member of least hash is the centre of a star
 of candidate edges, so a bucket of n members gives n - 1 pairs. Pairs whose
-sketches agree well enough are confirmed on the full sets: first each member
-with the centre that it meets in most buckets, then what is still apart.
-Members that their centre did not reach meet again under another centre, by
-another hash, until a round adds no link.
+sketches agree well enough are confirmed on the full sets. Members that their
+centre did not reach meet again under another centre, by another hash, until a
+round adds no link; documents that are in one component by then are not
+compared again.
 """
 
 from __future__ import annotations
@@ -157,22 +157,16 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     texts, turn = None, 0
     while True:
         star = cut(_stars(open_members, turn))
-        pairs = cut(star.groupBy("doc_id", "centre").agg(F.count("*").alias("shared")))
+        pairs = star.select("doc_id", "centre").distinct()
         if texts is None:
             met = pairs.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
             texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        ends = [F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")]
-        best = pairs.groupBy("doc_id").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre")).select(*ends).distinct()
-        found = _confirm(best, heads, texts)
-        added = not found.isEmpty()
-        if added:
-            labels = _merge(labels, found)
-        apart = _named(pairs.select(*ends, *[e.alias(f"{c}_in") for c, e in zip("ab", ends, strict=True)]).join(best, ["a", "b"], "left_anti"), labels, "a_in", "b_in")
-        found = _confirm(apart.where("a_in <> b_in").select("a", "b").distinct(), heads, texts)
-        if not found.isEmpty():
-            labels, added = _merge(labels, found), True
-        if not added:
+        ends = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+        apart = _named(ends.select("a", "b", F.col("a").alias("a_in"), F.col("b").alias("b_in")), labels, "a_in", "b_in").where("a_in <> b_in")
+        found = _confirm((apart if turn else ends).select("a", "b"), heads, texts)
+        if found.isEmpty():
             break
+        labels = _merge(labels, found) if turn else cut(connected_components(found).withColumnRenamed("node", "doc_id"))
         both = star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre")
         open_members = cut(_named(both, labels, "doc_in", "centre").where("doc_in <> centre").select("bucket", "doc_id"))
         turn += 1
