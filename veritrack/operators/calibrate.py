@@ -53,6 +53,7 @@ def knee(rows: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     inner = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = part.withColumn("upto", inner).join(F.broadcast(before), "part").withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1)
     points = ranked.select("v", "y0", "y1", "n", F.explode(F.array("first", "last")).alias("x"))
-    d = F.abs((F.col("y1") - F.col("y0")) * F.col("x") - (F.col("n") - 1) * (F.col("v") - F.col("y0"))) / F.sqrt(F.pow(F.col("n") - 1, F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2)))
+    chord = F.sqrt(F.pow(F.col("n") - 1, F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2)))
+    d = F.try_divide(F.abs((F.col("y1") - F.col("y0")) * F.col("x") - (F.col("n") - 1) * (F.col("v") - F.col("y0"))), chord)
     best = points.agg(F.max_by("v", F.struct(F.round(d, 9), -F.col("x"))).alias("k"), F.max("n").alias("n"), F.max("y1").alias("y1"), F.min("y0").alias("y0"))
     return best.select(F.when((F.col("n") < 3) | (F.col("y0") == F.col("y1")), F.col("y1")).otherwise(F.col("k")).alias("knee"))
