@@ -7,10 +7,10 @@ value, and each empty bin takes the value of a bin that a universal hash picks
 by trial, the same trials for every document. ``ROWS`` consecutive bins make a
 band. In each bucket of a band the member of least hash is the centre of a star
 of candidate edges, so a bucket of n members gives n - 1 pairs. Pairs whose
-sketches agree well enough are confirmed on the full sets. Members that their
-centre did not reach meet again under another centre, by another hash, until a
-round adds no link; documents that are in one component by then are not
-compared again.
+sketches agree well enough are confirmed on the full sets. Buckets whose members
+are not all in one component by then meet again, whole and under several other
+centres each, until a round adds no link; pairs that are in one component are
+not compared again.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut
 
 BINS, ROWS = 128, 4
+#: Centres of a bucket in each turn after the first.
+CENTRES = 4
 #: Sketches of a linked pair agree on fewer bins than this with a chance below 1e-9.
 SKETCH_FLOOR = 0.5
 
@@ -106,11 +108,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """``(bucket, doc_id, centre)`` for each bucket's members but its centre; ``members`` has ``(bucket, doc_id)``."""
-    centre = (members.groupBy("bucket")
-              .agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")).alias("c"), F.count("*").alias("n"))
-              .where("n > 1").select("bucket", F.col("c.doc_id").alias("centre")))
-    return members.join(centre.hint("merge"), "bucket").where("doc_id <> centre").select("bucket", "doc_id", "centre")
+    """``(bucket, doc_id, centre)`` for each centre of a bucket and each other member; ``members`` has ``(bucket, doc_id)``.
+
+    The first turn has one centre, the first member in one order for all
+    buckets; each later turn has up to ``CENTRES`` by orders of the bucket's own.
+    """
+    keys = [F.xxhash64("doc_id")] if not turn else [F.xxhash64("doc_id", "bucket", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+    firsts = [F.min(F.struct(k.alias("k"), "doc_id"))["doc_id"] for k in keys]
+    centre = (members.groupBy("bucket").agg(F.array_distinct(F.array(*firsts)).alias("centres"), F.count("*").alias("n"))
+              .where("n > 1").select("bucket", "centres"))
+    return members.join(centre.hint("merge"), "bucket").select("bucket", "doc_id", F.explode("centres").alias("centre")).where("doc_id <> centre")
 
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,8 +174,9 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         labels = _merge(labels, found) if turn else cut(connected_components(found).withColumnRenamed("node", "doc_id"))
-        both = star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre")
-        open_members = cut(_named(both, labels, "doc_in", "centre").where("doc_in <> centre").select("bucket", "doc_id"))
+        both = star.select("bucket", F.col("doc_id").alias("doc_in"), "centre")
+        mixed = _named(both, labels, "doc_in", "centre").where("doc_in <> centre").select("bucket").distinct()
+        open_members = cut(star.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct())
         turn += 1
     named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
