@@ -48,6 +48,9 @@ class PieceCounter(dict):
         self.local = not any(MARK in piece.lstrip(MARK) or "\n" in piece for piece, _ in vocabulary)
 
     def segments(self, text: str) -> list[str]:
+        """Parts of a text whose counts add up; none for an empty text."""
+        if not text:
+            return []
         whole = MARK + text.replace(" ", MARK)
         return _SEGMENT(whole) if self.local else [whole]
 
@@ -104,7 +107,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
         counter = _made[key]
         count = counter.__getitem__
         for batch in batches:
-            n = [sum(map(count, counter.segments(text))) if text else 0 for text in batch.column(1).to_pylist()]
+            n = [sum(map(count, counter.segments(text or ""))) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
