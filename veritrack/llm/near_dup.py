@@ -7,10 +7,9 @@ value, and each empty bin takes the value of a bin that a universal hash picks
 by trial, the same trials for every document. ``ROWS`` consecutive bins make a
 band. In each bucket of a band the member of least hash is the centre of a star
 of candidate edges, so a bucket of n members gives n - 1 pairs. Pairs whose
-sketches agree well enough are confirmed on the full sets. Buckets whose members
-are not all in one component by then meet again, whole and under several other
-centres each, until a round adds no link; pairs that are in one component are
-not compared again.
+sketches agree well enough are confirmed on the full sets. Where a bucket still
+holds several components, each sends a few members, others each turn, to meet
+those of one of them, until a turn links no two components anew.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut
 
 BINS, ROWS = 128, 4
-#: Centres of a bucket in each turn after the first.
-CENTRES = 4
+#: Members that a component sends to a shared bucket in each turn after the first.
+SENT = 4
 #: Sketches of a linked pair agree on fewer bins than this with a chance below 1e-9.
 SKETCH_FLOOR = 0.5
 
@@ -107,17 +106,30 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """``(bucket, doc_id, centre)`` for each centre of a bucket and each other member; ``members`` has ``(bucket, doc_id)``.
+def _stars(members: DataFrame) -> DataFrame:
+    """``(bucket, doc_id, centre)`` for each bucket's members but its centre, the first in one order for all buckets."""
+    centre = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.doc_id").alias("centre"))
+    return members.join(centre.hint("merge"), "bucket").where("doc_id <> centre").select("bucket", "doc_id", "centre")
 
-    The first turn has one centre, the first member in one order for all
-    buckets; each later turn has up to ``CENTRES`` by orders of the bucket's own.
+
+def _between(spots: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b, a_in, b_in)`` between components that share a bucket; ``spots`` has ``(bucket, doc_id, part)``.
+
+    Each component sends up to ``SENT`` members, picked anew each turn, to meet
+    those of the bucket's first component in an order of the turn. The number
+    of pairs follows the number of components in mixed buckets.
     """
-    keys = [F.xxhash64("doc_id")] if not turn else [F.xxhash64("doc_id", "bucket", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
-    firsts = [F.min(F.struct(k.alias("k"), "doc_id"))["doc_id"] for k in keys]
-    centre = (members.groupBy("bucket").agg(F.array_distinct(F.array(*firsts)).alias("centres"), F.count("*").alias("n"))
-              .where("n > 1").select("bucket", "centres"))
-    return members.join(centre.hint("merge"), "bucket").select("bucket", "doc_id", F.explode("centres").alias("centre")).where("doc_id <> centre")
+    sent = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn * SENT + i)).alias("k"), "doc_id"))["doc_id"] for i in range(SENT)]))
+    parts = spots.groupBy("bucket", "part").agg(sent.alias("sent"))
+    first = parts.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "part", F.lit(turn)).alias("k"), "part", "sent")).alias("f"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("f.part").alias("head"), F.col("f.sent").alias("heads"))
+    met = parts.join(first.hint("merge"), "bucket").where("part <> head")
+    rows = met.select("part", "head", F.explode("sent").alias("p"), "heads").select("part", "head", "p", F.explode("heads").alias("h"))
+    ordered = F.when(F.col("p") < F.col("h"), F.struct(F.col("p").alias("a"), F.col("h").alias("b"))).otherwise(F.struct(F.col("h").alias("a"), F.col("p").alias("b")))
+    return rows.select(ordered.alias("o"), F.least("part", "head").alias("a_in"), F.greatest("part", "head").alias("b_in")).select("o.a", "o.b", "a_in", "b_in").distinct()
+
+
+def _ends(star: DataFrame) -> DataFrame:
+    return star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,25 +171,30 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = (sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id")))
     heads = cut(sketches.join(classes, [sketches["print"] == classes["print"], sketches["doc_id"] == classes["class_id"]], "left_semi")
                 .dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch"))
-    open_members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
-    labels = docs.sparkSession.createDataFrame([], "doc_id long, component long")
-    texts, turn = None, 0
+    members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
+    # the first turn: one star a bucket, and components of what it confirms
+    star = cut(_stars(members))
+    met = star.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
+    texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    first = _confirm(_ends(star), heads, texts)
+    labels = cut(connected_components(first).withColumnRenamed("node", "doc_id"))
+    # the later turns: components that share a bucket, by further members, until no two are newly linked
+    both = _named(star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre", F.col("centre").alias("centre_in")), labels, "doc_in", "centre_in")
+    spots = cut(both.select("bucket", "doc_id", F.col("doc_in").alias("part")).union(both.select("bucket", "centre", "centre_in").distinct()))
+    links, turn = None, 1
     while True:
-        star = cut(_stars(open_members, turn))
-        pairs = star.select("doc_id", "centre").distinct()
-        if texts is None:
-            met = pairs.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
-            texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        ends = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        apart = _named(ends.select("a", "b", F.col("a").alias("a_in"), F.col("b").alias("b_in")), labels, "a_in", "b_in").where("a_in <> b_in")
-        found = _confirm((apart if turn else ends).select("a", "b"), heads, texts)
+        pairs = _between(spots, turn)
+        if links is not None:
+            pairs = pairs.join(links.select("a_in", "b_in").distinct(), ["a_in", "b_in"], "left_anti")
+        pairs = cut(pairs)
+        found = _confirm(pairs.select("a", "b"), heads, texts)
         if found.isEmpty():
             break
-        labels = _merge(labels, found) if turn else cut(connected_components(found).withColumnRenamed("node", "doc_id"))
-        both = star.select("bucket", F.col("doc_id").alias("doc_in"), "centre")
-        mixed = _named(both, labels, "doc_in", "centre").where("doc_in <> centre").select("bucket").distinct()
-        open_members = cut(star.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct())
+        found = pairs.join(found, ["a", "b"], "left_semi").select("a", "b", "a_in", "b_in")
+        links = cut(found if links is None else links.unionByName(found))
         turn += 1
+    if links is not None:
+        labels = _merge(labels, links.select("a", "b"))
     named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
