@@ -595,3 +595,98 @@ def ST_05_interval_join(s, d):
 @query()
 def ST_06_pull_state(s, d):
     return twins.drain(twins.pull_state(twins.event_stream(s, d), ttl_days=7.0))
+
+
+# cross-reference, views
+
+
+@query(PV + " SELECT visit_id, concat_ws(';', CASE WHEN port LIKE '1-%' THEN 'port_flag' END, CASE WHEN contains(lower(port),'low') THEN 'port_text' END, CASE WHEN lat BETWEEN 20 AND 26 AND lon BETWEEN 66 AND 74 THEN 'box' END) reasons FROM v")
+def P_08_activity_reasons(s, d):
+    box = F.col("lat").between(20, 26) & F.col("lon").between(66, 74)
+    why = F.array_compact(F.array(F.when(F.col("port").startswith("1-"), "port_flag"), F.when(F.lower("port").contains("low"), "port_text"), F.when(box, "box")))
+    return src.port_visits(s, d).select("visit_id", F.array_join(why, ";").alias("reasons"))
+
+
+@query(BASE + CLS + ", " + PV.removeprefix("WITH ") + """, bx AS (SELECT mmsi, min(lat)-0.75 y0, max(lat)+0.75 y1, min(lon)-0.75 x0, max(lon)+0.75 x1 FROM v GROUP BY 1),
+f AS (SELECT c.mmsi, count(*) n, avg((c.lat BETWEEN y0 AND y1 AND c.lon BETWEEN x0 AND x1)::int) share FROM clf c JOIN bx USING (mmsi) WHERE classification='likely_spoofed' GROUP BY 1)
+SELECT mmsi, n, round(share,6)::double share, CASE WHEN share>=0.6 THEN 'matches_baseline' WHEN n>=2 THEN 'outside_baseline' WHEN n>=1 THEN 'mixed' END verdict FROM f""")
+def A_23_J_19_cross_reference(s, d):
+    pad = 0.75
+    box = src.port_visits(s, d).groupBy("mmsi").agg((F.min("lat") - pad).alias("y0"), (F.max("lat") + pad).alias("y1"), (F.min("lon") - pad).alias("x0"), (F.max("lon") + pad).alias("x1"))
+    inside = F.col("lat").between(F.col("y0"), F.col("y1")) & F.col("lon").between(F.col("x0"), F.col("x1"))
+    f = _classified(s, d).where("classification = 'likely_spoofed' and mmsi is not null").join(box, "mmsi").groupBy("mmsi").agg(F.count("*").alias("n"), F.avg(inside.cast("int")).alias("share"))
+    return f.select("mmsi", "n", F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.6, "matches_baseline").when(F.col("n") >= 2, "outside_baseline").when(F.col("n") >= 1, "mixed").alias("verdict"))
+
+
+@query(BASE + CLS + " SELECT sar_id, concat('Reported ', round(distance_km,1)::varchar, ' km from the radar point; ', CASE WHEN time_gap_seconds IS NULL THEN 'nearest vessel of the hour' ELSE 'own track' END) why FROM clf WHERE classification='likely_spoofed'")
+def K_28_why_flagged(s, d):
+    how = F.when(F.col("time_gap_seconds").isNull(), "nearest vessel of the hour").otherwise("own track")
+    return _classified(s, d).where("classification = 'likely_spoofed'").select("sar_id", F.concat(F.lit("Reported "), F.round("distance_km", 1).cast("string"), F.lit(" km from the radar point; "), how).alias("why"))
+
+
+@query(BASE + CLS + " SELECT sar_id, classification, classification='likely_spoofed' OR s.vessel IS NOT NULL flagged FROM clf LEFT JOIN (SELECT DISTINCT mmsi vessel FROM clf WHERE distance_km>20 AND mmsi IS NOT NULL) s ON s.vessel=clf.mmsi WHERE classification<>'no_ais_activity'")
+def P_09_P_10_map_view(s, d):
+    c = _classified(s, d)
+    marked = c.where("distance_km > 20 and mmsi is not null").select("mmsi", F.lit(True).alias("m")).distinct()
+    return c.where("classification <> 'no_ais_activity'").join(marked, "mmsi", "left").select("sar_id", "classification", ((F.col("classification") == "likely_spoofed") | F.coalesce("m", F.lit(False))).alias("flagged"))
+
+
+@query(BASE + STEP + " SELECT event_id, step_km>=1 AND (step_km>=20 OR step_km/greatest(hours,1e-6)/1.852>=12 OR hours>=6) needs_route FROM sp")
+def P_11_needs_route(s, d):
+    r = trajectory.step_speeds(_ais(s, d)).where("hours is not null")
+    return r.select("event_id", trajectory.needs_route(F.col("step_km"), F.col("hours"), F.lit(False)).alias("needs_route"))
+
+
+@query(BASE + STEP + " SELECT vessel_type, count(*) n, sum((step_km/hours/1.852>20)::int)::bigint n_fast FROM sp WHERE hours>0 AND vessel_type IN ('CARGO','TANKER') GROUP BY 1")
+def K_25_speed_sanity(s, d):
+    r = trajectory.step_speeds(_ais(s, d)).where("hours > 0").join(_ais(s, d).select("event_id", "vessel_type"), "event_id").where(F.col("vessel_type").isin("CARGO", "TANKER"))
+    return r.groupBy("vessel_type").agg(F.count("*").alias("n"), F.count_if(F.col("knots") > 20).alias("n_fast"))
+
+
+@query(BASE + STEP + """, k AS (SELECT mmsi, t, step_km/hours kmh FROM sp WHERE hours>0), m AS (SELECT mmsi, quantile_cont(kmh,0.5) med, count(*) n FROM k GROUP BY 1)
+ SELECT sar_id, CASE WHEN m.n<2 THEN 'insufficient' WHEN min(k.kmh)<=2 THEN 'idle' ELSE 'moving' END state, round(min(k.kmh),6) min_kmh, round(max(med),6) median_kmh FROM sar s JOIN k ON k.mmsi=s.mmsi AND abs(k.t-s.t)<=7200000000 JOIN m ON m.mmsi=s.mmsi GROUP BY sar_id, m.n""")
+def W_06_idle(s, d):
+    k = trajectory.step_speeds(_ais(s, d)).where("kmh is not null").select("mmsi", F.col("t").alias("rt"), "kmh")
+    m = k.groupBy("mmsi").agg(F.percentile("kmh", F.lit(0.5)).alias("med"), F.count("*").alias("n"))
+    near = match.range_join(_sar(s, d).where("mmsi is not null").select("sar_id", "mmsi", "t"), k, 2 * HOUR_US, ("mmsi",)).join(m, "mmsi")
+    g = near.groupBy("sar_id").agg(F.min("kmh").alias("least"), F.max("med").alias("med"), F.max("n").alias("n"))
+    return g.select("sar_id", F.when(F.col("n") < 2, "insufficient").when(F.col("least") <= 2, "idle").otherwise("moving").alias("state"), F.round("least", 6).alias("min_kmh"), F.round("med", 6).alias("median_kmh"))
+
+
+@query(BASE + ANOM + " SELECT a.episode_id, round(min(greatest(0, greatest(a.t_start-b.t_end, b.t_start-a.t_end)))/3.6e9,6)::double gap_h FROM ep a JOIN ep b ON a.vessel<>b.vessel AND a.t_start//86400000000=b.t_start//86400000000 GROUP BY 1")
+def J_18_nearest_other_episode(s, d):
+    e = _episodes(s, d).withColumn("day", F.expr("t_start div 86400000000"))
+    o = e.select("day", F.col("vessel").alias("v"), F.col("t_start").alias("s2"), F.col("t_end").alias("e2"))
+    gap = F.greatest(F.lit(0), F.col("t_start") - F.col("e2"), F.col("s2") - F.col("t_end"))
+    return e.join(o, "day").where("v <> vessel").groupBy("episode_id").agg(F.round(F.min(gap) / 3.6e9, 6).alias("gap_h"))
+
+
+@query(BASE + HN + """, g AS (SELECT quantile_cont(km,0.1) a, quantile_cont(km,0.5) b, quantile_cont(km,0.9) c FROM hn), p AS (SELECT i, 10+i*4.0 q FROM range(0,21) t(i))
+ SELECT i, round(CASE WHEN q<=50 THEN a+(q-10)/40*(greatest(a,b)-a) ELSE greatest(a,b)+(q-50)/40*(greatest(a,b,c)-greatest(a,b)) END,6)::double km FROM p, g""")
+def A_38_inverse_cdf(s, d):
+    hn = calibrate.hour_neighbours(_ais(s, d))
+    g = hn.agg(*[F.percentile("km", F.lit(q)).alias(n) for n, q in (("a", 0.1), ("b", 0.5), ("c", 0.9))]).selectExpr("a", "greatest(a, b) AS b", "greatest(a, b, c) AS c")
+    p = g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))).withColumn("q", 10 + F.col("i") * 4.0)
+    km = F.when(F.col("q") <= 50, F.col("a") + (F.col("q") - 10) / 40 * (F.col("b") - F.col("a"))).otherwise(F.col("b") + (F.col("q") - 50) / 40 * (F.col("c") - F.col("b")))
+    return p.select("i", F.round(km, 6).alias("km"))
+
+
+@query(BASE + STEP + " SELECT event_id, k, round(y0+(lat-y0)*k/13.0,6)::double y, round(x0+(lon-x0)*k/13.0,6)::double x FROM sp, range(0,13) r(k) WHERE step_km>50")
+def K_30_dash_segments(s, d):
+    r = trajectory.step_speeds(_ais(s, d)).where("step_km > 50").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))))
+    return r.select("event_id", "k", F.round(F.col("lat0") + (F.col("lat") - F.col("lat0")) * F.col("k") / 13.0, 6).alias("y"), F.round(F.col("lon0") + (F.col("lon") - F.col("lon0")) * F.col("k") / 13.0, 6).alias("x"))
+
+
+@query(BASE + " SELECT sar_id, a.vessel_type FROM sar s LEFT JOIN ais a ON a.mmsi=s.mmsi AND a.t=s.hour*3600000000")
+def J_12_type_join(s, d):
+    a = _ais(s, d).select("mmsi", "t", "vessel_type")
+    return _sar(s, d).withColumn("t", F.col("hour") * HOUR_US).join(a, ["mmsi", "t"], "left").select("sar_id", "vessel_type")
+
+
+@query()
+def A_20_calibration_report(s, d):
+    t, f, k = A_13_distance_thresholds(s, d), A_14_tukey_fence(s, d), A_17_A_18_knee(s, d)
+    gaps = A_15_A_16_bin_gaps(s, d).select("eps_h")
+    row = t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(k)).crossJoin(F.broadcast(gaps))  # one row each
+    low = F.when(F.col("n_kept") < 200, "low").otherwise("ok")
+    return row.select(F.to_json(F.struct(F.struct("matched_km", "spoofed_km", "n_pairs", "n_kept").alias("distance"), F.struct("fence", "heavy_tail").alias("tail"), F.struct("eps_km", "eps_h").alias("clustering"), low.alias("confidence"))).alias("report"))

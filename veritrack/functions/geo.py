@@ -10,7 +10,8 @@ RADIUS_KM = 6371.0088
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # rounding can pass 1 at antipodes; least() would turn a null into 1
+    return 2 * radius * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
