@@ -40,7 +40,7 @@ def interpolate(probes: DataFrame, tracks: DataFrame, id_col: str = "sar_id") ->
 def nearest_in_hour(sar: DataFrame, ais: DataFrame) -> DataFrame:
     """For each detection the nearest row of any vessel in its clock hour, and how many rows there are.
 
-    The reference order of ties is (vessel, position). The hour is the equi key.
+    Ties go by (vessel, position). The hour is the equi key.
     """
     a = ais.select("hour", F.col("mmsi").alias("m"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     pairs = sar.select("sar_id", "hour", "lat", "lon").join(a, "hour")
