@@ -168,9 +168,9 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketches = cut(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary"))
-    classes = (sketches.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id")))
-    heads = cut(sketches.join(classes, [sketches["print"] == classes["print"], sketches["doc_id"] == classes["class_id"]], "left_semi")
-                .dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch"))
+    # one shuffle finds each class of equal sets and its least document; copies fold before it
+    heads = cut(sketches.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("h")).select("print", "h.*"))
+    classes = heads.select("print", F.col("doc_id").alias("class_id"))
     members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
     # the first turn: one star a bucket, and components of what it confirms
     star = cut(_stars(members))
@@ -180,7 +180,9 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     labels = cut(connected_components(first).withColumnRenamed("node", "doc_id"))
     # the later turns: components that share a bucket, by further members, until no two are newly linked
     both = _named(star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre", F.col("centre").alias("centre_in")), labels, "doc_in", "centre_in")
-    spots = cut(both.select("bucket", "doc_id", F.col("doc_in").alias("part")).union(both.select("bucket", "centre", "centre_in").distinct()))
+    mixed = both.groupBy("bucket").agg(F.min("doc_in").alias("low"), F.max("doc_in").alias("high"), F.first("centre").alias("centre"), F.first("centre_in").alias("centre_in")).where("low <> high or low <> centre_in")
+    mixed = cut(mixed.select("bucket", "centre", "centre_in"))
+    spots = cut(both.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", F.col("doc_in").alias("part")).union(mixed))
     links, turn = None, 1
     while True:
         pairs = _between(spots, turn)
