@@ -29,6 +29,8 @@ from veritrack.plans.lineage import cut
 BINS, ROWS = 128, 4
 #: Members that a component sends to a shared bucket in each turn after the first.
 SENT = 4
+#: Components of a shared bucket that the others meet in each turn.
+HEADS = 2
 #: Sketches of a linked pair agree on fewer bins than this with a chance below 1e-9.
 SKETCH_FLOOR = 0.5
 
@@ -113,19 +115,25 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _between(spots: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b, a_in, b_in)`` between components that share a bucket; ``spots`` has ``(bucket, doc_id, part)``.
+    """Pairs ``(a, b)`` between components that share a bucket; ``spots`` has ``(bucket, doc_id, part)``.
 
     Each component sends up to ``SENT`` members, picked anew each turn, to meet
-    those of the bucket's first component in an order of the turn. The number
-    of pairs follows the number of components in mixed buckets.
+    those of the first component in each of ``HEADS`` orders of the turn. The
+    number of pairs follows the number of components in mixed buckets.
     """
     sent = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn * SENT + i)).alias("k"), "doc_id"))["doc_id"] for i in range(SENT)]))
     parts = spots.groupBy("bucket", "part").agg(sent.alias("sent"))
-    first = parts.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "part", F.lit(turn)).alias("k"), "part", "sent")).alias("f"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("f.part").alias("head"), F.col("f.sent").alias("heads"))
-    met = parts.join(first.hint("merge"), "bucket").where("part <> head")
-    rows = met.select("part", "head", F.explode("sent").alias("p"), "heads").select("part", "head", "p", F.explode("heads").alias("h"))
-    ordered = F.when(F.col("p") < F.col("h"), F.struct(F.col("p").alias("a"), F.col("h").alias("b"))).otherwise(F.struct(F.col("h").alias("a"), F.col("p").alias("b")))
-    return rows.select(ordered.alias("o"), F.least("part", "head").alias("a_in"), F.greatest("part", "head").alias("b_in")).select("o.a", "o.b", "a_in", "b_in").distinct()
+    order = lambda i: F.min(F.struct(F.xxhash64("bucket", "part", F.lit(turn * HEADS + i)).alias("k"), "part", "sent"))
+    first = parts.groupBy("bucket").agg(F.array(*[order(i) for i in range(HEADS)]).alias("f"), F.count("*").alias("n")).where("n > 1").select("bucket", "f")
+    met = parts.join(first.hint("merge"), "bucket").select("part", "sent", F.explode("f").alias("f")).select("part", "sent", F.col("f.part").alias("head"), F.col("f.sent").alias("heads")).where("part <> head")
+    rows = met.select(F.explode("sent").alias("p"), "heads").select("p", F.explode("heads").alias("h"))
+    return rows.select(F.least("p", "h").alias("a"), F.greatest("p", "h").alias("b")).distinct()
+
+
+def _mixed(spots: DataFrame) -> DataFrame:
+    """The spots of buckets that hold more than one component."""
+    mixed = spots.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return spots.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
 def _ends(star: DataFrame) -> DataFrame:
@@ -176,27 +184,23 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     star = cut(_stars(members))
     met = star.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
     texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    first = _confirm(_ends(star), heads, texts)
+    ends = cut(_ends(star))
+    first = _confirm(ends, heads, texts)
     labels = cut(connected_components(first).withColumnRenamed("node", "doc_id"))
     # the later turns: components that share a bucket, by further members, until no two are newly linked
     both = _named(star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre", F.col("centre").alias("centre_in")), labels, "doc_in", "centre_in")
-    mixed = both.groupBy("bucket").agg(F.min("doc_in").alias("low"), F.max("doc_in").alias("high"), F.first("centre").alias("centre"), F.first("centre_in").alias("centre_in")).where("low <> high or low <> centre_in")
-    mixed = cut(mixed.select("bucket", "centre", "centre_in"))
-    spots = cut(both.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", F.col("doc_in").alias("part")).union(mixed))
-    links, turn = None, 1
+    spots = cut(_mixed(both.select("bucket", "doc_id", F.col("doc_in").alias("part")).union(both.select("bucket", "centre", "centre_in").distinct())))
+    # a pair once compared is not compared again
+    tried, turn = ends, 1
     while True:
-        pairs = _between(spots, turn)
-        if links is not None:
-            pairs = pairs.join(links.select("a_in", "b_in").distinct(), ["a_in", "b_in"], "left_anti")
-        pairs = cut(pairs)
-        found = _confirm(pairs.select("a", "b"), heads, texts)
+        pairs = cut(_between(spots, turn).join(tried, ["a", "b"], "left_anti"))
+        found = _confirm(pairs, heads, texts)
         if found.isEmpty():
             break
-        found = pairs.join(found, ["a", "b"], "left_semi").select("a", "b", "a_in", "b_in")
-        links = cut(found if links is None else links.unionByName(found))
+        labels = _merge(labels, found)
+        spots = cut(_mixed(_named(spots, labels, "part").select("bucket", "doc_id", "part")))
+        tried = tried.unionByName(pairs)
         turn += 1
-    if links is not None:
-        labels = _merge(labels, links.select("a", "b"))
     named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
