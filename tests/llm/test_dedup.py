@@ -79,3 +79,29 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[i][0] <= link[i].sum() for i in heads)
     assert all(got[v] == (0, v, True) for v in range(9001, 9008) if v in got) and len(got) == len(rows) + 7
     assert embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def near(a, b):
+    return 100 * len(a & b) >= 75 * len(a | b)
+
+
+def family(name, n):
+    return [f"{name}.{i}" for i in range(n)]
+
+
+def assert_groups(spark, texts):
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = groups(list(sets), lambda a, b: near(sets[a], sets[b]))
+    docs = spark.createDataFrame([(i, t, "b", "c") for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.component_id for r in minhash_near_duplicates(docs).collect()} == want
+    return sets, want
+
+
+def test_minhash_finds_links_inside_a_template_family(spark):
+    """Documents just under the threshold with each other, with pairs just over it among them."""
+    texts = []
+    for i in range(500):
+        own = family(f"pair{i // 2}", 6) + family(f"own{i}", 62) if i < 24 else family(f"own{i}", 68)
+        texts.append(" ".join(family("template", 400) + own))
+    sets, want = assert_groups(spark, texts)
+    assert [i for i in want if want[i] != i] == list(range(1, 24, 2))

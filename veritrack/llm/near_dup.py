@@ -7,9 +7,10 @@ value, and each empty bin takes the value of a bin that a universal hash picks
 by trial, the same trials for every document. ``ROWS`` consecutive bins make a
 band. In each bucket of a band the member of least hash is the centre of a star
 of candidate edges, so a bucket of n members gives n - 1 pairs. Pairs whose
-sketches agree well enough are confirmed on the full sets. Where a bucket still
-holds several components, each sends a few members, others each turn, to meet
-those of one of them, until a turn links no two components anew.
+sketches agree well enough are confirmed on the full sets. The members of each
+bucket that then still holds several components are compared in blocks, all
+pairs of two components once over all bands, so nothing that shares a bucket is
+left out; from two blocks comes a star for each linked group, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut
 
 BINS, ROWS = 128, 4
-#: Members that a component sends to a shared bucket in each turn after the first.
-SENT = 4
-#: Components of a shared bucket that the others meet in each turn.
-HEADS = 2
+#: Members of a block of a mixed bucket; a pair of blocks is one unit of comparison.
+BLOCK = 512
+#: Shingles whose places in the sets of two blocks are counted at once.
+SPAN = 4096
 #: Sketches of a linked pair agree on fewer bins than this with a chance below 1e-9.
 SKETCH_FLOOR = 0.5
 
@@ -114,26 +115,125 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(centre.hint("merge"), "bucket").where("doc_id <> centre").select("bucket", "doc_id", "centre")
 
 
-def _between(spots: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` between components that share a bucket; ``spots`` has ``(bucket, doc_id, part)``.
+def _side(members: pa.Array):
+    """Ids, components, bands and sketches of a block's members."""
+    ids, parts, bands, sketches = members.flatten()
+    return ids.to_numpy(), parts.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(ids), -1)
 
-    Each component sends up to ``SENT`` members, picked anew each turn, to meet
-    those of the first component in each of ``HEADS`` orders of the turn. The
-    number of pairs follows the number of components in mixed buckets.
-    """
-    sent = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn * SENT + i)).alias("k"), "doc_id"))["doc_id"] for i in range(SENT)]))
-    parts = spots.groupBy("bucket", "part").agg(sent.alias("sent"))
-    order = lambda i: F.min(F.struct(F.xxhash64("bucket", "part", F.lit(turn * HEADS + i)).alias("k"), "part", "sent"))
-    first = parts.groupBy("bucket").agg(F.array(*[order(i) for i in range(HEADS)]).alias("f"), F.count("*").alias("n")).where("n > 1").select("bucket", "f")
-    met = parts.join(first.hint("merge"), "bucket").select("part", "sent", F.explode("f").alias("f")).select("part", "sent", F.col("f.part").alias("head"), F.col("f.sent").alias("heads")).where("part <> head")
-    rows = met.select(F.explode("sent").alias("p"), "heads").select("p", F.explode("heads").alias("h"))
-    return rows.select(F.least("p", "h").alias("a"), F.greatest("p", "h").alias("b")).distinct()
+
+def open_pairs(bucket: int, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of two components that share no earlier band and whose sketches agree on enough bins."""
+    left = a[1][:, None] != b[1][None, :]
+    for k in range(int(np.flatnonzero(a[2][0] == bucket)[0])):
+        left &= a[2][:, k][:, None] != b[2][:, k][None, :]
+    p, q = np.nonzero(left)
+    keep = np.zeros(len(p), bool)
+    for at in range(0, len(p), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        keep[part] = (a[3][p[part]] == b[3][q[part]]).mean(1) >= SKETCH_FLOOR
+    return p[keep], q[keep]
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of open pairs, a tile for each pair of blocks: ``side`` is 1 for the first block, 2 for the second, 3 for both."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            bucket, i, j = (batch[c][n].as_py() for c in ("bucket", "i", "j"))
+            a, b = (_side(batch[side].slice(n, 1).flatten()) for side in ("a", "b"))
+            p, q = open_pairs(bucket, a, b)
+            ids = np.concatenate([a[0][np.unique(p)], b[0][np.unique(q)]])
+            sides = np.repeat(np.array([1, 2], np.int32), [len(np.unique(p)), len(np.unique(q))])
+            if i == j:
+                ids, sides = np.unique(ids), np.full(len(np.unique(ids)), 3, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), v), t) for v, t in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()))] + [pa.array(sides), pa.array(ids)], ["bucket", "i", "j", "side", "doc_id"])
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of ``left`` have 100 |A and B| >= 75 |A or B| with which of ``right``; none is empty."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def places(sets):
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        known = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[known], kind="stable")
+        return rows[known][order], at[known][order]
+
+    def filled(rows, at, low, n):
+        part = slice(*np.searchsorted(at, [low, low + SPAN]))
+        m = np.zeros((n, SPAN), np.float32)
+        m[rows[part], at[part] - low] = 1
+        return m
+
+    a, b = places(left), places(right)
+    same = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(common), SPAN):
+        same += (filled(*a, low, len(left)) @ filled(*b, low, len(right)).T).astype(np.int64)
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return (same > 0) & (100 * same >= 75 * (sizes - same))
+
+
+def _tile(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, heads)``: each linked document of a tile but the least of its group, and that least."""
+    sets = list(shingle_sets([text for _, _, text in rows]))
+    left, right = ([n for n, r in enumerate(rows) if r[0] & bit] for bit in (1, 2))
+    p, q = np.nonzero(linked([sets[n] for n in left], [sets[n] for n in right]))
+    p, q = np.array(left)[p], np.array(right)[q]
+    ids = np.array([r[1] for r in rows], np.int64)
+    heads = ids.copy()
+    while True:
+        low = heads.copy()
+        np.minimum.at(low, p, heads[q])
+        np.minimum.at(low, q, heads[p])
+        if (low == heads).all():
+            return ids[heads != ids], heads[heads != ids]
+        heads = low
 
 
-def _mixed(spots: DataFrame) -> DataFrame:
-    """The spots of buckets that hold more than one component."""
-    mixed = spots.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return spots.join(mixed.select("bucket"), "bucket", "left_semi")
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` of the tiles, whose rows come one after another."""
+    rows: list[tuple[int, int, bytes]] = []
+    now = None
+
+    def done():
+        ids, heads = _tile(rows)
+        return pa.RecordBatch.from_arrays([pa.array(heads), pa.array(ids)], ["a", "b"])
+
+    for batch in batches:
+        keys = zip(*(batch[c].to_pylist() for c in ("bucket", "i", "j")), strict=True)
+        for key, *row in zip(keys, batch["side"].to_pylist(), batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
+            if key != now and rows:
+                yield done()
+                rows.clear()
+            now = key
+            rows.append(tuple(row))
+    if rows:
+        yield done()
+
+
+def _within(spots: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join the components of ``spots(bucket, doc_id, part)`` wherever two members in a bucket are linked.
+
+    The largest component of a bucket has blocks of its own, which are not
+    compared with each other, so that a large group costs what meets it.
+    """
+    parts = spots.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    sizes = cut(parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+                .select("bucket", F.col("m.part").alias("largest"), F.when(F.col("n") > BLOCK, F.ceil(F.col("m.n") / BLOCK)).otherwise(0).cast("int").alias("own"),
+                        F.when(F.col("n") > BLOCK, F.ceil((F.col("n") - F.col("m.n")) / BLOCK)).otherwise(1).cast("int").alias("other")))
+    salt = F.xxhash64("doc_id")
+    block = F.when((F.col("part") == F.col("largest")) & (F.col("own") > 0), F.pmod(salt, "own")).otherwise(F.col("own") + F.pmod(salt, "other")).cast("int")
+    member = F.struct("doc_id", "part", "bands", "sketch")
+    dealt = spots.join(sizes.hint("merge"), "bucket").select("bucket", "doc_id", "part", "own", "other", block.alias("block"))
+    blocks = dealt.join(heads.select("doc_id", "bands", "sketch"), "doc_id").groupBy("bucket", "block", "own", "other").agg(F.collect_list(member).alias("members"))
+    alone = blocks.where("own + other = 1").select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), F.col("members").alias("a"), F.col("members").alias("b"))
+    many = cut(blocks.where("own + other > 1"))
+    first = many.select("bucket", F.col("block").alias("i"), F.explode(F.sequence(F.greatest("block", "own"), F.col("own") + F.col("other") - 1)).alias("j"), F.col("members").alias("a"))
+    pairs = first.join(many.select("bucket", F.col("block").alias("j"), F.col("members").alias("b")), ["bucket", "j"]).select("bucket", "i", "j", "a", "b")
+    tiles = cut(alone.union(pairs).mapInArrow(_open, "bucket long, i int, j int, side int, doc_id long"))
+    told = tiles.join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return told.select("bucket", "i", "j", "side", "doc_id", "text").mapInArrow(_tiles, "a long, b long").distinct()
 
 
 def _ends(star: DataFrame) -> DataFrame:
@@ -187,20 +287,10 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     ends = cut(_ends(star))
     first = _confirm(ends, heads, texts)
     labels = cut(connected_components(first).withColumnRenamed("node", "doc_id"))
-    # the later turns: components that share a bucket, by further members, until no two are newly linked
-    both = _named(star.select("bucket", "doc_id", F.col("doc_id").alias("doc_in"), "centre", F.col("centre").alias("centre_in")), labels, "doc_in", "centre_in")
-    spots = cut(_mixed(both.select("bucket", "doc_id", F.col("doc_in").alias("part")).union(both.select("bucket", "centre", "centre_in").distinct())))
-    # a pair once compared is not compared again
-    tried, turn = ends, 1
-    while True:
-        pairs = cut(_between(spots, turn).join(tried, ["a", "b"], "left_anti"))
-        found = _confirm(pairs, heads, texts)
-        if found.isEmpty():
-            break
-        labels = _merge(labels, found)
-        spots = cut(_mixed(_named(spots, labels, "part").select("bucket", "doc_id", "part")))
-        tried = tried.unionByName(pairs)
-        turn += 1
+    # every other pair that shares a bucket and not yet a component; centres have met all of theirs
+    spots = cut(_named(star.select("bucket", "doc_id", F.col("doc_id").alias("part")), labels, "part").select("bucket", "doc_id", "part"))
+    found = cut(_within(spots, heads, texts))
+    labels = _merge(labels, found)
     named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
