@@ -105,3 +105,15 @@ def test_minhash_finds_links_inside_a_template_family(spark):
         texts.append(" ".join(family("template", 400) + own))
     sets, want = assert_groups(spark, texts)
     assert [i for i in want if want[i] != i] == list(range(1, 24, 2))
+
+
+def test_minhash_finds_links_to_single_members_of_a_large_group(spark):
+    """Each of the last documents links with one member of a large group only."""
+    template, texts = family("template", 400), []
+    for i in range(200):
+        texts.append(" ".join(template + family(f"own{i}", 30)))
+    for x in range(6):
+        texts.append(" ".join(template[: 65 * x] + template[65 * (x + 1) :] + family(f"own{x}", 9) + family(f"end{x}", 18)))
+    sets, want = assert_groups(spark, texts)
+    assert all([i for i in range(206) if i != x and near(sets[i], sets[x])] == [x - 200] for x in range(200, 206))
+    assert set(want.values()) == {0}
