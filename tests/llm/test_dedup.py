@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from veritrack.llm.embedding_dedup import embedding_near_duplicates
-from veritrack.llm.near_dup import minhash_near_duplicates
+from veritrack.llm.near_dup import BINS, minhash_near_duplicates, open_pairs
 
 DOCS = "doc_id long, text string, bucket string, component_id string"
 
@@ -117,3 +117,11 @@ def test_minhash_finds_links_to_single_members_of_a_large_group(spark):
     sets, want = assert_groups(spark, texts)
     assert all([i for i in range(206) if i != x and near(sets[i], sets[x])] == [x - 200] for x in range(200, 206))
     assert set(want.values()) == {0}
+
+
+def test_minhash_compares_all_components_of_a_bucket():
+    """Three components that share one bucket only: all three pairs are open, whichever comes first."""
+    bands = np.array([[1, 9, 3], [4, 9, 6], [7, 9, 8]], np.int64)
+    side = (np.arange(3), np.arange(3), bands, np.zeros((3, BINS), np.uint8))
+    p, q = open_pairs(9, side, side)
+    assert {frozenset(x) for x in zip(p.tolist(), q.tolist(), strict=True)} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
