@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, normalizers
 
-from veritrack.llm.bpe import MergeTransducer, PieceCache, StreamDecoder, ascii_pattern, encode_and_decode, read_ranks, token_digests
+from veritrack.llm.bpe import MergeTransducer, PieceCache, StreamDecoder, ascii_pattern, encode_and_decode, read_ranks, streamed, token_digests
 from veritrack.llm.token_counts import MARK, PieceCounter, count_tokens, read_vocabulary
 
 RANKS = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
@@ -46,6 +46,13 @@ def test_streamed_text_is_the_whole_text(ids, step):
     assert parts == b"".join(TRANSDUCER.tokens[i] for i in ids).decode("utf-8", "replace")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30), st.integers(1, 5))
+def test_ids_are_decoded_by_the_state_machine(text, step):
+    ids = memoryview(struct.pack(f"<{len(x := REFERENCE.encode_ordinary(text))}I", *x)).cast("I")
+    assert streamed(ids, TRANSDUCER.tokens, step) == text.encode()
+
+
 def test_ascii_pattern():
     import re
 

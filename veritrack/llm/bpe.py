@@ -222,6 +222,12 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
+def streamed(ids: memoryview, tokens: dict[int, bytes], step: int = 4096) -> bytes:
+    """The UTF-8 bytes of the text that a ``StreamDecoder`` makes of ``ids``, held bytes included."""
+    decoder = StreamDecoder(tokens)
+    return ("".join([decoder.feed(ids[at : at + step]) for at in range(0, len(ids), step)]) + decoder.close()).encode()
+
+
 def ascii_pattern(pattern: str) -> str:
     """What ``pattern`` means on ASCII text, for the faster standard library."""
     out, inside, i = "", False, 0
@@ -275,7 +281,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [b"".join(map(packed_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
-                back = [b"".join(map(tokens.__getitem__, memoryview(x).cast("I"))) for x in ids]
+                back = [streamed(memoryview(x).cast("I"), tokens) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "token_ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids binary, decoded binary")
