@@ -131,7 +131,7 @@ def J_15_nearest_in_time(s, d):
 @query(BASE + CLS + " SELECT classification, count(*) n, round(100.0*count(*)/sum(count(*)) OVER (), 6)::double pct FROM clf GROUP BY 1")
 def A_01_class_share(s, d):
     n = _classified(s, d).groupBy("classification").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("classification", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("classification", "n", F.round(F.try_divide(100.0 * F.col("n"), F.col("total")), 6).alias("pct"))
 
 
 @query(BASE + CLS + " SELECT (time_gap_seconds IS NOT NULL) identity_path, sum((classification='matched')::int)::bigint matched, sum((classification='discrepant')::int)::bigint discrepant, sum((classification='likely_spoofed')::int)::bigint likely_spoofed, sum((classification='no_ais_activity')::int)::bigint no_ais_activity FROM clf GROUP BY 1")
@@ -374,7 +374,7 @@ def A_17_A_18_knee(s, d):
 @query("SELECT o_orderpriority param, round(auto,6) auto, CASE WHEN r<=2 THEN 'AGREES' WHEN r<=3 THEN 'LOOSE' ELSE 'DIVERGES' END verdict FROM (SELECT o_orderpriority, avg(o_totalprice) auto, greatest(avg(o_totalprice)/60000.0, 60000.0/avg(o_totalprice)) r FROM orders GROUP BY 1)")
 def A_19_agreement(s, d):
     g = src.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("param")).agg(F.avg("o_totalprice").alias("auto"))
-    r = F.greatest(F.col("auto") / 60000.0, 60000.0 / F.col("auto"))
+    r = F.greatest(F.col("auto") / 60000.0, F.try_divide(F.lit(60000.0), F.col("auto")))
     return g.select("param", F.round("auto", 6).alias("auto"), F.when(r <= 2, "AGREES").when(r <= 3, "LOOSE").otherwise("DIVERGES").alias("verdict"))
 
 
@@ -437,7 +437,7 @@ def A_21_W_09_baseline(s, d):
 def A_22_transit_speed(s, d):
     w = Window.partitionBy("mmsi").orderBy("t", "visit_id")
     v = src.port_visits(s, d)
-    legs = v.select("mmsi", haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("km"), ((F.col("t") - F.lag("t").over(w)) / HOUR_US).alias("h")).where("h >= 3 and km >= 30").withColumn("kn", F.col("km") / F.col("h") / trajectory.KNOT_KMH)
+    legs = v.select("mmsi", haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("km"), ((F.col("t") - F.lag("t").over(w)) / HOUR_US).alias("h")).where("h >= 3 and km >= 30").withColumn("kn", F.try_divide(F.col("km"), F.col("h")) / trajectory.KNOT_KMH)
     return legs.groupBy("mmsi").agg(F.count("*").alias("legs"), F.round(F.max("kn"), 6).alias("max_kn"), F.round(F.percentile("kn", F.lit(0.5)), 6).alias("median_kn"))
 
 

@@ -30,7 +30,7 @@ def interpolate(probes: DataFrame, tracks: DataFrame, id_col: str = "sar_id") ->
     after = F.first(F.when(F.col("first").isNotNull(), F.struct("t", "first.lat", "first.lon")), ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
     both = rows.select(id_col, "t", before.alias("b"), after.alias("a")).where(f"{id_col} is not null and b is not null and a is not null")
     span = F.col("a.t") - F.col("b.t")
-    share = (F.col("t") - F.col("b.t")) / span
+    share = F.try_divide(F.col("t") - F.col("b.t"), span)
     mid = lambda c: F.when(F.col("a.t") == F.col("t"), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}") + share * (F.col(f"a.{c}") - F.col(f"b.{c}")))
     gap = F.least(F.col("t") - F.col("b.t"), F.col("a.t") - F.col("t")) / 1e6
     both = both.withColumn("share_ok", span > 0)

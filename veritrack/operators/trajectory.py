@@ -26,7 +26,8 @@ def predict_triples(ais: DataFrame) -> DataFrame:
     rows = ais.withColumn("p0", F.lag(p, 2).over(w)).withColumn("p1", F.lag(p, 1).over(w)).where("p0 is not null")
     rows = rows.withColumn("gap01", (F.col("p1.t") - F.col("p0.t")) / HOUR_US).withColumn("gap12", (F.col("t") - F.col("p1.t")) / HOUR_US).where("gap01 > 0 and gap12 > 0")
     moved = haversine(F.col("p0.lat"), F.col("p0.lon"), F.col("p1.lat"), F.col("p1.lon"))
-    rows = rows.withColumn("speed_kmh", moved / F.col("gap01"))
+    # the optimiser may evaluate this before the guard above
+    rows = rows.withColumn("speed_kmh", F.try_divide(moved, F.col("gap01")))
     y, x = destination(F.col("p1.lat"), F.col("p1.lon"), bearing(F.col("p0.lat"), F.col("p0.lon"), F.col("p1.lat"), F.col("p1.lon")), F.col("speed_kmh") * F.col("gap12"))
     still = F.col("speed_kmh") == 0
     rows = rows.withColumn("predicted_lat", F.when(still, F.col("p1.lat")).otherwise(y)).withColumn("predicted_lon", F.when(still, F.col("p1.lon")).otherwise(x))
@@ -39,7 +40,7 @@ def step_speeds(ais: DataFrame) -> DataFrame:
     w = Window.partitionBy("mmsi").orderBy("t", "lat", "lon", "event_id")
     rows = ais.withColumn("q", F.lag(F.struct("t", "lat", "lon")).over(w))
     km, hours = haversine(F.col("q.lat"), F.col("q.lon"), F.col("lat"), F.col("lon")), (F.col("t") - F.col("q.t")) / HOUR_US
-    kmh = F.when(hours > 0, km / hours)
+    kmh = F.when(hours > 0, F.try_divide(km, hours))
     return rows.select("event_id", "mmsi", "t", "lat", "lon", km.alias("step_km"), hours.alias("hours"), kmh.alias("kmh"), (kmh / KNOT_KMH).alias("knots"), F.col("q.lat").alias("lat0"), F.col("q.lon").alias("lon0"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.plans.lineage import cut
+from veritrack.plans.lineage import cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,12 +21,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                  .select("node", F.least("node", "m").alias("label")))
+    old = labels
     while True:
         near = (both.join(labels.withColumnRenamed("node", "b"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = cut(step.join(up, "label").select("node", "was", F.least("label", "up").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("label <> was").isEmpty():
+        done = new.where("label <> was").isEmpty()
+        release(old)
+        old, labels = new, new.select("node", "label")
+        if done:
+            release(both)
             return labels.select("node", F.col("label").alias("component"))
