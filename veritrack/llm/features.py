@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.llm.kernels import span_hashes, words
+from veritrack.llm.kernels import span_hashes, window_hashes, words
 
 
 def _blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
@@ -27,12 +27,13 @@ def _blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
         yield part
 
 
-def ngram_counts(texts: list[str], orders: tuple[int, ...], bits: int, with_words: bool = False) -> Iterator[np.ndarray]:
+def ngram_counts(texts: list[str], orders: tuple[int, ...], bits: int, word_orders: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
     """For each text, float32 counts of its hashed features in ``2**bits`` slots.
 
     Texts are joined by line feeds, so an n-gram may see one line feed before
-    and after its text but never another text's letters. With words, slot 0 also
-    counts the words that repeat the word before them.
+    and after its text but never another text's letters. ``word_orders`` names
+    the word n-grams that count too; with any, one more slot at the end counts
+    the words that repeat the word before them.
     """
     shift = np.uint32(32 - bits)
     for part in _blocks(texts):
@@ -48,20 +49,24 @@ def ngram_counts(texts: list[str], orders: tuple[int, ...], bits: int, with_word
             if n in orders:
                 g = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
                 grams.append((n, ((g ^ (g >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> shift).astype(np.int64)))
-        if with_words:
+        if word_orders:
             w = words([t.encode("utf-8", "surrogatepass") for t in part])
-            slots = (span_hashes(w.buf, w.starts, w.ends) >> np.uint64(64 - bits)).astype(np.int64)
-            again = np.append(False, slots[1:] == slots[:-1])
+            single = span_hashes(w.buf, w.starts, w.ends)
+            runs = [(n, ((single if n == 1 else window_hashes(single, n)) >> np.uint64(64 - bits)).astype(np.int64)) for n in word_orders]
+            again = np.append(False, single[1:] == single[:-1])
         for i, t in enumerate(part):
-            out = np.zeros(1 << bits, np.float32)
+            out = np.zeros((1 << bits) + bool(word_orders), np.float32)
+            grown = out[: 1 << bits]
             for n, g in grams:
                 a, b = at[i], at[i] + len(t) + 3 - n
                 if t and b > a:
-                    out += np.bincount(g[a:b], minlength=1 << bits)
-            if with_words:
+                    grown += np.bincount(g[a:b], minlength=1 << bits)
+            if word_orders:
                 a, b = w.first[i], w.first[i + 1]
-                out += np.bincount(slots[a:b], minlength=1 << bits)
-                out[0] += again[a + 1 : b].sum()
+                for n, r in runs:
+                    if b - a >= n:
+                        grown += np.bincount(r[a : b - n + 1], minlength=1 << bits)
+                out[-1] = again[a + 1 : b].sum()
             yield out
 
 
@@ -138,10 +143,10 @@ def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", seed: int =
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
 
 
-def matrices(texts: list[str], orders: tuple[int, ...], bits: int, with_words: bool = False, rows: int = 256) -> Iterator[np.ndarray]:
+def matrices(texts: list[str], orders: tuple[int, ...], bits: int, word_orders: tuple[int, ...] = (), rows: int = 256) -> Iterator[np.ndarray]:
     """The counts of ``ngram_counts`` in matrices of at most ``rows`` texts."""
     part = []
-    for counts in ngram_counts(texts, orders, bits, with_words):
+    for counts in ngram_counts(texts, orders, bits, word_orders):
         part.append(counts)
         if len(part) == rows:
             yield np.stack(part)
@@ -150,11 +155,12 @@ def matrices(texts: list[str], orders: tuple[int, ...], bits: int, with_words: b
         yield np.stack(part)
 
 
-def collect_features(sample: DataFrame, features, value: str) -> tuple[np.ndarray, list]:
-    """Feature rows, computed on the executors, and values of a bounded sample ``(text, <value>)``.
+def collect_features(sample: DataFrame, features, value: str) -> tuple[np.ndarray, list, list]:
+    """Feature rows, computed on the executors, with values and ids of a bounded sample ``(doc_id, text, <value>)``.
 
-    ``features`` turns a list of texts into matrices. A sample without rows
-    gives an empty matrix.
+    ``features`` turns a list of texts into matrices. Rows come in the order of
+    ids, so that equal inputs give equal models. A sample without rows gives an
+    empty matrix.
     """
     import pyarrow as pa
 
@@ -162,13 +168,13 @@ def collect_features(sample: DataFrame, features, value: str) -> tuple[np.ndarra
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             rows = [row.tobytes() for m in features(texts) for row in m]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["row", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["row", "value", "doc_id"])
 
-    got = sample.select(F.col("text").cast("string").alias("text"), F.col(value).alias("value"))
+    got = sample.select(F.col("text").cast("string").alias("text"), F.col(value).alias("value"), F.col("doc_id").cast("long").alias("doc_id"))
     kind = got.schema["value"].dataType.simpleString()
-    table = got.mapInArrow(run, f"row binary, value {kind}").toArrow()
+    table = got.mapInArrow(run, f"row binary, value {kind}, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("value", "ascending"), ("row", "ascending")])
     x = np.frombuffer(b"".join(table["row"].to_pylist()), np.float32)
-    return x.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), np.float32), table["value"].to_pylist()
+    return x.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), np.float32), table["value"].to_pylist(), table["doc_id"].to_pylist()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int]) -> DataFrame:
@@ -184,3 +190,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     chosen = bounded_sample(known, most)
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")))
+
+
+def judged_rows(docs: DataFrame, carry: bool, results: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``(doc_id, text)`` of ``docs`` and, with ``carry``, its other columns but those named like a result; and which are carried."""
+    rest = [c for c in docs.columns if c != "doc_id" and c not in results] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in rest if c != "text"])
+    return rows, rest
+
+
+def with_results(batch, rest: list[str], values: list, names: list[str]):
+    """A batch of ids, results and the carried columns."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *values, *(batch.column(c) for c in rest)], ["doc_id", *names, *rest])
+
+
+def result_schema(rows: DataFrame, rest: list[str], results: str) -> str:
+    """The schema of ``with_results``; ``results`` names the results' types."""
+    return ", ".join(["doc_id long", results, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)])

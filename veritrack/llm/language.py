@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrack.llm.features import collect_features, crc_fold, linear_svm, matrices, platt, sigmoid, unit_rows
+from veritrack.llm.features import collect_features, crc_fold, judged_rows, linear_svm, matrices, platt, result_schema, sigmoid, unit_rows, with_results
 
 UNDETERMINED = "und"
 ORDERS, BITS = (1, 2, 3), 12
@@ -60,17 +60,27 @@ def _chance(x: np.ndarray, machine: tuple) -> np.ndarray:
     return sigmoid(a * (x @ w[:-1] + w[-1]) + b)
 
 
-def fit_languages(docs: DataFrame, folds: int = 5, held_out: int = 0, per_language: int = 1000) -> LanguageModel:
+def fit_languages(docs: DataFrame, folds: int = 5, held_out: int = 0, per_language: int = 1000, most: int = 6000, languages: int = 200) -> LanguageModel:
     """Learns from text and lang of at most ``per_language`` rows of each language outside the held-out fold.
 
-    Rows whose text, lang or doc_id is null are left out, as are texts without
+    Of more than ``languages`` languages the most frequent are learned; all
+    together bring at most ``most`` rows, so their features stay small on the
+    driver however many there are. Of a frequent language only rows whose hash
+    is below a threshold of its count compete for the sample, so that no task
+    sorts it whole. Rows whose text, lang or doc_id is null are left out, as are texts without
     a letter. A table without usable rows gives a model without languages.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id").distinct()
-    x, langs = collect_features(known.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(ids), "doc_id", "left_semi"), _features, "lang")
+    known = known.where(F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    each = min(per_language, most // max(len(counts), 1))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2.0 * each + 50) / r.n)) for r in counts], "lang string, share double")
+    spread = (F.xxhash64("doc_id", F.lit(11)).cast("double") / 2.0**64) + 0.5
+    chosen = known.select("doc_id", "lang").join(F.broadcast(shares), "lang").withColumn("at", spread).where("at <= share")
+    order = Window.partitionBy("lang").orderBy("at", "doc_id")
+    ids = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("doc_id").distinct()
+    x, langs, _ = collect_features(known.join(F.broadcast(ids), "doc_id", "left_semi"), _features, "lang")
     x, langs = unit_rows(x), np.array(langs, object)
     families: dict[str, list[str]] = {}
     for language in sorted(set(langs)):
@@ -113,19 +123,21 @@ def predict(x: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray
     return language, score
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, folds: int = 5, held_out: int = 0) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, folds: int = 5, held_out: int = 0, carry: bool = False) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs(doc_id, text)``.
 
     Whole texts are read. A null text, one without a letter, or a model without
     languages gives ``und`` with score 0. ``held_out`` is null for a null id.
-    Repeated rows are kept, other columns ignored; an empty table gives none.
+    Repeated rows are kept; an empty table gives none. Other columns are left
+    out, or kept with ``carry`` (those named like a result are replaced), so
+    that a filter needs no join.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             able = [i for i, t in enumerate(texts) if model.families and any(map(str.isalpha, t))]
             names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             at = 0
@@ -133,7 +145,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, folds: int = 5, he
                 rows = able[at : at + len(counts)]
                 names[rows], scores[rows] = predict(unit_rows(counts), model)
                 at += len(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores.clip(0, 1), pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield with_results(batch, rest, [pa.array(names, pa.string()), pa.array(scores.clip(0, 1), pa.float64())], ["lang_pred", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score")
+    rows, rest = judged_rows(docs, carry, ("held_out", "lang_pred", "score"))
+    found = rows.mapInArrow(run, result_schema(rows, rest, "lang_pred string, score double"))
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", *rest)

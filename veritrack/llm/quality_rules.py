@@ -1,4 +1,7 @@
-"""Quality rules: counted limits, then a calibrated logistic regression (operator 9)."""
+"""Quality rules: counted limits, then a calibrated logistic regression (operator 9).
+
+Its features are hashed characters, character pairs, words and word pairs.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veritrack.llm.features import collect_features, labelled_sample, logistic, matrices, platt, sigmoid, unit_rows
 
-ORDERS, BITS = (1, 2), 12
+ORDERS, WORD_ORDERS, BITS = (1, 2), (1, 2), 13
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT, LEAST_CHANCE = 50, 50, 0.5
 
@@ -25,7 +28,7 @@ class RuleModel(NamedTuple):
 
 
 def _features(texts: list[str]) -> Iterator[np.ndarray]:
-    return matrices(texts, ORDERS, BITS, with_words=True)
+    return matrices(texts, ORDERS, BITS, WORD_ORDERS)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most: int = 3000) -> RuleModel:
@@ -33,10 +36,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int
 
     Without labels of both kinds the model finds every text good.
     """
-    counts, y = collect_features(labelled_sample(docs, labels, "quality", most, (folds, held_out)), _features, "quality")
+    counts, y, _ = collect_features(labelled_sample(docs, labels, "quality", most, (folds, held_out)), _features, "quality")
     y = np.array(y)
     if len(set(y.tolist())) < 2:
-        return RuleModel(np.zeros((1 << BITS) + 1, np.float32), 0.0, 30.0)
+        return RuleModel(np.zeros((1 << BITS) + 2, np.float32), 0.0, 30.0)
     x = unit_rows(counts)
     train = np.arange(len(y)) % 2 == 0
     w = logistic(x[train], y[train])

@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled texts under TF-IDF cosine (operator 2).
 
 Terms of a text are its lower-cased words and their beginnings of four to seven
-letters, marked once more where they make up a hundredth of the words. The vocabulary holds the terms whose presence goes with the label
-clearly enough in the labelled sample. The sample's vectors stand in an
-inverted index cut into blocks of texts; each term keeps its greatest weight in
+letters. The vocabulary holds the terms whose presence goes with the label
+clearly enough in the labelled sample; a term weighs the root of its count in
+the text times its inverse document frequency in the sample, and vectors have
+unit length. The sample's vectors stand in an inverted index cut into blocks of texts; each term keeps its greatest weight in
 each block, which bounds the cosine of any text there. Blocks are scored from
 the highest bound down, until the bound of the next is below the last
-neighbour kept, so the neighbours are exact.
+neighbour kept, so the neighbours are exact; of equal cosines the least id counts.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from veritrack.llm.features import crc_fold, labelled_sample, platt, sigmoid
 from veritrack.plans.lineage import cut
 
 PREFIXES, NEIGHBOURS, BLOCK = (4, 5, 6, 7), 10, 64
-DENSE, DENSE_SHARE = "%", 0.01
-#: A term needs this share of the sample and this many standard deviations of association; small samples ask for less.
-LEAST_SHARE, LEAST_DEVIATIONS, DEVIATIONS_BY_ROOT = 0.003, 7.0, 0.3
+#: A term needs this many texts of the sample and this many standard deviations of association; small samples ask for less.
+LEAST_TEXTS, LEAST_DEVIATIONS, DEVIATIONS_BY_ROOT = 3, 7.0, 0.3
+#: Bounds and cosines are summed in different order; a difference below this is none.
+ROUNDING = 1e-9
 #: Weight of the sample's own share of label 1 among the votes.
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
@@ -35,19 +37,15 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"\w+").findall
 
 
-def terms(text: str) -> set[str]:
-    """Words and their beginnings, and again with ``DENSE`` those that make up at least ``DENSE_SHARE`` of the words."""
+def terms(text: str) -> Counter[str]:
+    """How often each word and each beginning of a longer word occurs; beginnings end in ``*``."""
     counts = Counter(_WORD(text.lower()))
-    total = counts.total()
-    found = set(counts)
-    for n in PREFIXES:
-        heads: dict[str, int] = {}
-        for w, c in counts.items():
-            if len(w) > n:
-                heads[w[:n]] = heads.get(w[:n], 0) + c
-        found.update(heads)
-        found.update(h + DENSE for h, c in heads.items() if c >= DENSE_SHARE * total)
-    found.update(w + DENSE for w, c in counts.items() if c >= DENSE_SHARE * total)
+    found = Counter(counts)
+    for w, c in counts.items():
+        for n in PREFIXES:
+            if len(w) <= n:
+                break
+            found[w[:n] + "*"] += c
     return found
 
 
@@ -88,14 +86,15 @@ def build_index(vectors: list[dict[str, float]], labels: list[int], ids: list[in
     return index
 
 
-def unit_vector(found: set[str], idf: dict[str, float]) -> dict[str, float]:
-    known = {t: idf[t] for t in sorted(found & idf.keys())}
+def unit_vector(found: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
+    """The TF-IDF vector of counted terms, of unit length; terms outside the vocabulary have no weight."""
+    known = {t: found[t] ** 0.5 * idf[t] for t in sorted(found.keys() & idf.keys())}
     length = np.sqrt(sum(w * w for w in known.values()))
     return {t: w / length for t, w in known.items()}
 
 
 def nearest(index: BlockMaxIndex, query: dict[str, float], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Places and cosines of the exact ``k`` nearest texts that share a term, most similar first; of equals at the last place any may count."""
+    """Places and cosines of the exact ``k`` nearest texts that share a term, most similar first, of equals the least id."""
     if not query:
         return np.zeros(0, np.int64), np.zeros(0)
     rows = [index.number[t] for t in query]
@@ -104,7 +103,7 @@ def nearest(index: BlockMaxIndex, query: dict[str, float], k: int = NEIGHBOURS,
     order = np.argsort(-bound, kind="stable")
     places, cosines = np.zeros(0, np.int64), np.zeros(0)
     for b in order:
-        if bound[b] <= 0 or len(cosines) == k and bound[b] <= cosines[-1]:
+        if bound[b] <= 0 or len(cosines) == k and bound[b] + ROUNDING < cosines[-1]:
             break
         total = np.zeros(BLOCK)
         for t, w in zip(rows, weight, strict=True):
@@ -112,9 +111,10 @@ def nearest(index: BlockMaxIndex, query: dict[str, float], k: int = NEIGHBOURS,
             total[index.texts[at:end] - b * BLOCK] += w * index.weights[at:end]
         if 0 <= skip - b * BLOCK < BLOCK:
             total[skip - b * BLOCK] = 0
+        total = np.round(total, 9)
         hit = np.flatnonzero(total > 0)
         places, cosines = np.append(places, hit + b * BLOCK), np.append(cosines, total[hit])
-        best = np.lexsort((places, -cosines))[:k]
+        best = np.lexsort((index.ids[places], -cosines))[:k]
         places, cosines = places[best], cosines[best]
     return places, cosines
 
@@ -134,19 +134,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(terms(t or "")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+            found = [sorted(terms(t or "").items()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "terms"])
 
-    sample = cut(sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>"))
+    sample = cut(sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms map<string,long>"))
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = positive / n if n else 0.0
     expected = F.col("df") * share
     deviations = F.abs(F.col("positive") - expected) / F.sqrt(expected * (1 - share) * (1 - F.col("df") / n) + 1e-9) if 0 < share < 1 else F.lit(0.0)
-    chosen = (sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("positive"))
-              .where((F.col("df") >= max(3, LEAST_SHARE * n)) & (deviations >= min(LEAST_DEVIATIONS, DEVIATIONS_BY_ROOT * n**0.5))))
+    chosen = (sample.select("toxic", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("positive"))
+              .where((F.col("df") >= LEAST_TEXTS) & (deviations >= min(LEAST_DEVIATIONS, DEVIATIONS_BY_ROOT * n**0.5))))
     idf = {r.term: float(np.log(n / r.df) + 1) for r in chosen.orderBy("term").collect()} if 0 < share < 1 else {}
-    rows = sample.select("doc_id", "toxic", F.array_intersect("terms", F.array([F.lit(t) for t in idf]) if idf else F.array().cast("array<string>")).alias("terms")).orderBy("doc_id").collect()
-    return build_index([unit_vector(set(r.terms), idf) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], idf)
+    rows = sample.select("doc_id", "toxic", F.map_filter("terms", lambda t, _: t.isin(*idf) if idf else F.lit(False)).alias("terms")).orderBy("doc_id").collect()
+    return build_index([unit_vector(r.terms, idf) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], idf)
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, folds: int = 4, held_out: int = 2) -> DataFrame:
