@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from veritrack.llm.embedding_dedup import embedding_near_duplicates
+from veritrack.llm import embedding_dedup
+from veritrack.llm.embedding_dedup import embedding_near_duplicates, leaves, plant
 from veritrack.llm.near_dup import BINS, minhash_near_duplicates, open_pairs
 
 DOCS = "doc_id long, text string, bucket string, component_id string"
@@ -68,7 +69,7 @@ def test_embeddings_equal_brute_force(spark):
     near = np.concatenate([base, base + 0.1 * draw.standard_normal(base.shape), base + 0.1 * draw.standard_normal(base.shape), base[:5], base[:1] + 0.02 * draw.standard_normal((700, 16))])
     labels = [int(i) % 3 for i in draw.integers(0, 3, len(near))]
     rows = [(i, [float(x) for x in v], y) for i, (v, y) in enumerate(zip(near, labels, strict=True))]
-    odd = [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] * 16, 0), (9004, [1.0, None] + [0.0] * 14, 0), (9005, [1.0], 0), (9006, rows[0][1], None), (9007, [float("inf")] * 16, 0), (None, rows[0][1], 0)]
+    odd = [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] * 16, 0), (9004, [1.0, None] + [0.0] * 14, 0), (9005, [1.0], 0), (9006, rows[0][1], None), (9008, [1e200] + [0.0] * 15, 50), (9009, [1e-200] + [0.0] * 15, 50), (9010, [1e300, 1e-300, 0.0], 50), (9011, [2.0, 0.0, 0.0], 50), (9007, [float("inf")] * 16, 0), (None, rows[0][1], 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")).collect()}
     unit = near / np.linalg.norm(near, axis=1, keepdims=True)
     link = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
@@ -77,10 +78,46 @@ def test_embeddings_equal_brute_force(spark):
     exact = sum(got[i] == (link[i].sum(), heads[i], heads[i] == i) for i in heads)
     assert exact >= 0.98 * len(heads)
     assert all(got[i][0] <= link[i].sum() for i in heads)
-    assert all(got[v] == (0, v, True) for v in range(9001, 9008) if v in got) and len(got) == len(rows) + 7
+    assert all(got[v] == (0, v, True) for v in range(9001, 9008) if v in got) and len(got) == len(rows) + 11
+    assert [got[v] for v in range(9008, 9012)] == [(1, 9008, True), (1, 9008, False), (1, 9010, True), (1, 9010, False)]
     assert embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_forest_finds_close_pairs_with_few_copies(monkeypatch):
+    """Recall of pairs just over the threshold and leaves a vector, at a tree depth of 10 on isotropic vectors."""
+    draw = np.random.default_rng(8)
+    for size in (16, 384):
+        base = embedding_dedup._unit(draw.standard_normal((4000, size)))
+        side = draw.standard_normal((1000, size))
+        side -= (side * base[:1000]).sum(1, keepdims=True) * base[:1000]
+        close = 0.935 * base[:1000] + (1 - 0.935**2) ** 0.5 * embedding_dedup._unit(side)
+        together, copies = np.zeros(1000, bool), 0
+        for seed in range(embedding_dedup.TREES):
+            tree = plant(base, 1 << 20, seed)
+            assert tree.depth == 10
+            row, at = leaves(np.concatenate([base[:1000], close]), tree)
+            copies += len(row) / 2000
+            spots = [set() for _ in range(2000)]
+            for r, leaf in zip(row.tolist(), at.tolist(), strict=True):
+                spots[r].add(leaf)
+            together |= np.array([bool(spots[i] & spots[i + 1000]) for i in range(1000)])
+        assert together.mean() > 0.93 and copies < 11, (size, together.mean(), copies)
+
+
+def test_forest_loses_no_link_of_deep_trees(spark, monkeypatch):
+    """Close pairs at a small leaf size, so that trees are deep; the index is fitted on a part of the rows."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 32)
+    draw = np.random.default_rng(9)
+    base = draw.standard_normal((1500, 32))
+    rows = np.concatenate([base, base[:300] + 0.1 * draw.standard_normal((300, 32))])
+    df = spark.createDataFrame([(i, v.tolist(), 1, "clash", True) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int, component_id string, kept boolean")
+    got = {r.vec_id: r.component_id for r in embedding_near_duplicates(df.union(df.limit(5)), fit_rows=400).collect()}
+    unit = embedding_dedup._unit(rows.astype(np.float32))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)), strict=True)}
+    found = {(i, j) for i, j in want if got[i] == got[j]}
+    assert len(found) >= 0.97 * len(want) and len(want) >= 290
+
+
 def near(a, b):
     return 100 * len(a & b) >= 75 * len(a | b)
 

@@ -1,15 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees (operator 10).
 
-Each tree splits recursively: a node's vectors are projected on a random
-direction and divided at the median of a bounded fitting sample; a vector
-within the spill margin of the division goes down both sides. Nodes are split
-while the largest label is expected to leave more than ``LEAF`` vectors in them.
-Every vector is sent to all its leaves; vectors that share a leaf and a label
-are compared in blocks and links are verified in double precision. A link
-counts in the first leaf that its two vectors share, so once over all trees.
-From a pair of blocks come a count for each vector and a spanning star for each
-of its connected groups, never all pairs of a group; the stars are joined to
-components.
+Each tree splits recursively: every node has a random direction of its own and
+divides its vectors at the median of their projections. A vector in the middle
+``SPILL`` of a node's projections goes down both sides. A tree is as deep as
+the rows of the largest label need for leaves of about ``LEAF`` vectors; the
+medians come from a bounded fitting sample, at nodes that few of the sample
+reach from all of it. Every vector is sent to all its leaves; vectors that
+share a leaf and a label are compared in blocks and links are verified in
+double precision. A link counts in the first leaf that its two vectors share,
+so once over all trees. From a pair of blocks come a count for each vector and
+a spanning star for each of its connected groups, never all pairs of a group;
+the stars are joined to components.
 """
 
 from __future__ import annotations
@@ -24,76 +25,104 @@ from pyspark.sql import functions as F
 
 from veritrack.llm.features import bounded_sample
 from veritrack.plans.components import connected_components
-from veritrack.plans.lineage import cut
+from veritrack.plans.lineage import cut, release
 
-THRESHOLD, TREES, LEAF, SPILL = 0.93, 6, 256, 0.05
+#: ``SPILL`` is a share of a node's vectors, so that the number of copies does not depend on the dimension.
+THRESHOLD, TREES, LEAF, SPILL = 0.93, 6, 1024, 0.05
 #: Rows of a block of a leaf; a pair of blocks is one unit of comparison.
 BLOCK = 512
+#: A node that fewer vectors of the sample reach takes its division from the whole sample.
+LEAST_FIT = 32
+#: Vectors of the sample that go along for nodes without a division of their own.
+COMMON = 512
 
 
 class Tree(NamedTuple):
-    """Nodes in heap order: a direction's number, the division, and whether the node is split."""
+    """Divisions ``node: (low, middle, high)`` of nodes in heap order, vectors for the nodes without one, and the depth."""
 
-    directions: np.ndarray
-    divisions: np.ndarray
-    split: np.ndarray
+    seed: int
+    depth: int
+    divisions: dict[int, tuple[float, float, float]]
+    common: np.ndarray
+
+
+def direction(seed: int, node: int, size: int) -> np.ndarray:
+    """A node's random direction, the same on every machine."""
+    d = np.random.default_rng((seed, node)).standard_normal(size)
+    return d / np.linalg.norm(d)
+
+
+def _division(projected: np.ndarray) -> tuple[float, float, float]:
+    return tuple(np.quantile(projected, [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2]).tolist())
 
 
 def plant(sample: np.ndarray, rows: int, seed: int) -> Tree:
     """A tree for a table of ``rows`` unit vectors like those of ``sample``."""
-    draw = np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF))))
-    depth = min(depth, max(0, int(np.log2(max(len(sample), 1) / 4))))
-    directions = draw.standard_normal((max(depth, 1), sample.shape[1] if sample.ndim == 2 else 1))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    nodes = 2 ** (depth + 1)
-    divisions, split = np.zeros(nodes), np.zeros(nodes, bool)
-    at = np.ones(len(sample), np.int64)
-    for level in range(depth):
-        projected = sample @ directions[level]
-        for node in range(2**level, 2 ** (level + 1)):
-            here = projected[at == node]
-            if len(here) > 1:
-                divisions[node], split[node] = np.median(here), True
-        at = 2 * at + (projected > divisions[at])
-    return Tree(directions, divisions, split)
+    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF)))) if len(sample) else 0
+    divisions: dict[int, tuple[float, float, float]] = {}
+    here = {1: np.arange(len(sample))}
+    for _ in range(depth):
+        below = {}
+        for node, members in here.items():
+            projected = sample[members] @ direction(seed, node, sample.shape[1])
+            divisions[node] = _division(projected)
+            right = projected > divisions[node][1]
+            below |= {2 * node + side: part for side, part in ((0, members[~right]), (1, members[right])) if len(part) >= LEAST_FIT}
+        here = below
+    return Tree(seed, depth, divisions, sample[:COMMON])
 
 
 def leaves(x: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and leaf numbers of unit vectors ``x``, with a row for each leaf that a vector spills into."""
     row, at = np.arange(len(x)), np.ones(len(x), np.int64)
-    for level in range(len(tree.directions)):
-        projected = (x @ tree.directions[level])[row]
-        inner = at < len(tree.split)
-        go = np.zeros(len(at), bool)
-        go[inner] = tree.split[at[inner]]
-        if not go.any():
-            break
-        side = projected - tree.divisions[np.minimum(at, len(tree.divisions) - 1)]
-        both = go & (np.abs(side) <= SPILL / 2)
-        first = np.where(go, 2 * at + (side > 0), at)
-        row = np.concatenate([row, row[both]])
-        at = np.concatenate([first, 2 * at[both] + (side[both] <= 0)])
+    for _ in range(tree.depth):
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        edges = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rows, places = [], []
+        for begin, end in zip(edges, np.append(edges[1:], len(at)), strict=True):
+            node, members = int(at[begin]), row[begin:end]
+            d = direction(tree.seed, node, x.shape[1])
+            low, middle, high = tree.divisions.get(node) or _division(tree.common @ d)
+            projected = x[members] @ d
+            both = (projected >= low) & (projected <= high)
+            right = projected > middle
+            rows += [members[~right | both], members[right | both]]
+            places += [np.full(len(rows[-2]), 2 * node), np.full(len(rows[-1]), 2 * node + 1)]
+        row, at = np.concatenate(rows), np.concatenate(places)
     return row, at
 
 
-def _unit(raw: list) -> np.ndarray:
-    x = np.array(raw, np.float64)
+def _unit(raw) -> np.ndarray:
+    """Rows of length 1; the largest component is made 1 first, so no square over- or underflows."""
+    x = np.asarray(raw, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Where vectors of a length that no label has many of go: one leaf, compared whole.
+PLAIN = [Tree(0, 0, {}, np.zeros((0, 1)))]
+TREE_SHIFT = 56
+
+
 def _router(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = trees.value
+        forests = trees.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column("embedding").to_pylist())
-            places: list[list[int]] = [[] for _ in range(len(x))]
-            for t, tree in enumerate(forest):
-                for r, leaf in zip(*leaves(x, tree), strict=True):
-                    places[r].append(t << 24 | int(leaf))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
+            column = batch.column("embedding")
+            starts = column.offsets.to_numpy()
+            sizes, flat = np.diff(starts), column.values.to_numpy(zero_copy_only=False)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                x = _unit(flat[starts[rows][:, None] + np.arange(size)])
+                for t, tree in enumerate(forests.get(int(size), PLAIN)):
+                    row, leaf = leaves(x, tree)
+                    found.append((rows[row], t << TREE_SHIFT | leaf))
+            row, place = (np.concatenate(part) for part in zip(*found, strict=True))
+            order = np.lexsort((place, row))
+            offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[order]))], [*batch.schema.names, "leaves"])
 
     return run
 
@@ -151,30 +180,30 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def embedding_near_duplicates(vectors: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding, label)``.
 
-    Trees are fitted on at most ``fit_rows`` vectors; every vector is placed.
-    Equal vectors of a label are folded before the search and count as links of
-    each other. A null label, a null or zero vector, one with null or
-    non-finite components, and one whose length differs from the most common
-    length link with nothing. Rows with a null ``vec_id`` are left out; rows
-    that repeat a ``vec_id`` are one vector if equal, else each is compared.
-    Other columns are ignored; an empty table gives no rows.
+    Trees are fitted on at most ``fit_rows`` vectors of each length that some
+    label has more than ``LEAF`` of; every vector is placed. Equal vectors of a
+    label are folded before the search and count as links of each other. A null
+    label, a null or zero vector and one with null or non-finite components
+    link with nothing; vectors of different length do not link. Rows with a
+    null ``vec_id`` are left out; rows that repeat a ``vec_id`` are one vector
+    if equal, else each is compared. Other columns are ignored; an empty table
+    gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
-    size = rows.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = size.n if size else 0
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    usable = (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf"))) & F.col("label").isNotNull()
-    good = rows.where(usable & (F.lit(width) > 0)).withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
-    good = good.withColumn("print", F.sha2(F.to_json(F.struct("label", F.transform("embedding", lambda x: x + F.lit(0.0)))), 256))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf")))
+    good = rows.where(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    good = good.withColumn("print", F.sha2(F.to_json(F.struct("label", F.transform("embedding", lambda x: x + F.lit(0.0)))), 256)).withColumn("label", F.concat_ws(":", F.size("embedding"), "label"))
     members = cut(good.select("vec_id", "print").distinct())
     classes = cut(good.groupBy("print").agg(F.min("vec_id").alias("vec_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.countDistinct("vec_id").alias("copies")))
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = [r.embedding for r in bounded_sample(classes.select("vec_id", "embedding"), fit_rows, "vec_id").collect()]
-    sample = _unit(sample) if sample else np.zeros((0, 1))
-    forest = vectors.sparkSession.sparkContext.broadcast([plant(sample, most, seed) for seed in range(TREES)])
+    by_label = classes.groupBy("label").agg(F.count("*").alias("n"), F.first(F.size("embedding")).alias("size"))
+    forests = {}
+    for r in by_label.groupBy("size").agg(F.max("n").alias("n")).where(F.col("n") > LEAF).collect():
+        sample = _unit([x.embedding for x in bounded_sample(classes.where(F.size("embedding") == r["size"]).select("vec_id", "embedding"), fit_rows, "vec_id").collect()])
+        forests[r["size"]] = [plant(sample, r.n, seed) for seed in range(TREES)]
+    forest = vectors.sparkSession.sparkContext.broadcast(forests)
     placed = cut(classes.select("vec_id", "label", "copies", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
-                 .mapInArrow(_router(forest), f"vec_id long, label string, copies long, embedding array<{'float' if single else 'double'}>, leaves array<int>"))
+                 .mapInArrow(_router(forest), f"vec_id long, label string, copies long, embedding array<{'float' if single else 'double'}>, leaves array<long>"))
     sent = placed.select(F.explode("leaves").alias("leaf"), "label", F.struct("vec_id", "copies", "embedding", "leaves").alias("member"))
     sizes = placed.select(F.explode("leaves").alias("leaf"), "label").groupBy("leaf", "label").count().where("count > 1").select("leaf", "label", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     part = sent.join(sizes, ["leaf", "label"]).withColumn("block", F.pmod(F.xxhash64("member.vec_id"), F.col("blocks")).cast("int"))
@@ -186,6 +215,7 @@ def embedding_near_duplicates(vectors: DataFrame, fit_rows: int = 20_000) -> Dat
     pairs = left.join(right, ["leaf", "label", "j"]).select("leaf", (F.col("i") == F.col("j")).alias("same"), "a", "b")
     found = cut(alone.union(pairs).mapInArrow(_compare, "vec_id long, links long, head long"))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("linked"))
+    release(many)
     components = connected_components(found.where("head <> vec_id").select(F.col("vec_id").alias("a"), F.col("head").alias("b")).distinct())
     named = (classes.select("print", "vec_id", "copies").join(counts, "vec_id", "left").join(components, F.col("vec_id") == F.col("node"), "left")
              .select("print", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
