@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritrack.llm.bpe import encode_and_decode, token_digests
 from veritrack.llm.embedding_dedup import embedding_near_duplicates
 from veritrack.llm.language import fit_languages, identify_languages
-from veritrack.llm.mixing import ROUNDS, TARGETS, mix_sources
+from veritrack.llm.mixing import ROUNDS, TARGETS, TOLERANCE, mix_sources
 from veritrack.llm.near_dup import minhash_near_duplicates
 from veritrack.llm.quality_knn import fit_quality, score_quality
 from veritrack.llm.quality_rules import apply_rules, fit_rules
@@ -93,7 +93,7 @@ def _cell(d: str) -> str:
 
 
 def _rake(inner: str, d: str) -> str:
-    return f"SELECT k, source, lang, topic, w * coalesce({d}_want, 0) / sum(w) OVER (PARTITION BY {d}) w, source_want, lang_want, topic_want FROM ({inner})"
+    return f"SELECT k, source, lang, topic, w * coalesce({d}_want, 0) / nullif(sum(w) OVER (PARTITION BY {d}), 0) w, greatest(err, abs(coalesce({d}_want, 0) - sum(w) OVER (PARTITION BY {d}))) err, source_want, lang_want, topic_want FROM ({inner})"
 
 
 _MIXED = f"""WITH RECURSIVE words AS (SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) n_tokens FROM documents),
@@ -103,9 +103,9 @@ cells AS (SELECT source, lang, topic, sum(n_tokens)::double tokens FROM c GROUP
 s AS (SELECT v, t / sum(t) OVER () want FROM (VALUES {_values("source")}) x(v, t) WHERE v IN (SELECT source FROM cells)),
 l AS (SELECT v, t / sum(t) OVER () want FROM (VALUES {_values("lang")}) x(v, t) WHERE v IN (SELECT lang FROM cells)),
 p AS (SELECT v, t / sum(t) OVER () want FROM (VALUES {_values("topic")}) x(v, t) WHERE v IN (SELECT topic FROM cells)),
-it AS (SELECT 0 k, source, lang, topic, tokens w, s.want source_want, l.want lang_want, p.want topic_want FROM cells LEFT JOIN s ON s.v = source LEFT JOIN l ON l.v = lang LEFT JOIN p ON p.v = topic
- UNION ALL SELECT k + 1, source, lang, topic, w, source_want, lang_want, topic_want FROM ({_rake(_rake(_rake("SELECT * FROM it WHERE k < " + str(ROUNDS), "source"), "lang"), "topic")})),
-ratio AS (SELECT source, lang, topic, w * (SELECT sum(tokens) FROM cells) / tokens r FROM it JOIN cells USING (source, lang, topic) WHERE k = {ROUNDS}),
+it AS (SELECT 0 k, source, lang, topic, tokens w, 'infinity'::double err, s.want source_want, l.want lang_want, p.want topic_want FROM cells LEFT JOIN s ON s.v = source LEFT JOIN l ON l.v = lang LEFT JOIN p ON p.v = topic
+ UNION ALL SELECT k + 1, source, lang, topic, coalesce(w, 0), max(err) OVER (), source_want, lang_want, topic_want FROM ({_rake(_rake(_rake(f"SELECT * REPLACE (0.0::double AS err) FROM it WHERE k < {ROUNDS} AND err >= {TOLERANCE}", "source"), "lang"), "topic")})),
+ratio AS (SELECT source, lang, topic, w * (SELECT sum(tokens) FROM cells) / tokens r FROM it JOIN cells USING (source, lang, topic) WHERE k = (SELECT max(k) FROM it)),
 ch AS (SELECT c.doc_id, n_tokens, c.topic, coalesce(round(r / (SELECT max(r) FROM ratio), 9), 0.0)::double chance FROM c LEFT JOIN ratio USING (source, lang, topic))
 SELECT doc_id, n_tokens, topic, round(chance, 6) chance, ('0x' || substr(md5(doc_id::varchar), 1, 8))::ubigint / 4294967296.0::double < chance sampled FROM ch"""
 
