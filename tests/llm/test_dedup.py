@@ -6,7 +6,7 @@ import pytest
 
 from veritrack.llm import embedding_dedup
 from veritrack.llm.embedding_dedup import embedding_near_duplicates, leaves, plant
-from veritrack.llm.near_dup import BINS, minhash_near_duplicates, open_pairs
+from veritrack.llm.near_dup import BINS, agreement_floor, minhash_near_duplicates, open_pairs, sketch
 
 DOCS = "doc_id long, text string, bucket string, component_id string"
 
@@ -156,9 +156,19 @@ def test_minhash_finds_links_to_single_members_of_a_large_group(spark):
     assert set(want.values()) == {0}
 
 
+def test_sketch_floor_loses_no_linked_pair():
+    """Pairs at exactly 0.75 of several sizes: none is below the floor of its size."""
+    draw = np.random.default_rng(12)
+    for n in (3, 6, 15, 60, 300):
+        for _ in range(1500):
+            s = draw.integers(0, 1 << 63, n + n // 3, dtype=np.uint64) * np.uint64(2)
+            a, b = (sketch(np.unique(x)) for x in (s[:n], s))
+            assert (a == b).mean() >= agreement_floor(n), n
+
+
 def test_minhash_compares_all_components_of_a_bucket():
     """Three components that share one bucket only: all three pairs are open, whichever comes first."""
     bands = np.array([[1, 9, 3], [4, 9, 6], [7, 9, 8]], np.int64)
-    side = (np.arange(3), np.arange(3), bands, np.zeros((3, BINS), np.uint8))
+    side = (np.arange(3), np.arange(3), bands, np.zeros((3, BINS), np.uint8), np.full(3, 300))
     p, q = open_pairs(9, side, side)
     assert {frozenset(x) for x in zip(p.tolist(), q.tolist(), strict=True)} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}

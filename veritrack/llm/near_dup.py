@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from veritrack.llm.kernels import blocks, mix, shingle_sets, utf8
 from veritrack.plans.components import connected_components
-from veritrack.plans.lineage import cut
+from veritrack.plans.lineage import cut, release
 
 BINS, ROWS = 128, 4
 #: Members of a block of a mixed bucket; a pair of blocks is one unit of comparison.
 BLOCK = 512
 #: Shingles whose places in the sets of two blocks are counted at once.
 SPAN = 4096
-#: Sketches of a linked pair agree on fewer bins than this with a chance below 1e-9.
+#: No pair is asked for more agreement of its sketches than this share of the bins.
 SKETCH_FLOOR = 0.5
 
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -64,6 +64,18 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return values
 
 
+def agreement_floor(n: np.ndarray) -> np.ndarray:
+    """The share of bins on which sketches of linked sets must agree, the smaller of ``n`` shingles.
+
+    Six deviations below 0.75, counting only the bins that ``n`` shingles are
+    expected to fill and a quarter more variance for those that densification
+    repeats; so small sets are asked for little or nothing, and a linked pair
+    falls below with a chance of about 1e-9 at any size.
+    """
+    filled = BINS * (1 - np.exp(-np.asarray(n, np.float64) / BINS))
+    return np.clip(0.75 - 6 * np.sqrt(0.75 * 0.25 * 1.25 / np.maximum(filled, 1e-9)), 0, SKETCH_FLOOR)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, prints, bands, sketches = batch.column(0), [], [], [], []
@@ -92,7 +104,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         a = np.frombuffer(b"".join(batch.column("sketch_a").to_pylist()), np.uint8).reshape(-1, BINS)
         b = np.frombuffer(b"".join(batch.column("sketch_b").to_pylist()), np.uint8).reshape(-1, BINS)
-        keep = (a == b).mean(1) >= SKETCH_FLOOR
+        keep = (a == b).mean(1) >= agreement_floor(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -116,9 +128,9 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _side(members: pa.Array):
-    """Ids, components, bands and sketches of a block's members."""
-    ids, parts, bands, sketches = members.flatten()
-    return ids.to_numpy(), parts.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(ids), -1)
+    """Ids, components, bands, sketches and set sizes of a block's members."""
+    ids, parts, bands, sketches, sizes = members.flatten()
+    return ids.to_numpy(), parts.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(ids), -1), sizes.to_numpy()
 
 
 def open_pairs(bucket: int, a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +142,8 @@ def open_pairs(bucket: int, a, b) -> tuple[np.ndarray, np.ndarray]:
     keep = np.zeros(len(p), bool)
     for at in range(0, len(p), 1 << 16):
         part = slice(at, at + (1 << 16))
-        keep[part] = (a[3][p[part]] == b[3][q[part]]).mean(1) >= SKETCH_FLOOR
+        floor = agreement_floor(np.minimum(a[4][p[part]], b[4][q[part]]))
+        keep[part] = (a[3][p[part]] == b[3][q[part]]).mean(1) >= floor
     return p[keep], q[keep]
 
 
@@ -224,16 +237,18 @@ def _within(spots: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
                         F.when(F.col("n") > BLOCK, F.ceil((F.col("n") - F.col("m.n")) / BLOCK)).otherwise(1).cast("int").alias("other")))
     salt = F.xxhash64("doc_id")
     block = F.when((F.col("part") == F.col("largest")) & (F.col("own") > 0), F.pmod(salt, "own")).otherwise(F.col("own") + F.pmod(salt, "other")).cast("int")
-    member = F.struct("doc_id", "part", "bands", "sketch")
+    member = F.struct("doc_id", "part", "bands", "sketch", "n_shingles")
     dealt = spots.join(sizes.hint("merge"), "bucket").select("bucket", "doc_id", "part", "own", "other", block.alias("block"))
-    blocks = dealt.join(heads.select("doc_id", "bands", "sketch"), "doc_id").groupBy("bucket", "block", "own", "other").agg(F.collect_list(member).alias("members"))
+    blocks = dealt.join(heads.select("doc_id", "bands", "sketch", "n_shingles"), "doc_id").groupBy("bucket", "block", "own", "other").agg(F.collect_list(member).alias("members"))
     alone = blocks.where("own + other = 1").select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), F.col("members").alias("a"), F.col("members").alias("b"))
     many = cut(blocks.where("own + other > 1"))
     first = many.select("bucket", F.col("block").alias("i"), F.explode(F.sequence(F.greatest("block", "own"), F.col("own") + F.col("other") - 1)).alias("j"), F.col("members").alias("a"))
     pairs = first.join(many.select("bucket", F.col("block").alias("j"), F.col("members").alias("b")), ["bucket", "j"]).select("bucket", "i", "j", "a", "b")
     tiles = cut(alone.union(pairs).mapInArrow(_open, "bucket long, i int, j int, side int, doc_id long"))
     told = tiles.join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return told.select("bucket", "i", "j", "side", "doc_id", "text").mapInArrow(_tiles, "a long, b long").distinct()
+    found = cut(told.select("bucket", "i", "j", "side", "doc_id", "text").mapInArrow(_tiles, "a long, b long").distinct())
+    release(sizes, many, tiles)
+    return found
 
 
 def _ends(star: DataFrame) -> DataFrame:
@@ -242,10 +257,12 @@ def _ends(star: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sketches and then whose full sets agree."""
-    side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long"))
-    return cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"))
+    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_agreeing, "a long, b long"))
+    found = cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"))
+    release(near)
+    return found
 
 
 def _named(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -277,7 +294,7 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketches = cut(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary"))
     # one shuffle finds each class of equal sets and its least document; copies fold before it
-    heads = cut(sketches.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("h")).select("print", "h.*"))
+    heads = cut(sketches.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("h")).select("print", "h.*"))
     classes = heads.select("print", F.col("doc_id").alias("class_id"))
     members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
     # the first turn: one star a bucket, and components of what it confirms
@@ -286,10 +303,13 @@ def minhash_near_duplicates(docs: DataFrame) -> DataFrame:
     texts = cut(docs.join(met.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     ends = cut(_ends(star))
     first = _confirm(ends, heads, texts)
+    release(ends)
     labels = cut(connected_components(first).withColumnRenamed("node", "doc_id"))
     # every other pair that shares a bucket and not yet a component; centres have met all of theirs
     spots = cut(_named(star.select("bucket", "doc_id", F.col("doc_id").alias("part")), labels, "part").select("bucket", "doc_id", "part"))
-    found = cut(_within(spots, heads, texts))
+    release(star)
+    found = _within(spots, heads, texts)
+    release(spots, texts)
     labels = _merge(labels, found)
     named = classes.join(labels, F.col("class_id") == F.col("doc_id"), "left").select("print", F.coalesce("component", "class_id").alias("component"))
     return (sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
