@@ -23,36 +23,50 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``; rows with a null id go, as no stage can decide on them."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a determined language; ``lang`` becomes the predicted one."""
-    found = identify_languages(docs, fit_languages(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    named = found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    return docs.join(named, "doc_id").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    """Keeps documents with a determined language; ``lang`` becomes the predicted one.
+
+    Every row is judged by itself, one with a null or repeated id too. Null and
+    empty texts have no language and go; other nulls stay. Columns beyond those of
+    documents are left out. An empty table stays empty.
+    """
+    found = identify_languages(docs.select(*COLUMNS), fit_languages(docs), carry=True)
+    sure = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return sure.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the neighbours' votes find good."""
+    """Keeps documents that the neighbours' votes find good.
+
+    Every row is judged by itself, one with a null or repeated id too; null and
+    empty texts get the undecided score and stay. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, score_quality(docs, fit_quality(docs, labels)).where("predicted = 1"))
+    return score_quality(docs.select(*COLUMNS), fit_quality(docs, labels), carry=True).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return _keep(docs, minhash_near_duplicates(docs).where("kept"))
+    """Keeps one document of each group of near copies.
+
+    Of rows that repeat an id one stays. Rows with a null id can't be named in
+    a group and stay. Texts without words link with nothing and stay.
+    """
+    kept = minhash_near_duplicates(docs).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target weights."""
+    """Samples documents to the target weights.
+
+    Null sources and languages are in the cell of other values; a null id is
+    never sampled, as no chance can be drawn for it. An empty table stays empty.
+    """
     return mix_sources(docs).where("sampled").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and decoded bytes."""
+    """Token ids of every document, with the digests of ids and decoded bytes; a null text has none."""
     encoded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return token_digests(encoded)
 
