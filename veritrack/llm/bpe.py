@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrack.llm.kernels import slices
+
 #: Most determinised moves and most pieces that a Python worker keeps; beyond it starts anew.
-MOST_MOVES, MOST_PIECES = 600_000, 700_000
+MOST_MOVES, MOST_PIECES = 400_000, 400_000
 
 
 _NEVER = 1 << 60
@@ -277,12 +279,10 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, cache, tokens = _codec(shared.value, pattern)
         packed_of = cache.__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [b"".join(map(packed_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
-                back = [streamed(memoryview(x).cast("I"), tokens) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "token_ids", "decoded"])
+        for part in slices(batches):
+            ids = [b"".join(map(packed_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
+            back = [streamed(memoryview(x).cast("I"), tokens) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "token_ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids binary, decoded binary")
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.llm.kernels import span_hashes, window_hashes, words
+from veritrack.llm.kernels import slices, span_hashes, window_hashes, words
 
 
 def _blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
@@ -165,7 +165,7 @@ def collect_features(sample: DataFrame, features, value: str) -> tuple[np.ndarra
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             rows = [row.tobytes() for m in features(texts) for row in m]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["row", "value", "doc_id"])

@@ -93,6 +93,13 @@ def blocks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[
         yield at, texts[at:]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that a worker holds the Python texts of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as bytes, null as empty; no decoding."""
     import pyarrow as pa

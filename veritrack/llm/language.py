@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrack.llm.features import collect_features, crc_fold, judged_rows, linear_svm, matrices, platt, result_schema, sigmoid, unit_rows, with_results
+from veritrack.llm.kernels import slices
 
 UNDETERMINED = "und"
 ORDERS, BITS = (1, 2, 3), 12
@@ -136,7 +137,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, folds: int = 5, he
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             able = [i for i, t in enumerate(texts) if model.families and any(map(str.isalpha, t))]
             names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))

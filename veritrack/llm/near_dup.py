@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.llm.kernels import blocks, mix, shingle_sets, utf8
+from veritrack.llm.kernels import blocks, mix, shingle_sets, slices, utf8
 from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut, release
 
@@ -77,7 +77,7 @@ def agreement_floor(n: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1024):
         ids, sizes, prints, bands, sketches = batch.column(0), [], [], [], []
         for s in shingle_sets(utf8(batch.column(1))):
             sizes.append(len(s))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrack.llm.features import collect_features, crc_fold, judged_rows, labelled_sample, matrices, result_schema, unit_rows, with_results
+from veritrack.llm.kernels import slices
 
 ORDERS, BITS, RANK, NEIGHBOURS, SHARPNESS, REPEAT_WEIGHT = (1, 2), 12, 32, 15, 8, 9.0
 THRESHOLD = 0.3
@@ -105,7 +106,7 @@ def score_quality(docs: DataFrame, model: LatentNeighbours, folds: int = 5, held
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores = np.concatenate([votes(m, shared.value) for m in _features(texts)] or [np.zeros(0)])
             yield with_results(batch, rest, [pa.array(scores, pa.float64())], ["score"])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrack.llm.features import collect_features, labelled_sample, logistic, matrices, platt, sigmoid, unit_rows
+from veritrack.llm.kernels import slices
 
 ORDERS, WORD_ORDERS, BITS = (1, 2), (1, 2), 13
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +78,7 @@ def apply_rules(docs: DataFrame, model: RuleModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, a, b = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = np.array([text_counts(t) for t in texts], np.int64).reshape(-1, 5)
             scores = np.concatenate([sigmoid(a * (unit_rows(m) @ w[:-1] + w[-1]) + b) for m in _features(texts)] or [np.zeros(0)])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrack.llm.features import crc_fold, labelled_sample, platt, sigmoid
+from veritrack.llm.kernels import slices
 from veritrack.plans.lineage import cut
 
 PREFIXES, NEIGHBOURS, BLOCK = (4, 5, 6, 7), 10, 64
@@ -133,7 +134,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
     sample = labelled_sample(docs, labels, "toxic", most, (folds, held_out)).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(terms(t or "").items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "terms"])
 
@@ -164,7 +165,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, folds: int = 4, held_o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         flat = len(set(index.labels.tolist())) < 2
-        for batch in batches:
+        for batch in slices(batches):
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
                 places, cosines = nearest(index, unit_vector(terms(text or ""), index.idf))
