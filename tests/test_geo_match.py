@@ -87,6 +87,14 @@ def test_relink_contested_vessel(spark):
     assert got == {0: 1, 1: None}
 
 
+def test_relink_keeps_locks_and_penalties(spark):
+    # vessel 1 is locked by detection 0; vessel 2 is elsewhere on both sides; vessel 3 has no fix within two hours
+    t = track(spark, [(1, 0, 0, 0), (1, 2 * H, 0, 0), (2, 0, 0, 1), (2, 2 * H, 0, -1), (3, -2 * H, 0, 0.01), (3, 4 * H, 0, 0.01), (4, 0, 0, 0.03), (4, 2 * H, 0, 0.03)])
+    d = sar(spark, [(1, H, 0, 0), (None, H, 0, 0.001), (2, H, 0, 0.02)])
+    got = {r.sar_id: (r.relinked_mmsi, r.link_status) for r in relink.relink(d, t, spark.createDataFrame([(0,)], "sar_id long")).collect()}
+    assert got[0] == (1, "locked") and sorted([got[1], got[2]], key=str) == [(4, "relinked"), (None, "dark_vessel")]
+
+
 def test_dwell_edges(spark):
     rows = [(1, h * H, 0, 0) for h in range(7)] + [(2, h * H, 0, 0) for h in range(6)] + [(3, 0, 0, 0), (3, 6 * H, 0, 0)] + [(4, 0, 0, 0), (4, 7 * H, 0, 0)]
     got = {r.mmsi: r.duration_h for r in dwell.dwell_episodes(track(spark, rows)).collect()}

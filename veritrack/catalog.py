@@ -321,10 +321,49 @@ def G_02_parameter_sweep(s, d):
 # relinking
 
 
-@query()
+EDGE = """, gr AS (SELECT mmsi, t, min(struct_pack(lat := lat, lon := lon)) f, max(struct_pack(lat := lat, lon := lon)) l FROM ais GROUP BY 1, 2),
+pc AS (SELECT mmsi, t t0, t t1, f p0, f p1 FROM gr UNION ALL SELECT * FROM (SELECT mmsi, t t0, lead(t) OVER w t1, l p0, lead(f) OVER w p1 FROM gr WINDOW w AS (PARTITION BY mmsi ORDER BY t)) WHERE t1 IS NOT NULL)"""
+
+
+def _edges(pool: str, link: float) -> str:
+    at = lambda c: f"(p0.{c} + CASE WHEN t1>t0 THEN (s.t-t0)::double/(t1-t0) ELSE 0 END*(p1.{c}-p0.{c}))"
+    return EDGE + f""", eg AS (SELECT s.sar_id, s.t, p.mmsi, s.lat, s.lon, {hav('s.lat', 's.lon', at('lat'), at('lon'))} km FROM {pool} s JOIN pc p ON ((t0=s.t AND t1=s.t) OR (t0<s.t AND s.t<t1)) AND (s.t-t0<=10800000000 OR t1-s.t<=10800000000)),
+ek AS (SELECT e.sar_id, e.t, e.mmsi, e.km FROM eg e JOIN ais a ON a.mmsi=e.mmsi AND abs(a.t-e.t)<=7200000000 WHERE e.km<={link} GROUP BY ALL HAVING NOT (bool_or(a.t<e.t) AND bool_or(a.t>e.t) AND min({hav('e.lat', 'e.lon', 'a.lat', 'a.lon')})>15))"""
+
+
+def _assigned(link: float) -> str:
+    """Detections of an overpass one after another, each with any free vessel or none; the cheapest of all ways."""
+    return f""", dn AS (SELECT sar_id, t, row_number() OVER (PARTITION BY t ORDER BY sar_id) k, count(*) OVER (PARTITION BY t) m FROM (SELECT DISTINCT sar_id, t FROM ek)),
+op AS (SELECT sar_id, mmsi, km FROM ek UNION ALL SELECT sar_id, NULL, {link} FROM dn),
+aw(t, k, m, used, ids, who, kms, cost) AS (SELECT t, 0::bigint, max(m), []::bigint[], []::bigint[], []::bigint[], []::double[], 0.0::double FROM dn GROUP BY t
+ UNION ALL SELECT aw.t, aw.k+1, aw.m, CASE WHEN op.mmsi IS NULL THEN used ELSE list_append(used, op.mmsi) END, list_append(ids, dn.sar_id), list_append(who, op.mmsi), list_append(kms, op.km), aw.cost+op.km
+ FROM aw JOIN dn ON dn.t=aw.t AND dn.k=aw.k+1 JOIN op ON op.sar_id=dn.sar_id WHERE op.mmsi IS NULL OR NOT list_contains(used, op.mmsi)),
+bw AS (SELECT * FROM aw WHERE k=m QUALIFY row_number() OVER (PARTITION BY t ORDER BY cost)=1),
+rl AS (SELECT * FROM (SELECT unnest(ids) sar_id, unnest(who) relinked_mmsi, unnest(kms) relinked_km FROM bw) WHERE relinked_mmsi IS NOT NULL)"""
+
+
+CHANGE = "CASE WHEN s.mmsi IS NULL AND r.mmsi IS NULL THEN 'dark_unchanged' WHEN s.mmsi IS NULL THEN 'newly_linked' WHEN r.mmsi IS NULL THEN 'rejected_to_dark' WHEN s.mmsi=r.mmsi THEN 'confirmed' ELSE 'corrected' END"
+POOL = CLS + KEEP + """, lk AS (SELECT s.sar_id, s.mmsi, s.t FROM sar s JOIN kept USING (sar_id) WHERE keep), pl AS (SELECT * FROM sar WHERE sar_id NOT IN (SELECT sar_id FROM lk))"""
+REPAIR = POOL + _edges("pl", 5.0).replace("ek AS (SELECT", "e0 AS (SELECT") + ", ek AS (SELECT * FROM e0 WHERE (mmsi, t) NOT IN (SELECT mmsi, t FROM lk))" + _assigned(5.0) + """,
+ln AS (SELECT sar_id, mmsi, NULL::double km, 'locked' st FROM lk UNION ALL SELECT sar_id, relinked_mmsi, relinked_km, 'relinked' FROM rl)"""
+
+
+@query(_recursive(BASE + REPAIR + f" SELECT s.sar_id, s.mmsi, r.mmsi relinked_mmsi, round(r.km,6) relinked_km, coalesce(r.st,'dark_vessel') link_status, {CHANGE} change FROM sar s LEFT JOIN ln r USING (sar_id)"))
 def J_07_relink(s, d):
-    r = relink.relink(_sar(s, d), _ais(s, d))
-    return r.select("sar_id", "mmsi", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"), relink.change_label(F.col("mmsi"), F.col("relinked_mmsi")).alias("change"))
+    r = relink.relink_window(_sar(s, d), _ais(s, d))
+    return r.select("sar_id", "mmsi", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"), "link_status", relink.change_label(F.col("mmsi"), F.col("relinked_mmsi")).alias("change"))
+
+
+@query(_recursive(BASE + _edges("sar", 15.0) + _assigned(15.0) + " SELECT s.sar_id, r.relinked_mmsi, round(r.relinked_km,6) relinked_km FROM sar s LEFT JOIN rl r USING (sar_id)"))
+def G_06_relink_full(s, d):
+    return relink.relink_window(_sar(s, d), _ais(s, d), "full").select("sar_id", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"))
+
+
+@query(_recursive(BASE + REPAIR + " SELECT coalesce(r.st,'dark_vessel') link_status, count(*) n, count(DISTINCT s.t) n_overpasses FROM sar s LEFT JOIN ln r USING (sar_id) GROUP BY 1"))
+def A_34_relink_summary(s, d):
+    sar = _sar(s, d)
+    r = relink.relink_window(sar, _ais(s, d)).join(sar.select("sar_id", "t"), "sar_id")
+    return r.groupBy("link_status").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_overpasses"))
 
 
 # calibration

@@ -33,4 +33,4 @@ def run_window(sar: DataFrame, ais: DataFrame, matched_km: float = 1.5, spoofed_
     deviations = cut(trajectory.predict_triples(merchant(ais, types)))
     found = cluster.st_dbscan(cluster.episodes(cluster.anomalies(classified, deviations)), eps_km, eps_h)
     kept = screen.keep_links(classified.where("time_gap_seconds is not null").select("sar_id", "distance_km"), sar, ais)
-    return WindowResult(relink.relink(sar, ais), classified, deviations, found, kept)
+    return WindowResult(relink.relink_window(sar, ais), classified, deviations, found, kept)
