@@ -23,6 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: with whole texts of any length, a batch's bytes are what bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a determined language; ``lang`` becomes the predicted one.
 
@@ -30,6 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     empty texts have no language and go; other nulls stay. Columns beyond those of
     documents are left out. An empty table stays empty.
     """
+    _small_batches(spark)
     found = identify_languages(docs.select(*COLUMNS), fit_languages(docs), carry=True)
     sure = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return sure.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -41,6 +47,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row is judged by itself, one with a null or repeated id too; null and
     empty texts get the undecided score and stay. An empty table stays empty.
     """
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs.select(*COLUMNS), fit_quality(docs, labels), carry=True).where("predicted = 1").select(*COLUMNS)
 
@@ -51,6 +58,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Of rows that repeat an id one stays. Rows with a null id can't be named in
     a group and stay. Texts without words link with nothing and stay.
     """
+    _small_batches(spark)
     kept = minhash_near_duplicates(docs).where("kept").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
     return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
@@ -67,6 +75,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded bytes; a null text has none."""
+    _small_batches(spark)
     encoded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return token_digests(encoded)
 
