@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrack.functions.geo import haversine, nearest_of
+from veritrack.functions.geo import bearing, haversine, nearest_of
 from veritrack.functions.timeutil import HOUR_US, with_runs
 from veritrack.operators import calibrate, cluster, dwell, match, relink, score, screen, trajectory, window_run
 from veritrack.sources import adapters as src
@@ -228,6 +228,15 @@ def K_23_keep_rule(s, d):
 # trajectories
 
 
+@query(BASE + " SELECT mmsi, round(lat, 6) lat, round(lon, 6) lon, round((degrees(atan2(sin(radians(lon-x0))*cos(radians(lat)), cos(radians(y0))*sin(radians(lat))-sin(radians(y0))*cos(radians(lat))*cos(radians(lon-x0))))+360)%360, 4) heading FROM (SELECT *, lag(lat) OVER w y0, lag(lon) OVER w x0, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, event_id DESC) r FROM ais WINDOW w AS (PARTITION BY mmsi ORDER BY t, event_id)) WHERE r=1 AND y0 IS NOT NULL AND (y0<>lat OR x0<>lon)")
+def W_11_heading(s, d):
+    """Where each vessel was heading at the end of its trail; none for one that did not move."""
+    last = F.struct("t", "event_id")
+    ends = _ais(s, d).withColumn("p", F.lag(F.struct("lat", "lon")).over(Window.partitionBy("mmsi").orderBy("t", "event_id"))).groupBy("mmsi").agg(F.max_by(F.struct("lat", "lon", "p"), last).alias("e")).select("mmsi", "e.*")
+    moved = ends.where("p is not null and (p.lat <> lat or p.lon <> lon)")
+    return moved.select("mmsi", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round(bearing(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon")), 4).alias("heading"))
+
+
 @query(BASE + TRIPLE + " SELECT event_id, mmsi, round(gap12,6) gap12, round(speed_kmh,5) speed_kmh, round(deviation_km,5) deviation_km, tier FROM trc")
 def W_01_velocity_triples(s, d):
     return _triples(s, d).select("event_id", "mmsi", F.round("gap12", 6).alias("gap12"), F.round("speed_kmh", 5).alias("speed_kmh"), F.round("deviation_km", 5).alias("deviation_km"), "tier")
@@ -574,9 +583,9 @@ def A_28_J_20_landmark_tiers(s, d):
     return _ais(s, d).withColumn("km", km).groupBy("vessel_type").agg(*[F.count_if(F.col("km") <= r).alias(f"within_{r}") for r in (2, 5, 15)])
 
 
-@query()
+@query(BASE + " SELECT event_id, vessel_type FROM ais QUALIFY row_number() OVER (PARTITION BY vessel_type ORDER BY md5('42-' || event_id::varchar), event_id) <= 50")
 def S_05_seeded_sample(s, d):
-    w = Window.partitionBy("vessel_type").orderBy(F.xxhash64("event_id", F.lit(42)))
+    w = Window.partitionBy("vessel_type").orderBy(F.md5(F.concat(F.lit("42-"), F.col("event_id").cast("string"))), "event_id")
     return _ais(s, d).withColumn("r", F.row_number().over(w)).where("r <= 50").select("event_id", "vessel_type")
 
 
