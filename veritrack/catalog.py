@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import bearing, haversine, nearest_of
 from veritrack.functions.timeutil import HOUR_US, with_runs
-from veritrack.operators import calibrate, cluster, dwell, match, relink, score, screen, trajectory, window_run
+from veritrack.operators import calibrate, cluster, dwell, match, relink, report, score, screen, trajectory, window_run
 from veritrack.sources import adapters as src
 from veritrack.sources import files
 from veritrack.streaming import twins
@@ -738,3 +738,93 @@ def A_20_calibration_report(s, d):
     row = t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(k)).crossJoin(F.broadcast(gaps))  # one row each
     low = F.when(F.col("n_kept") < 200, "low").otherwise("ok")
     return row.select(F.to_json(F.struct(F.struct("matched_km", "spoofed_km", "n_pairs", "n_kept").alias("distance"), F.struct("fence", "heavy_tail").alias("tail"), F.struct("eps_km", "eps_h").alias("clustering"), low.alias("confidence"))).alias("report"))
+
+
+# reports
+
+
+@query(BASE + f", x AS (SELECT vessel_type, {hav('lat', 'lon', '26.0', '56.0')}<=40 near_port FROM ais) SELECT vessel_type, count(*) FILTER (near_port) near, count(*) FILTER (NOT near_port) far, count(*) total, round(100.0*count(*) FILTER (near_port)/count(*),6)::double pct FROM x GROUP BY 1")
+def A_04_near_port_crosstab(s, d):
+    near = nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS[:1])["km"] <= 40
+    return report.near_port_crosstab(_ais(s, d), "vessel_type", near).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"""WITH c AS ({ORACLES['A_06_cluster_summary']}), n AS (SELECT count(*) n FROM ({BASE + ANOM} SELECT * FROM ep)), g AS (SELECT * FROM c WHERE coherence='genuine')
+SELECT *, coalesce(round(100.0*genuine/nullif(n_episodes,0),6),0)::double genuine_per_100ep, coalesce(round(100.0*strong/nullif(n_episodes,0),6),0)::double strong_per_100ep, coalesce(round(100.0*ep_in_genuine/nullif(n_episodes,0),6),0)::double pct_ep_in_genuine FROM (SELECT n n_episodes, (SELECT count(*) FROM c) clusters, (SELECT count(*) FROM g) genuine, (SELECT count(*) FROM g WHERE n_vessels>=4) strong, (SELECT count(*) FROM c WHERE coherence='loose') loose, (SELECT count(*) FROM c WHERE coherence='single_vessel_artifact') single,
+ (SELECT coalesce(sum(n_episodes),0)::bigint FROM g) ep_in_genuine, (SELECT coalesce(floor(quantile_cont(n_vessels,0.5)),0)::bigint FROM g) median_genuine_vessels, (SELECT coalesce(max(n_vessels),0) FROM g) max_genuine_vessels,
+ (SELECT round(quantile_cont(span_h,0.5),3) FROM g)::double median_genuine_span, (SELECT round(quantile_cont(radius_km,0.5),3) FROM g)::double median_genuine_radius, (SELECT coalesce(max(n_vessels),0) FROM c) max_vessels FROM n)""")
+def A_08_window_stats(s, d):
+    e = _episodes(s, d)
+    row = report.window_stats(cluster.cluster_summary(cluster.st_dbscan(e)), e)
+    for c, n in (("median_genuine_span", 3), ("median_genuine_radius", 3), ("genuine_per_100ep", 6), ("strong_per_100ep", 6), ("pct_ep_in_genuine", 6)):
+        row = row.withColumn(c, F.round(c, n))
+    return row
+
+
+@query(PV + ", x AS (SELECT *, CASE visit_id%3 WHEN 0 THEN 'port_visit' WHEN 1 THEN 'loitering' ELSE 'ais_gap' END k FROM v) SELECT mmsi, count(*) FILTER (k='port_visit') port_calls, count(*) FILTER (k='loitering') loitering, count(*) FILTER (k='ais_gap') gaps, string_agg(DISTINCT port,',' ORDER BY port) places, min(t) t_first, max(t) t_last, round(coalesce(max(duration_hrs) FILTER (k='loitering'),0),6)::double longest_loiter, count(*) FILTER (k='loitering' AND duration_hrs>24) long_loiters FROM x GROUP BY 1")
+def A_30_history_summary(s, d):
+    kinds = "CASE visit_id%3 WHEN 0 THEN 'port_visit' WHEN 1 THEN 'loitering' ELSE 'ais_gap' END"
+    events = src.port_visits(s, d).withColumn("event_type", F.expr(kinds)).withColumnRenamed("port", "place")
+    return report.history_summary(events).withColumn("longest_loiter", F.round("longest_loiter", 6))
+
+
+@query(BASE + CLS + ", x AS (SELECT matched_mmsi vessel, (t//604800000000)%4 file, max(distance_km) km FROM clf WHERE classification='likely_spoofed' AND matched_mmsi IS NOT NULL GROUP BY 1,2) SELECT vessel, min(file) file, round(arg_min(km, file),6)::double km FROM x GROUP BY 1")
+def A_31_first_file_maximum(s, d):
+    c = _classified(s, d).where("classification = 'likely_spoofed' and matched_mmsi is not null")
+    c = c.select(F.col("matched_mmsi").alias("vessel"), F.expr("(t div 604800000000) % 4").alias("file"), F.col("distance_km").alias("km"))
+    return report.first_file_maximum(c, "vessel", "file", "km").withColumn("km", F.round("km", 6))
+
+
+@query(BASE + ANOM + " SELECT (t//604800000000)%4 window_no, vessel, string_agg(DISTINCT source,';' ORDER BY source) thresholds, count(*) n_flags FROM an GROUP BY 1,2")
+def A_33_window_flagged(s, d):
+    a = cluster.anomalies(_classified(s, d), _triples(s, d))
+    return a.groupBy(F.expr("(t div 604800000000) % 4").alias("window_no"), "vessel").agg(F.array_join(F.sort_array(F.collect_set("source")), ";").alias("thresholds"), F.count("*").alias("n_flags"))
+
+
+@query(BASE + ", o AS (SELECT hour, count(*) n FROM sar GROUP BY 1), c AS (SELECT hour, count(DISTINCT mmsi) k FROM ais GROUP BY 1) SELECT count(*) overpasses, max(n) largest, quantile_cont(coalesce(k,0),0.5)::double median_vessels, max(coalesce(k,0)) max_vessels FROM o LEFT JOIN c USING (hour)")
+def A_34_overpass_aggregates(s, d):
+    return report.overpass_aggregates(_sar(s, d), _ais(s, d))
+
+
+@query("SELECT count(*) n, count(*) FILTER (trim(c_name)<>'') with_name, count(n_name) with_flag, count(*) FILTER (trim(c_mktsegment)<>'') with_segment, count(c_custkey) with_built_year FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey")
+def A_35_coverage(s, d):
+    return report.coverage(src.registry(s, d), "name", "flag", "segment", "built_year")
+
+
+_TYPES = "c_custkey AS mmsi, CASE WHEN c_custkey%50=0 THEN 'TANKER' END AS confirmed, CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN 'OTHER' WHEN 2 THEN ' ' ELSE c_mktsegment END AS ship, CASE c_custkey%3 WHEN 0 THEN NULL WHEN 1 THEN 'Other' ELSE 'TRAWLERS' END AS gear, CASE WHEN c_custkey%5=0 THEN NULL WHEN c_custkey%5=1 THEN 'OTHER' ELSE 'CARGO' END AS listed"
+_VAGUE = ", ".join("'" + str(v).strip().lower() + "'" for v in sorted(map(str, files.VAGUE_TYPES)))
+
+
+@query(f"""WITH x AS (SELECT {_TYPES} FROM customer), y AS (SELECT *, CASE WHEN trim(confirmed)<>'' THEN 0 WHEN trim(ship)<>'' AND lower(trim(ship)) NOT IN ({_VAGUE}) THEN 1 WHEN trim(gear)<>'' AND lower(trim(gear)) NOT IN ({_VAGUE}) THEN 2 WHEN trim(listed)<>'' AND lower(trim(listed)) NOT IN ({_VAGUE}) THEN 3
+ WHEN trim(ship)<>'' THEN 1 WHEN trim(gear)<>'' THEN 2 WHEN trim(listed)<>'' THEN 3 ELSE 4 END k FROM x)
+SELECT mmsi, CASE k WHEN 0 THEN confirmed WHEN 1 THEN ship WHEN 2 THEN gear WHEN 3 THEN listed END resolved_type, CASE k WHEN 0 THEN 'confirmed' WHEN 1 THEN 'identity' WHEN 2 THEN 'identity' WHEN 3 THEN 'listed' ELSE 'unknown' END type_source FROM y""")
+def K_20_type_chain(s, d):
+    rows = src.table(s, d, "customer").selectExpr(*_TYPES.replace(", CASE", "\nCASE").split("\n"))
+    return report.resolve_type(rows, "confirmed", "ship", "gear", "listed").select("mmsi", "resolved_type", "type_source")
+
+
+@query(BASE + CLS + " SELECT sar_id, CASE WHEN distance_km>15 AND (time_gap_seconds>0 OR distance_km>3*30*1.852*greatest(time_gap_seconds/3600,1e-6)) THEN 'LIKELY_MISATTRIBUTION' ELSE 'GENUINE_DISPLACEMENT' END verdict FROM clf WHERE time_gap_seconds IS NOT NULL")
+def K_24_structural_verdict(s, d):
+    rows = _classified(s, d).where("time_gap_seconds is not null")
+    dt = F.col("time_gap_seconds") / 3600
+    return rows.select("sar_id", report.structural_verdict(F.col("distance_km"), dt, dt, F.col("time_gap_seconds") > 0, F.lit(False)).alias("verdict"))
+
+
+@query(BASE + ANOM + FLG + " SELECT vessel, count(*) n FROM an WHERE vessel IN (SELECT vessel FROM con ORDER BY flag_rate DESC, total_flags DESC, vessel LIMIT 14) GROUP BY 1")
+def P_15_top_semi_join(s, d):
+    top = W_07_S_02_top_ranked(s, d).select("vessel")  # 14 rows
+    a = cluster.anomalies(_classified(s, d), _triples(s, d))
+    return a.join(F.broadcast(top), "vessel", "left_semi").groupBy("vessel").agg(F.count("*").alias("n"))
+
+
+@query(BASE + ANOM + FLG + f" SELECT vessel, n_windows, total_flags, k.reliability_score FROM con JOIN ({ORACLES['K_16_scores']}) k USING (vessel) WHERE n_windows>=2")
+def R_06_cross_window(s, d):
+    con = score.consolidate(_flags(s, d)).where("n_windows >= 2").select("vessel", "n_windows", "total_flags")
+    return con.join(K_16_scores(s, d).select("vessel", "reliability_score"), "vessel").where(~F.col("vessel").isin(list(cluster.KNOWN_ARTIFACTS)))
+
+
+@query("WITH c AS (SELECT DISTINCT o_orderpriority collection FROM orders UNION SELECT 'NOT-THERE'), f AS (SELECT o_orderpriority collection, count(*) n, count(*) FILTER (o_orderkey%3=0) k FROM orders GROUP BY 1) SELECT collection, coalesce(n,0) items, coalesce(k,0) online, coalesce(n-k,0) offline FROM c LEFT JOIN f USING (collection)")
+def SRC_16_archive_coverage(s, d):
+    items = src.table(s, d, "orders").selectExpr("o_orderpriority AS collection", "o_orderkey % 3 = 0 AS online")
+    asked = items.select("collection").union(s.range(1).select(F.lit("NOT-THERE")))
+    return report.archive_coverage(items, asked)
