@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veritrack.llm.kernels import slices, span_hashes, window_hashes, words
 
 
-def _blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+def _blocks(texts: list[str], most: int = 1 << 17) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > most:

@@ -20,15 +20,19 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; the rest, for longer texts, are made when needed.
+_KEPT = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**i mod 2**64`` for i < n, kept for the next block."""
+    """``base**i mod 2**64`` for i < n; those of blocks of usual size are kept for the next one."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.full(max(n, _KEPT), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= _KEPT:
+            _powers[base] = have
     return have[:n]
 
 
@@ -81,7 +85,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes together, each with its offset; a longer text makes a block of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):
