@@ -50,3 +50,13 @@ def test_history(spark):
     e = spark.createDataFrame([(1, "port_visit", "A", 5, 30.0), (1, "loitering", "B", 2, 25.0), (1, "loitering", None, 9, 24.0), (2, "ais_gap", "A", 1, None)], "mmsi int, event_type string, place string, t long, duration_hrs double")
     got = {r.mmsi: tuple(r)[1:] for r in report.history_summary(e).collect()}
     assert got == {1: (1, 2, 0, "A,B", 2, 9, 25.0, 1), 2: (0, 0, 1, "A", 1, 1, 0.0, 0)}
+
+
+def test_corrected_pairs(spark):
+    track = spark.createDataFrame([(1, 0, 10.0, 20.0), (1, 120_000_000, 11.0, 20.0), (2, 60_000_000, 10.0, 20.1)], "mmsi long, t long, lat double, lon double")
+    links = spark.createDataFrame([(5, 60_000_000, 10.0, 20.0, 1, 2), (6, 90_000_000, 10.0, 20.0, 1, 2), (7, 0, 10.0, 20.0, None, 9)], "sar_id long, t long, lat double, lon double, mmsi long, relinked_mmsi long")
+    got = {r.sar_id: r for r in report.corrected_pairs(links, track).collect()}
+    assert (got[5].named_lat, got[5].named_minutes, got[5].relinked_lon, got[5].relinked_minutes, got[5].tail_outlier) == (10.0, 1.0, 20.1, 0.0, False)
+    assert got[6].named_lat == 11.0 and got[6].named_km == pytest.approx(111.2, abs=0.1) and got[6].tail_outlier
+    assert (got[7].named_km, got[7].relinked_lat, got[7].tail_outlier) == (None, None, False)
+    assert report.corrected_pairs(links.where("sar_id > 9"), track).count() == 0

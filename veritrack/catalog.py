@@ -828,3 +828,16 @@ def SRC_16_archive_coverage(s, d):
     items = src.table(s, d, "orders").selectExpr("o_orderpriority AS collection", "o_orderkey % 3 = 0 AS online")
     asked = items.select("collection").union(s.range(1).select(F.lit("NOT-THERE")))
     return report.archive_coverage(items, asked)
+
+
+@query(BASE + TRACK + NEAR + f""", co AS (SELECT s.sar_id, s.t, s.lat, s.lon, s.mmsi, n.near_mmsi relinked_mmsi FROM sar s JOIN near n USING (sar_id) WHERE s.mmsi<>n.near_mmsi),
+pr AS (SELECT sar_id, t, 'named' side, mmsi FROM co UNION ALL SELECT sar_id, t, 'relinked', relinked_mmsi FROM co),
+pb AS (SELECT pr.sar_id, pr.side, p.t, p.lat, p.lon FROM pr ASOF JOIN p1 p ON pr.mmsi=p.mmsi AND pr.t>=p.t), pa AS (SELECT pr.sar_id, pr.side, p.t, p.lat, p.lon FROM pr ASOF JOIN p1 p ON pr.mmsi=p.mmsi AND pr.t<=p.t),
+pe AS (SELECT pr.sar_id, pr.side, pr.t, pb.t bt, pa.t at_, pb.lat bla, pb.lon blo, pa.lat ala, pa.lon alo, pb.t IS NOT NULL AND (pa.t IS NULL OR pr.t-pb.t<=pa.t-pr.t) early FROM pr LEFT JOIN pb USING (sar_id, side) LEFT JOIN pa USING (sar_id, side)),
+nt AS (SELECT sar_id, side, CASE WHEN early THEN bla ELSE ala END la, CASE WHEN early THEN blo ELSE alo END lo, CASE WHEN early THEN t-bt ELSE at_-t END/6e7 mins FROM pe),
+j AS (SELECT co.*, g.mins gm, r.mins rm, {hav('co.lat', 'co.lon', 'g.la', 'g.lo')} km FROM co LEFT JOIN nt g ON g.sar_id=co.sar_id AND g.side='named' LEFT JOIN nt r ON r.sar_id=co.sar_id AND r.side='relinked')
+SELECT sar_id, mmsi, relinked_mmsi, round(CASE WHEN gm IS NULL THEN NULL ELSE km END,6) named_km, round(gm,6) named_minutes, round(rm,6) relinked_minutes, gm IS NOT NULL AND km>27.48 tail_outlier FROM j""")
+def J_16_corrected_pairs(s, d):
+    near = match.nearest_in_hour(_sar(s, d).where("mmsi is not null"), _ais(s, d)).select("sar_id", F.col("near_mmsi").alias("relinked_mmsi"))
+    pairs = report.corrected_pairs(_sar(s, d).join(near, "sar_id").where("mmsi <> relinked_mmsi"), _ais(s, d))
+    return pairs.select("sar_id", "mmsi", "relinked_mmsi", *[F.round(c, 6).alias(c) for c in ("named_km", "named_minutes", "relinked_minutes")], "tail_outlier")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrack.functions.geo import haversine
+from veritrack.operators.match import nearest_in_time
 from veritrack.operators.trajectory import KNOT_KMH
 from veritrack.sources.files import VAGUE_TYPES
 
 #: Fixed values of the structural verdict: knots a vessel can hold, how many
 #: times its reach and how many kilometres at least a wrong link is away.
 REACH_KN, REACH_FACTOR, WRONG_KM = 30.0, 3.0, 15.0
+#: Fixed value: the far-out fence of distances, in kilometres.
+TAIL_FENCE_KM = 27.48
 
 
 def near_port_crosstab(rows: DataFrame, by: str, near: Column) -> DataFrame:
@@ -118,3 +122,21 @@ def structural_verdict(distance_km: Column, dt_h: Column, gap_h: Column, bracket
     far = distance_km > WRONG_KM
     wrong = (far & (distance_km > REACH_FACTOR * reach)) | (far & brackets) | better
     return F.when(F.coalesce(wrong, F.lit(False)), "LIKELY_MISATTRIBUTION").otherwise("GENUINE_DISPLACEMENT")
+
+
+def corrected_pairs(corrected: DataFrame, ais: DataFrame, fence_km: float = TAIL_FENCE_KM) -> DataFrame:
+    """Where both vessels of a corrected link ``(sar_id, t, lat, lon, mmsi, relinked_mmsi)`` were at the time nearest to it.
+
+    One pass over the tracks serves both vessels. A vessel that is null or has
+    no track gives nulls; ``tail_outlier`` tells whether the first vessel was
+    beyond the fence, and is false without a position.
+    """
+    probe = F.struct("sar_id", "t")
+    sides = corrected.select(F.explode(F.array(*[F.struct(F.col(c).alias("mmsi"), F.lit(n).alias("side"), probe.alias("p")) for n, c in enumerate(("mmsi", "relinked_mmsi"))])).alias("x"))
+    asked = sides.select("x.mmsi", F.col("x.p.t").alias("t"), (F.col("x.p.sar_id") * 2 + F.col("x.side")).alias("probe"))
+    seen = nearest_in_time(asked, ais, "probe").withColumn("sar_id", F.shiftright("probe", 1)).withColumn("side", F.pmod("probe", F.lit(2)))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    both = seen.groupBy("sar_id").agg(*[of(n, c).alias(f"{name}_{short}") for n, name in enumerate(("named", "relinked")) for c, short in (("ais_lat", "lat"), ("ais_lon", "lon"), ("minutes", "minutes"))])
+    rows = corrected.select("sar_id", "lat", "lon", "mmsi", "relinked_mmsi").join(both, "sar_id", "left")
+    rows = rows.withColumn("named_km", haversine(F.col("lat"), F.col("lon"), F.col("named_lat"), F.col("named_lon")))
+    return rows.withColumn("tail_outlier", F.coalesce(F.col("named_km") > fence_km, F.lit(False)))
