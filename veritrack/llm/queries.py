@@ -14,6 +14,7 @@ from veritrack.llm.embedding_dedup import embedding_near_duplicates
 from veritrack.llm.language import fit_languages, identify_languages
 from veritrack.llm.mixing import ROUNDS, TARGETS, TOLERANCE, mix_sources
 from veritrack.llm.near_dup import minhash_near_duplicates
+from veritrack.llm.packing import decompose, number_sequences, piece_digests
 from veritrack.llm.quality_knn import fit_quality, score_quality
 from veritrack.llm.quality_rules import apply_rules, fit_rules
 from veritrack.llm.quotes import link_quotes
@@ -70,6 +71,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = piece_digests(decompose(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_binary_packing": op11_binary_packing,
 }
 
 def _values(d: str) -> str:
