@@ -20,6 +20,7 @@ from veritrack.llm.quality_rules import apply_rules, fit_rules
 from veritrack.llm.quotes import link_quotes
 from veritrack.llm.token_counts import count_tokens, read_vocabulary
 from veritrack.llm.toxicity import fit_toxicity, score_toxicity
+from veritrack.llm.whitening import whiten
 from veritrack.llm.word_runs import find_runs, planted, run_digests
 
 
@@ -77,6 +78,10 @@ def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(planted(table(spark, sf_dir, "documents"))))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_binary_packing": op11_binary_packing,
+    "op12_whitening": op12_whitening,
     "op13_word_runs": op13_word_runs,
 }
 
