@@ -25,6 +25,28 @@ def test_chunks_encode_as_the_whole_text(text):
     assert ENCODER.encode(text.encode()) == struct.pack(f"<{len(x := ids_of(text))}I", *x)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.one_of(st.characters(min_codepoint=33, max_codepoint=0x180), st.sampled_from("'sStTmMdDlLvVrReE019.,<|>"), st.characters(min_codepoint=0xC0, max_codepoint=0x17F)), min_size=1, max_size=14))
+def test_plain_chunks_encode_as_the_library_does(chunk):
+    for text in (chunk, chunk.upper(), chunk.title()):
+        if text.split() == [text]:
+            assert ENCODER.ids(text.encode()) == ids_of(text)
+
+
+def test_every_plain_character():
+    for c in map(chr, range(33, 0x180)):
+        for text in (c, f"a{c}", f"{c}{c}'s", f"1{c}a"):
+            assert ENCODER.encode(text.encode()) == struct.pack(f"<{len(x := ids_of(text))}I", *x)
+
+
+def test_generations_of_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CHUNKS", 3)
+    encoder = ChunkEncoder(PATH)
+    text = "one two three four one five six seven one eight two nine"
+    assert encoder.encode(text.encode()) == struct.pack(f"<{len(x := ids_of(text))}I", *x)
+    assert len(encoder) <= 3 and len(encoder.before) <= 3
+
+
 def test_spans_cut_between_chunks(monkeypatch):
     text = "Some words, <|endoftext|> don't\tstop\n\n here " * 40
     monkeypatch.setattr(packing, "SPAN", 7)

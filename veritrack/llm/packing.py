@@ -9,7 +9,8 @@ trainer takes batches of equal lengths as ranges of ``sequence_id``.
 
 Ids come from the tokenizer one white-space-free chunk at a time: its normaliser
 and its pattern never look across white space, so equal chunks have equal ids
-and are encoded once per worker.
+and are encoded once per worker. Chunks of Latin letters and ASCII marks are
+split by the same pattern here and their pieces go to the tokenizer's merges.
 """
 
 from __future__ import annotations
@@ -27,13 +28,25 @@ from veritrack.llm.kernels import slices, utf8
 from veritrack.plans.lineage import cut
 
 END_ID, LONGEST = 2, 4096
-#: Chunks that a worker remembers, and the bytes of the longest that it does.
-MOST_CHUNKS, LONGEST_CHUNK = 400_000, 48
+#: Chunks that a worker remembers in each of two generations, and the bytes of the longest that it does.
+MOST_CHUNKS, LONGEST_CHUNK = 450_000, 48
 #: Bytes of a long text that are cut into chunks at once.
 SPAN = 1 << 20
 _GAP = re.compile(rb"[ \t-\r]").search
 
 
+#: Chunks of these characters, none of which the normaliser composes, are lower-cased and matched here; others go through the library whole.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿĀ-įĲ-ſ]+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^a-z0-9ß-öø-ÿĀ-ſ]+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: printable ones of Latin-1 stand for themselves, the rest follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder(dict):
     """Chunk of UTF-8 bytes without ASCII white space to its ids as little-endian unsigned 32-bit integers."""
 
@@ -42,12 +55,39 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.marks: dict[str, list[int]] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one match of the pattern; those of marks and digits are remembered."""
+        if piece.isalpha():
+            return [t.id for t in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        ids = self.marks.get(piece)
+        if ids is None:
+            ids = [t.id for t in self.tokenize(piece)]
+            if len(piece) <= 4:
+                self.marks[piece] = ids
+        return ids
+
+    def ids(self, chunk: bytes) -> list[int]:
+        text = chunk.decode()
+        if "<|" in text or not _PLAIN(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        if text.isalpha():
+            return self._piece(text)
+        return [i for piece in _PIECES(text) for i in self._piece(piece)]
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.before.get(chunk)
+        if packed is None:
+            ids = self.ids(chunk)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= LONGEST_CHUNK:
-            if len(self) >= MOST_CHUNKS:
+            if len(self) >= MOST_CHUNKS:  # what is still used moves over from the generation before
+                self.before = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
