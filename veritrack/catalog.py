@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import bearing, haversine, nearest_of
 from veritrack.functions.timeutil import HOUR_US, with_runs
-from veritrack.operators import calibrate, cluster, dwell, match, relink, report, score, screen, trajectory, window_run
+from veritrack.operators import calibrate, cluster, dwell, match, nearest, relink, report, score, screen, trajectory, window_run
 from veritrack.sources import adapters as src
 from veritrack.sources import files
 from veritrack.streaming import twins
@@ -567,9 +567,8 @@ def U_01_ragged_union(s, d):
 
 @query(BASE + f" SELECT sar_id, other, round(km,6) km FROM (SELECT s.sar_id, a.mmsi other, min({hav('s.lat', 's.lon', 'a.lat', 'a.lon')}) km FROM sar s JOIN ais a ON a.mmsi<>s.mmsi AND a.hour BETWEEN s.hour-1 AND s.hour+1 AND abs(s.t-a.t)<=3600000000 GROUP BY 1,2) WHERE km<=20")
 def J_11_J_17_rendezvous(s, d):
-    a = _ais(s, d).select(F.col("mmsi").alias("other"), F.col("t").alias("rt"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    p = match.range_join(_sar(s, d).where("mmsi is not null").select("sar_id", "mmsi", "t", "lat", "lon"), a, HOUR_US).where("other <> mmsi")
-    return p.groupBy("sar_id", "other").agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km")).where("km <= 20").withColumn("km", F.round("km", 6))
+    p = nearest.rows_within(_sar(s, d).where("mmsi is not null"), _ais(s, d), 20.0, HOUR_US, ("sar_id", "mmsi")).where("other <> mmsi")
+    return p.groupBy("sar_id", "other").agg(F.round(F.min("km"), 6).alias("km"))
 
 
 @query(BASE + " SELECT event_id, c_name, n_name flag FROM ais LEFT JOIN customer ON c_custkey=mmsi LEFT JOIN nation ON c_nationkey=n_nationkey")

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrack.functions.geo import haversine
 from veritrack.functions.timeutil import HOUR_US
+from veritrack.operators.nearest import nearest_rows
 
 GRID = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
 def hour_neighbours(ais: DataFrame) -> DataFrame:
     """Each row's distance to the nearest other vessel of its hour; rows alone in their hour give none."""
-    other = ais.select("hour", F.col("mmsi").alias("m"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    pairs = ais.select("event_id", "mmsi", "hour", "lat", "lon").join(other, "hour").where("m <> mmsi")
-    return pairs.groupBy("event_id").agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
+    return nearest_rows(ais, ais, "event_id", others=True).select("event_id", "km")
 
 
 def percentile_grid(rows: DataFrame, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import haversine
+from veritrack.operators.nearest import nearest_rows
 
 MATCHED_KM, SPOOFED_KM = 1.5, 20.0
 
@@ -40,12 +41,13 @@ def interpolate(probes: DataFrame, tracks: DataFrame, id_col: str = "sar_id") ->
 def nearest_in_hour(sar: DataFrame, ais: DataFrame) -> DataFrame:
     """For each detection the nearest row of any vessel in its clock hour, and how many rows there are.
 
-    Ties go by (vessel, position). The hour is the equi key.
+    Ties go by (vessel, position). Rows without a vessel count as candidates
+    only. Neither side meets all rows of its hour.
     """
-    a = ais.select("hour", F.col("mmsi").alias("m"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    pairs = sar.select("sar_id", "hour", "lat", "lon").join(a, "hour")
-    best = F.min(F.struct(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km"), "m", "y", "x"))
-    return pairs.groupBy("sar_id").agg(best.alias("n"), F.count("*").alias("candidates")).select("sar_id", F.col("n.km").alias("near_km"), F.col("n.m").alias("near_mmsi"), F.col("n.y").alias("near_lat"), F.col("n.x").alias("near_lon"), "candidates")
+    near = nearest_rows(sar, ais, "sar_id")
+    counts = ais.groupBy("hour").agg(F.count("*").alias("candidates"))
+    out = sar.select("sar_id", "hour").join(near, "sar_id").join(counts, "hour")
+    return out.select("sar_id", F.col("km").alias("near_km"), F.col("mmsi").alias("near_mmsi"), F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), "candidates")
 
 
 def tier(km: Column, matched: float = MATCHED_KM, spoofed: float = SPOOFED_KM) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritrack.functions.geo import haversine
 from veritrack.functions.timeutil import HOUR_US
 from veritrack.operators.match import range_join
+from veritrack.operators.nearest import nearest_rows
 
 
 def _track(ais: DataFrame, mmsi: str) -> DataFrame:
@@ -30,9 +31,8 @@ def bracket(sar: DataFrame, ais: DataFrame, hours: int = 2, far_km: float = 15.0
 
 def alternatives(sar: DataFrame, ais: DataFrame, hours: int = 1) -> DataFrame:
     """The nearest row of another vessel within ``hours``: ``(sar_id, best_alt_mmsi, best_alt_km)``."""
-    pairs = range_join(sar.where("mmsi is not null").select("sar_id", "mmsi", "t", "lat", "lon"), _track(ais, "other"), hours * HOUR_US).where("other <> mmsi")
-    best = pairs.groupBy("sar_id").agg(F.min(F.struct(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km"), "other")).alias("b"))
-    return best.select("sar_id", F.col("b.other").alias("best_alt_mmsi"), F.col("b.km").alias("best_alt_km"))
+    near = nearest_rows(sar, ais, "sar_id", hours * HOUR_US, others=True)
+    return near.select("sar_id", F.col("mmsi").alias("best_alt_mmsi"), F.col("km").alias("best_alt_km"))
 
 
 def keep_links(identity: DataFrame, sar: DataFrame, ais: DataFrame, least_km: float = 10.0, alone_km: float = 25.0, alt_km: float = 5.0, alt_share: float = 0.5) -> DataFrame:
