@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veritrack.functions.geo import bearing, haversine, nearest_of
 from veritrack.functions.timeutil import HOUR_US, with_runs
 from veritrack.operators import calibrate, cluster, dwell, match, nearest, relink, report, score, screen, trajectory, window_run
+from veritrack.operators.quantiles import quantiles
+from veritrack.plans.lineage import cut
 from veritrack.sources import adapters as src
 from veritrack.sources import files
 from veritrack.streaming import twins
@@ -153,7 +155,9 @@ def A_24_distance_histogram(s, d):
 
 @query(BASE + CLS + " SELECT classification, count(*) n, round(avg(distance_km),6) mean_km, round(stddev_samp(distance_km),6) std_km, round(quantile_cont(distance_km,0.5),6) p50, round(quantile_cont(distance_km,0.95),6) p95 FROM clf GROUP BY 1")
 def A_25_distance_stats(s, d):
-    return _classified(s, d).groupBy("classification").agg(F.count("*").alias("n"), F.round(F.avg("distance_km"), 6).alias("mean_km"), F.round(F.stddev_samp("distance_km"), 6).alias("std_km"), *[F.round(F.percentile("distance_km", F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))])
+    c = cut(_classified(s, d).select("classification", "distance_km"))
+    q = quantiles(c, "distance_km", {"p50": 0.5, "p95": 0.95}, "classification").select("classification", *[F.round(a, 6).alias(b) for a, b in (("mean", "mean_km"), ("std", "std_km"), ("p50", "p50"), ("p95", "p95"))])
+    return c.groupBy("classification").agg(F.count("*").alias("n")).join(F.broadcast(q), "classification")  # a row for each class
 
 
 @query(BASE + CLS + " SELECT hour//24 AS day, classification, count(*) n FROM clf GROUP BY 1,2")
@@ -320,8 +324,6 @@ def A_07_by_source(s, d):
 def G_02_parameter_sweep(s, d):
     from functools import reduce
 
-    from veritrack.plans.lineage import cut
-
     e = cut(_episodes(s, d))
     runs = [cluster.st_dbscan(e, km, h, 2).agg(F.count_if(F.col("cluster") < 0).alias("noise"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters")).select(F.lit(km).alias("eps_km"), F.lit(h).alias("eps_h"), "clusters", "noise") for km in (5.0, 8.0) for h in (1.0, 4.0)]
     return reduce(DataFrame.unionByName, runs)
@@ -392,12 +394,10 @@ def A_12_percentile_grid(s, d):
     return g.select("n", *[F.round(c, 6).alias(c) for c in g.columns[1:]])
 
 
-@query(BASE + CLS + KEEP + " SELECT count(*) n_pairs, sum(keep::int)::bigint n_kept, round(quantile_cont(distance_km,0.5),6) raw_p50, round(quantile_cont(distance_km,0.99),6) raw_p99, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.5),6) matched_km, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.99),6) spoofed_km FROM kept")
+@query(BASE + CLS + KEEP + " SELECT count(*) n_pairs, sum(keep::int)::bigint n_kept, round(quantile_cont(distance_km,0.5),6) raw_p50, round(quantile_cont(distance_km,0.99),6) raw_p99, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.5),6) matched_km, round(quantile_cont(CASE WHEN keep THEN distance_km END,0.99),6) spoofed_km, CASE WHEN sum(keep::int)>=200 THEN 'ok' ELSE 'low' END confidence, sum((NOT keep)::int)>0.2*count(*) exclusion_warning FROM kept")
 def A_13_distance_thresholds(s, d):
-    k = screen.keep_links(_identity(s, d), _sar(s, d), _ais(s, d))
-    kept = F.when(F.col("keep"), F.col("distance_km"))
-    p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 6)
-    return k.agg(F.count("*").alias("n_pairs"), F.count_if("keep").alias("n_kept"), p(F.col("distance_km"), 0.5).alias("raw_p50"), p(F.col("distance_km"), 0.99).alias("raw_p99"), p(kept, 0.5).alias("matched_km"), p(kept, 0.99).alias("spoofed_km"))
+    t = calibrate.distance_thresholds(screen.keep_links(_identity(s, d), _sar(s, d), _ais(s, d)))
+    return t.select("n_pairs", "n_kept", *[F.round(c, 6).alias(c) for c in ("raw_p50", "raw_p99", "matched_km", "spoofed_km")], "confidence", "exclusion_warning")
 
 
 @query(BASE + CLS + ", q AS (SELECT quantile_cont(distance_km,0.25) q1, quantile_cont(distance_km,0.75) q3, quantile_cont(distance_km,0.95) p95, quantile_cont(distance_km,0.99) p99 FROM clf WHERE time_gap_seconds IS NOT NULL) SELECT round(q3+3*(q3-q1),6) fence, n_beyond, p99>2*p95 AND n_beyond>0 heavy_tail FROM q, (SELECT count(*) n_beyond FROM clf, q WHERE time_gap_seconds IS NOT NULL AND distance_km>q3+3*(q3-q1))")
@@ -410,13 +410,16 @@ GAP = ", g AS (SELECT (t-lag(t) OVER (PARTITION BY mmsi ORDER BY t))/3.6e9 gap_h
 
 @query(BASE + GAP + " SELECT count(*) n, round(quantile_cont(gap_h,0.5),6) p50, round(quantile_cont(gap_h,0.9),6) p90, greatest(ceil(quantile_cont(gap_h,0.9)),2.0)::double eps_h FROM g WHERE gap_h>0")
 def A_15_A_16_bin_gaps(s, d):
-    return calibrate.bin_gaps(_ais(s, d)).agg(F.count("*").alias("n"), F.round(F.percentile("gap_h", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("gap_h", F.lit(0.9)), 6).alias("p90"), F.greatest(F.ceil(F.percentile("gap_h", F.lit(0.9))).cast("double"), F.lit(2.0)).alias("eps_h"))
+    q = quantiles(cut(calibrate.bin_gaps(_ais(s, d)).select("gap_h")), "gap_h", {"p50": 0.5, "p90": 0.9})
+    return q.select("n", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), F.greatest(F.ceil("p90").cast("double"), F.lit(2.0)).alias("eps_h"))
 
 
-@query(BASE + HN + """, o AS (SELECT km, row_number() OVER (ORDER BY km)-1 x, count(*) OVER () n, min(km) OVER () y0, max(km) OVER () y1 FROM hn)
- SELECT round(km,6) knee, round(greatest(km,3.0),6) eps_km FROM o ORDER BY round(abs((y1-y0)*x-(n-1)*(km-y0))/sqrt(pow(n-1,2)+pow(y1-y0,2)),9) DESC, x LIMIT 1""")
+@query(BASE + HN + """, o AS (SELECT km, row_number() OVER (ORDER BY km)-1 x, count(*) OVER () n, min(km) OVER () y0, max(km) OVER () y1 FROM hn),
+ k AS (SELECT km FROM o ORDER BY round(abs((y1-y0)*x-(n-1)*(km-y0))/sqrt(pow(n-1,2)+pow(y1-y0,2)),9) DESC, x LIMIT 1)
+ SELECT round(max(k.km),6) knee, round(greatest(max(k.km),3.0),6) eps_km, round(quantile_cont(hn.km,0.75),6) p75, round(quantile_cont(hn.km,0.9),6) p90, round(avg(hn.km)+stddev_pop(hn.km),6) mean_plus_1std FROM hn, k""")
 def A_17_A_18_knee(s, d):
-    return calibrate.knee(calibrate.hour_neighbours(_ais(s, d)), "km").select(F.round("knee", 6).alias("knee"), F.round(F.greatest("knee", F.lit(3.0)), 6).alias("eps_km"))
+    e = calibrate.spatial_eps(calibrate.hour_neighbours(_ais(s, d)), "km")
+    return e.select(*[F.round(c, 6).alias(c) for c in e.columns])
 
 
 @query("SELECT o_orderpriority param, round(auto,6) auto, CASE WHEN r<=2 THEN 'AGREES' WHEN r<=3 THEN 'LOOSE' ELSE 'DIVERGES' END verdict FROM (SELECT o_orderpriority, avg(o_totalprice) auto, greatest(avg(o_totalprice)/60000.0, 60000.0/avg(o_totalprice)) r FROM orders GROUP BY 1)")
@@ -711,8 +714,8 @@ def J_18_nearest_other_episode(s, d):
 @query(BASE + HN + """, g AS (SELECT quantile_cont(km,0.1) a, quantile_cont(km,0.5) b, quantile_cont(km,0.9) c FROM hn), p AS (SELECT i, 10+i*4.0 q FROM range(0,21) t(i))
  SELECT i, round(CASE WHEN q<=50 THEN a+(q-10)/40*(greatest(a,b)-a) ELSE greatest(a,b)+(q-50)/40*(greatest(a,b,c)-greatest(a,b)) END,6)::double km FROM p, g""")
 def A_38_inverse_cdf(s, d):
-    hn = calibrate.hour_neighbours(_ais(s, d))
-    g = hn.agg(*[F.percentile("km", F.lit(q)).alias(n) for n, q in (("a", 0.1), ("b", 0.5), ("c", 0.9))]).selectExpr("a", "greatest(a, b) AS b", "greatest(a, b, c) AS c")
+    hn = cut(calibrate.hour_neighbours(_ais(s, d)))
+    g = quantiles(hn, "km", {"a": 0.1, "b": 0.5, "c": 0.9}).selectExpr("a", "greatest(a, b) AS b", "greatest(a, b, c) AS c")
     p = g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))).withColumn("q", 10 + F.col("i") * 4.0)
     km = F.when(F.col("q") <= 50, F.col("a") + (F.col("q") - 10) / 40 * (F.col("b") - F.col("a"))).otherwise(F.col("b") + (F.col("q") - 50) / 40 * (F.col("c") - F.col("b")))
     return p.select("i", F.round(km, 6).alias("km"))
@@ -730,13 +733,18 @@ def J_12_type_join(s, d):
     return _sar(s, d).withColumn("t", F.col("hour") * HOUR_US).join(a, ["mmsi", "t"], "left").select("sar_id", "vessel_type")
 
 
-@query()
+_ONE = {n: ORACLES[n] for n in ("A_13_distance_thresholds", "A_14_tukey_fence", "A_17_A_18_knee", "A_15_A_16_bin_gaps")}
+
+
+@query(f"""SELECT t.matched_km, t.spoofed_km, t.n_pairs, t.n_kept, fence, heavy_tail, k.eps_km, g.eps_h, t.confidence
+FROM ({_ONE["A_13_distance_thresholds"]}) t, ({_ONE["A_14_tukey_fence"]}) f, ({_ONE["A_17_A_18_knee"]}) k, ({_ONE["A_15_A_16_bin_gaps"]}) g""")
 def A_20_calibration_report(s, d):
-    t, f, k = A_13_distance_thresholds(s, d), A_14_tukey_fence(s, d), A_17_A_18_knee(s, d)
-    gaps = A_15_A_16_bin_gaps(s, d).select("eps_h")
-    row = t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(k)).crossJoin(F.broadcast(gaps))  # one row each
-    low = F.when(F.col("n_kept") < 200, "low").otherwise("ok")
-    return row.select(F.to_json(F.struct(F.struct("matched_km", "spoofed_km", "n_pairs", "n_kept").alias("distance"), F.struct("fence", "heavy_tail").alias("tail"), F.struct("eps_km", "eps_h").alias("clustering"), low.alias("confidence"))).alias("report"))
+    """The report as it is stored, read again by its paths."""
+    t, f, k = A_13_distance_thresholds(s, d), A_14_tukey_fence(s, d), A_17_A_18_knee(s, d).select("knee", "eps_km")
+    row = t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(k)).crossJoin(F.broadcast(A_15_A_16_bin_gaps(s, d).select("eps_h")))  # one row each
+    stored = row.select(F.to_json(F.struct(F.struct("matched_km", "spoofed_km", "n_pairs", "n_kept").alias("distance"), F.struct("fence", "heavy_tail").alias("tail"), F.struct("eps_km", "eps_h").alias("clustering"), "confidence")).alias("report"))
+    kind = "distance struct<matched_km: double, spoofed_km: double, n_pairs: long, n_kept: long>, tail struct<fence: double, heavy_tail: boolean>, clustering struct<eps_km: double, eps_h: double>, confidence string"
+    return stored.select(F.from_json("report", kind).alias("r")).select("r.distance.*", "r.tail.*", "r.clustering.*", "r.confidence")
 
 
 # reports
