@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from veritrack.plans.lineage import cut
 
 END_ID, LONGEST = 2, 4096
 #: Chunks that a worker remembers in each of two generations, and the bytes of the longest that it does.
-MOST_CHUNKS, LONGEST_CHUNK = 450_000, 48
+MOST_CHUNKS, LONGEST_CHUNK = 200_000, 48
 #: Bytes of a long text that are cut into chunks at once.
 SPAN = 1 << 20
 _GAP = re.compile(rb"[ \t-\r]").search
@@ -54,6 +56,8 @@ class ChunkEncoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed as the machine holds them, which has to be little-endian")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
@@ -80,11 +84,23 @@ class ChunkEncoder(dict):
             return self._piece(text)
         return [i for piece in _PIECES(text) for i in self._piece(piece)]
 
+    def _known(self, word: bytes) -> bytes:
+        """The packed ids of a lower-case word of ASCII letters, looked up before they are made."""
+        packed = self.get(word) or self.before.get(word)
+        return packed or array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+
+    def _packed(self, chunk: bytes) -> bytes:
+        word = chunk.lower()
+        if word.isalpha():  # of bytes: ASCII letters alone
+            return self._known(word)
+        if word[:-1].isalpha() and 33 <= word[-1] <= 126:
+            return self._known(word[:-1]) + array("I", self._piece(chr(word[-1]))).tobytes()
+        return array("I", self.ids(chunk)).tobytes()
+
     def __missing__(self, chunk: bytes) -> bytes:
         packed = self.before.get(chunk)
         if packed is None:
-            ids = self.ids(chunk)
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+            packed = self._packed(chunk)
         if len(chunk) <= LONGEST_CHUNK:
             if len(self) >= MOST_CHUNKS:  # what is still used moves over from the generation before
                 self.before = dict(self)
