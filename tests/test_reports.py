@@ -14,10 +14,41 @@ def test_type_chain(spark):
 
 def test_structural_verdict(spark):
     reach = 3 * 30 * KNOT_KMH
-    rows = spark.createDataFrame([(1, 15.0, 0.0, True, False), (2, 15.1, 9.0, True, False), (3, reach - 1, 1.0, False, False), (4, reach + 1, 1.0, False, False), (5, 1.0, 0.0, False, True), (6, None, 1.0, None, None)],
+    rows = spark.createDataFrame([(1, 15.0, 0.0, True, False), (2, 15.1, 9.0, True, False), (3, reach - 1, 1.0, False, False), (4, reach + 1, 1.0, False, False), (5, 1.0, 0.0, False, True), (6, None, None, None, None), (7, 16.0, 0.0, None, None)],
                                  "k int, km double, h double, b boolean, better boolean")
-    got = {r.k: r.v[0] for r in rows.select("k", report.structural_verdict(F.col("km"), F.col("h"), F.col("h"), F.col("b"), F.col("better")).alias("v")).collect()}
-    assert got == {1: "G", 2: "L", 3: "G", 4: "L", 5: "L", 6: "G"}
+    reached, wrong, verdict = report.structural_verdict(F.col("km"), F.col("h"), F.col("h"), F.col("b"), F.col("better"))
+    got = {r.k: (r.v[0], r.w) for r in rows.select("k", verdict.alias("v"), wrong.alias("w")).collect()}
+    assert got == {1: ("G", False), 2: ("L", True), 3: ("G", False), 4: ("L", True), 5: ("L", False), 6: ("L", True), 7: ("L", True)}
+
+
+def test_links_are_assessed_on_own_fixes(spark):
+    h = 3_600_000_000
+    sar = spark.createDataFrame([(1, 10 * h, 10, 26.0, 56.0, 7), (2, 10 * h, 10, 26.0, 56.0, 8), (3, 10 * h, 10, 26.0, 56.0, 9), (4, 10 * h, 10, 26.0, 56.0, 6)], "sar_id long, t long, hour long, lat double, lon double, mmsi long")
+    # 7 is at the place, 8 is elsewhere before and after, 9 was never heard, 6 is 20 km away an hour before
+    ais = spark.createDataFrame([(7, 9 * h, 26.01, 56.0), (7, 11 * h, 26.01, 56.0), (8, 9 * h, 27.0, 56.0), (8, 11 * h, 27.0, 56.0), (6, 9 * h, 26.18, 56.0), (9, 30 * h, 26.0, 56.0)], "mmsi long, t long, lat double, lon double")
+    links = spark.createDataFrame([(1, 1.1, 3600.0), (2, 111.0, 3600.0), (3, 1.0, 0.0), (4, 20.0, 3600.0)], "sar_id long, distance_km double, time_gap_seconds double")
+    got = {r.sar_id: r for r in report.assess_links(links, sar, ais).collect()}
+    assert [(got[i].n_track, got[i].struct_wrong, got[i].better_alt) for i in (1, 2, 3, 4)] == [(2, False, False), (2, True, True), (0, True, False), (1, False, True)]
+    assert got[1].verdict == "GENUINE_DISPLACEMENT" and {got[i].verdict for i in (2, 3, 4)} == {"LIKELY_MISATTRIBUTION"}
+    assert got[2].vertex_km == pytest.approx(111.2, abs=0.1) and got[3].reach_km is None and got[2].best_alt_mmsi == 7
+
+
+def test_vague_types_are_normalised(spark):
+    rows = spark.createDataFrame([(1, None, "N/A", "Other non-fishing", "TANKER"), (2, None, "n a", None, None), (3, None, "Insufficient-Data", "Gear", None)], "k int, c string, s string, g string, l string")
+    got = {r.k: (r.resolved_type, r.type_source) for r in report.resolve_type(rows, "c", "s", "g", "l").collect()}
+    assert got == {1: ("TANKER", "listed"), 2: ("n a", "identity"), 3: ("Insufficient-Data", "identity")}
+
+
+def test_every_baseline_reading(spark):
+    base = [(m, *([20.0, 30.0, 50.0, 60.0] if m != 2 else [0.0, 1.0, 0.0, 1.0]), ext, stay, cty, gaps, enc) for m, ext, stay, cty, gaps, enc in
+            ((1, 5000.0, 10.0, 5, 0, 0), (2, 5000.0, 10.0, 5, 0, 0), (3, 1000.0, 600.0, 1, 4, 1), (4, 2000.0, 10.0, 3, 1, 1), (5, 2000.0, 504.0, 3, 3, 1), (6, 2000.0, None, 3, 1, 0))]
+    baseline = spark.createDataFrame(base, "mmsi int, y0 double, y1 double, x0 double, x1 double, extent_km double, longest_stay_h double, n_countries int, n_gaps int, n_encounters int")
+    who = spark.createDataFrame([(1, "none", 1, 1, 300.0), (3, "shadow_fleet", 2, 2, 10.0), (4, "none", 2, 1, None), (5, "none", 1, 1, 200.0)], "mmsi int, foc_tier string, n_flags int, n_names int, positions_per_day double")
+    flags = spark.createDataFrame([(m, 25.0, 55.0) for m in (1, 2, 3, 4, 5, 9)] + [(1, None, None), (6, None, 55.0), (5, 30.75, 60.75), (4, 0.0, 0.0), (4, 25.0, 55.0)], "mmsi int, lat double, lon double")
+    got = {r.mmsi: r for r in report.baseline_reading(flags, baseline, who).collect()}
+    assert {m: r.reading for m, r in got.items()} == {1: "ordinary", 2: "outside_baseline", 3: "persistent", 4: "mixed", 5: "mixed", 6: "outside_baseline"}
+    assert (got[1].n_flagged, got[1].n_located, got[1].share) == (2, 1, 1.0) and got[6].share is None
+    assert got[3].odd == "shadow_fleet;reflagged;renamed;lay_up;confined;reporting_gaps" and got[1].clean == "no_gaps;no_encounters;many_countries;international;stable_identity;dense_positions"
 
 
 SUMMARY = "n_episodes long, n_vessels long, span_h double, radius_km double, coherence string, strong boolean"

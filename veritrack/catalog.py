@@ -452,25 +452,45 @@ def A_09_discrete_events(s, d):
     return score.discrete_events(cluster.anomalies(_classified(s, d), _triples(s, d)))
 
 
-FLG = """, fl AS (SELECT vessel, 'w'||(t//604800000000)%4 AS window_, (t//604800000000)%4 ord, source event_type, count(*) flagged_events, true observed FROM an GROUP BY 1,2,3,4),
-con AS (SELECT vessel, count(DISTINCT window_) n_windows, sum(flagged_events)::bigint total_flags, round(sum(flagged_events)/count(DISTINCT window_),3) flag_rate, string_agg(DISTINCT event_type,';' ORDER BY event_type) event_types, max_by(window_, ord) last_window FROM fl GROUP BY 1)"""
+#: Two vessels of the fixture stand for known artifacts.
+ARTIFACTS = (5, 9)
+WINDOWS = ("w0", "w1", "w2", "w3")
+FLG = """, fl AS (SELECT vessel, 'w'||(t//604800000000)%4 AS window_, (t//604800000000)%4 ord, source event_type, count(*) flagged_events, source<>'likely_spoofed' observed FROM an GROUP BY 1,2,3,4
+ UNION ALL SELECT mmsi, 'w'||(t//604800000000)%4, (t//604800000000)%4, NULL, 0, true FROM ais GROUP BY 1,2,3),
+pw AS (SELECT vessel, vessel IN (5,9) is_known_artifact, window_, ord, bool_or(observed) seen, (CASE WHEN vessel IN (5,9) THEN 0 ELSE sum(flagged_events) END)::bigint n FROM fl GROUP BY vessel, window_, ord),
+et AS (SELECT vessel, string_agg(DISTINCT event_type,';' ORDER BY event_type) event_types FROM fl WHERE flagged_events>0 AND vessel NOT IN (5,9) GROUP BY 1),
+co0 AS (SELECT vessel, is_known_artifact, count(*) FILTER (seen) n_windows, sum(n)::bigint total_flags, max_by(window_, ord) FILTER (seen AND n>0) last_window, """ + ", ".join(f"coalesce(sum(n) FILTER (window_='{w}'),0)::bigint flags_{w}" for w in WINDOWS) + """ FROM pw GROUP BY 1,2),
+con AS (SELECT co0.*, round(coalesce(total_flags/nullif(n_windows,0),0),3)::double flag_rate, coalesce(event_types,'') event_types FROM co0 LEFT JOIN et USING (vessel))"""
 
 
 def _flags(s, d):
-    a = cluster.anomalies(_classified(s, d), _triples(s, d)).withColumn("ord", F.expr("(t div 604800000000) % 4")).withColumn("window", F.concat(F.lit("w"), "ord"))
-    return a.groupBy("vessel", "window", "ord", F.col("source").alias("event_type")).agg(F.count("*").alias("flagged_events")).withColumn("observed", F.lit(True))
+    """Anomalies by vessel, window and kind, those of radar alone not observing the vessel, and the windows in which it was heard."""
+    at = lambda df: df.withColumn("ord", F.expr("(t div 604800000000) % 4")).withColumn("window", F.concat(F.lit("w"), "ord"))
+    a = at(cluster.anomalies(_classified(s, d), _triples(s, d))).groupBy("vessel", "window", "ord", F.col("source").alias("event_type")).agg(F.count("*").alias("flagged_events"))
+    heard = at(_ais(s, d).withColumnRenamed("mmsi", "vessel")).select("vessel", "window", "ord").distinct()
+    return a.withColumn("observed", F.col("event_type") != "likely_spoofed").unionByName(heard.select("*", F.lit(None).cast("string").alias("event_type"), F.lit(0).cast("long").alias("flagged_events"), F.lit(True).alias("observed")))
 
 
 @query(BASE + ANOM + FLG + " SELECT * FROM con")
 def A_11_consolidate(s, d):
-    return score.consolidate(_flags(s, d))
+    return score.consolidate(_flags(s, d), ARTIFACTS, WINDOWS)
 
 
-@query(BASE + ANOM + FLG + """, sc AS (SELECT vessel, round(60*least(1.0,flag_rate/4.0),1) b, CASE WHEN n_name IN ('GABON','PALAU') THEN 20.0 ELSE 0.0 END foc, CASE WHEN 2026-(1990+c_custkey%35)>15 THEN 20.0 ELSE 0.0 END age FROM con JOIN customer ON c_custkey=vessel LEFT JOIN nation ON c_nationkey=n_nationkey)
- SELECT vessel, b::double behavioral_score, foc::double foc_score, age::double age_score, round(b+foc+age,1)::double reliability_score FROM sc""")
+PRT = """, prt AS (SELECT c_custkey mmsi, list_extract(['GAB','PAN','USA','CHN','CMR','LBR','IND'], 1 + c_nationkey%7) flag, CASE WHEN c_custkey%4<>0 THEN 1990+c_custkey%35 END built_year, CASE WHEN c_custkey%8=0 THEN 2000 END cached_built_year FROM customer)"""
+
+
+@query(BASE + ANOM + FLG + PRT + """, sc AS (SELECT vessel, is_known_artifact, round(60*least(1.0,flag_rate/4.0),1) b, CASE WHEN flag IN ('GAB','CMR') THEN 'shadow_fleet' WHEN flag IN ('PAN','LBR') THEN 'itf_foc_only' ELSE 'none' END foc_tier,
+ CASE WHEN 2026-coalesce(built_year, cached_built_year)>15 THEN 20.0 ELSE 0.0 END age, CASE WHEN built_year IS NOT NULL THEN 'registry' WHEN cached_built_year IS NOT NULL THEN 'age_cache' ELSE 'unknown' END age_source FROM con JOIN prt ON mmsi=vessel),
+ s2 AS (SELECT *, CASE foc_tier WHEN 'shadow_fleet' THEN 20.0 WHEN 'itf_foc_only' THEN 5.0 ELSE 0.0 END foc, round((CASE WHEN vessel%6 IN (0,1) THEN 0.25 ELSE 1.0 END)*b::decimal(9,3),1)::double adj FROM sc)
+ SELECT vessel, is_known_artifact, b::double behavioral_score, adj behavioral_adjusted, foc_tier, foc::double foc_score, age::double age_score, age_source, CASE WHEN is_known_artifact THEN 0.0 ELSE round(adj+foc+age,1) END::double reliability_score FROM s2""")
 def K_16_scores(s, d):
-    r = src.registry(s, d).withColumnRenamed("mmsi", "vessel").withColumnRenamed("segment", "vessel_type")
-    return score.scores(score.consolidate(_flags(s, d)).join(r, "vessel")).select("vessel", "behavioral_score", "foc_score", "age_score", "reliability_score")
+    rows = score.consolidate(_flags(s, d), ARTIFACTS).join(src.particulars(s, d).withColumnRenamed("mmsi", "vessel"), "vessel")
+    return score.scores(rows).select("vessel", "is_known_artifact", "behavioral_score", "behavioral_adjusted", "foc_tier", "foc_score", "age_score", "age_source", "reliability_score")
+
+
+@query(BASE + ANOM + " SELECT vessel, count(*) n FROM an WHERE vessel NOT IN (5,9) GROUP BY 1")
+def P_05_known_artifacts(s, d):
+    return cluster.anomalies(_classified(s, d), _triples(s, d), ARTIFACTS).groupBy("vessel").agg(F.count("*").alias("n"))
 
 
 PV = "WITH v AS (SELECT o_orderkey visit_id, o_custkey mmsi, epoch_us(o_orderdate) t, o_totalprice/1000 duration_hrs, o_orderpriority port, (2000+(o_orderkey*37)%1500)::double/100 lat, (5000+(o_orderkey*91)%2500)::double/100 lon FROM orders)"
@@ -528,9 +548,9 @@ def W_03_gaps_and_islands(s, d):
     return with_runs(_ais(s, d), "mmsi", order=("event_id",)).select("event_id", "run")
 
 
-@query(BASE + ANOM + FLG + " SELECT vessel, row_number() OVER (ORDER BY flag_rate DESC, total_flags DESC, vessel) rank FROM con ORDER BY rank LIMIT 14")
+@query(BASE + ANOM + FLG + " SELECT vessel, row_number() OVER (ORDER BY flag_rate DESC, total_flags DESC, vessel) rank FROM con WHERE NOT is_known_artifact ORDER BY rank LIMIT 14")
 def W_07_S_02_top_ranked(s, d):
-    top = score.consolidate(_flags(s, d)).orderBy(F.desc("flag_rate"), F.desc("total_flags"), "vessel").limit(14)
+    top = score.consolidate(_flags(s, d), ARTIFACTS).where("not is_known_artifact").orderBy(F.desc("flag_rate"), F.desc("total_flags"), "vessel").limit(14)
     return top.select("vessel", F.row_number().over(Window.orderBy(F.desc("flag_rate"), F.desc("total_flags"), "vessel")).cast("long").alias("rank"))
 
 
@@ -657,17 +677,6 @@ def P_08_activity_reasons(s, d):
     return src.port_visits(s, d).select("visit_id", F.array_join(why, ";").alias("reasons"))
 
 
-@query(BASE + CLS + ", " + PV.removeprefix("WITH ") + """, bx AS (SELECT mmsi, min(lat)-0.75 y0, max(lat)+0.75 y1, min(lon)-0.75 x0, max(lon)+0.75 x1 FROM v GROUP BY 1),
-f AS (SELECT c.mmsi, count(*) n, avg((c.lat BETWEEN y0 AND y1 AND c.lon BETWEEN x0 AND x1)::int) share FROM clf c JOIN bx USING (mmsi) WHERE classification='likely_spoofed' GROUP BY 1)
-SELECT mmsi, n, round(share,6)::double share, CASE WHEN share>=0.6 THEN 'matches_baseline' WHEN n>=2 THEN 'outside_baseline' WHEN n>=1 THEN 'mixed' END verdict FROM f""")
-def A_23_J_19_cross_reference(s, d):
-    pad = 0.75
-    box = src.port_visits(s, d).groupBy("mmsi").agg((F.min("lat") - pad).alias("y0"), (F.max("lat") + pad).alias("y1"), (F.min("lon") - pad).alias("x0"), (F.max("lon") + pad).alias("x1"))
-    inside = F.col("lat").between(F.col("y0"), F.col("y1")) & F.col("lon").between(F.col("x0"), F.col("x1"))
-    f = _classified(s, d).where("classification = 'likely_spoofed' and mmsi is not null").join(box, "mmsi").groupBy("mmsi").agg(F.count("*").alias("n"), F.avg(inside.cast("int")).alias("share"))
-    return f.select("mmsi", "n", F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.6, "matches_baseline").when(F.col("n") >= 2, "outside_baseline").when(F.col("n") >= 1, "mixed").alias("verdict"))
-
-
 @query(BASE + CLS + " SELECT sar_id, concat('Reported ', round(distance_km,1)::varchar, ' km from the radar point; ', CASE WHEN time_gap_seconds IS NULL THEN 'nearest vessel of the hour' ELSE 'own track' END) why FROM clf WHERE classification='likely_spoofed'")
 def K_28_why_flagged(s, d):
     how = F.when(F.col("time_gap_seconds").isNull(), "nearest vessel of the hour").otherwise("own track")
@@ -703,14 +712,6 @@ def W_06_idle(s, d):
     return g.select("sar_id", F.when(F.col("n") < 2, "insufficient").when(F.col("least") <= 2, "idle").otherwise("moving").alias("state"), F.round("least", 6).alias("min_kmh"), F.round("med", 6).alias("median_kmh"))
 
 
-@query(BASE + ANOM + " SELECT a.episode_id, round(min(greatest(0, greatest(a.t_start-b.t_end, b.t_start-a.t_end)))/3.6e9,6)::double gap_h FROM ep a JOIN ep b ON a.vessel<>b.vessel AND a.t_start//86400000000=b.t_start//86400000000 GROUP BY 1")
-def J_18_nearest_other_episode(s, d):
-    e = _episodes(s, d).withColumn("day", F.expr("t_start div 86400000000"))
-    o = e.select("day", F.col("vessel").alias("v"), F.col("t_start").alias("s2"), F.col("t_end").alias("e2"))
-    gap = F.greatest(F.lit(0), F.col("t_start") - F.col("e2"), F.col("s2") - F.col("t_end"))
-    return e.join(o, "day").where("v <> vessel").groupBy("episode_id").agg(F.round(F.min(gap) / 3.6e9, 6).alias("gap_h"))
-
-
 @query(BASE + HN + """, g AS (SELECT quantile_cont(km,0.1) a, quantile_cont(km,0.5) b, quantile_cont(km,0.9) c FROM hn), p AS (SELECT i, 10+i*4.0 q FROM range(0,21) t(i))
  SELECT i, round(CASE WHEN q<=50 THEN a+(q-10)/40*(greatest(a,b)-a) ELSE greatest(a,b)+(q-50)/40*(greatest(a,b,c)-greatest(a,b)) END,6)::double km FROM p, g""")
 def A_38_inverse_cdf(s, d):
@@ -798,36 +799,40 @@ def A_35_coverage(s, d):
     return report.coverage(src.registry(s, d), "name", "flag", "segment", "built_year")
 
 
-_TYPES = "c_custkey AS mmsi, CASE WHEN c_custkey%50=0 THEN 'TANKER' END AS confirmed, CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN 'OTHER' WHEN 2 THEN ' ' ELSE c_mktsegment END AS ship, CASE c_custkey%3 WHEN 0 THEN NULL WHEN 1 THEN 'Other' ELSE 'TRAWLERS' END AS gear, CASE WHEN c_custkey%5=0 THEN NULL WHEN c_custkey%5=1 THEN 'OTHER' ELSE 'CARGO' END AS listed"
+_TYPES = ("c_custkey AS mmsi", "CASE WHEN c_custkey%50=0 THEN 'TANKER' END AS confirmed", "CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN 'OTHER' WHEN 2 THEN ' ' ELSE CASE WHEN c_custkey%8=3 THEN 'N/A' ELSE c_mktsegment END END AS ship", "CASE c_custkey%3 WHEN 0 THEN NULL WHEN 1 THEN 'Other non-fishing' ELSE 'TRAWLERS' END AS gear", "CASE WHEN c_custkey%5=0 THEN NULL WHEN c_custkey%5=1 THEN 'OTHER' ELSE 'CARGO' END AS listed")
 _VAGUE = ", ".join("'" + str(v).strip().lower() + "'" for v in sorted(map(str, files.VAGUE_TYPES)))
 
 
-@query(f"""WITH x AS (SELECT {_TYPES} FROM customer), y AS (SELECT *, CASE WHEN trim(confirmed)<>'' THEN 0 WHEN trim(ship)<>'' AND lower(trim(ship)) NOT IN ({_VAGUE}) THEN 1 WHEN trim(gear)<>'' AND lower(trim(gear)) NOT IN ({_VAGUE}) THEN 2 WHEN trim(listed)<>'' AND lower(trim(listed)) NOT IN ({_VAGUE}) THEN 3
+@query(f"""WITH x AS (SELECT {', '.join(_TYPES)} FROM customer), y AS (SELECT *, CASE WHEN trim(confirmed)<>'' THEN 0 WHEN trim(ship)<>'' AND lower(translate(trim(ship),' -/','___')) NOT IN ({_VAGUE}) THEN 1 WHEN trim(gear)<>'' AND lower(translate(trim(gear),' -/','___')) NOT IN ({_VAGUE}) THEN 2 WHEN trim(listed)<>'' AND lower(translate(trim(listed),' -/','___')) NOT IN ({_VAGUE}) THEN 3
  WHEN trim(ship)<>'' THEN 1 WHEN trim(gear)<>'' THEN 2 WHEN trim(listed)<>'' THEN 3 ELSE 4 END k FROM x)
 SELECT mmsi, CASE k WHEN 0 THEN confirmed WHEN 1 THEN ship WHEN 2 THEN gear WHEN 3 THEN listed END resolved_type, CASE k WHEN 0 THEN 'confirmed' WHEN 1 THEN 'identity' WHEN 2 THEN 'identity' WHEN 3 THEN 'listed' ELSE 'unknown' END type_source FROM y""")
 def K_20_type_chain(s, d):
-    rows = src.table(s, d, "customer").selectExpr(*_TYPES.replace(", CASE", "\nCASE").split("\n"))
+    rows = src.table(s, d, "customer").selectExpr(*_TYPES)
     return report.resolve_type(rows, "confirmed", "ship", "gear", "listed").select("mmsi", "resolved_type", "type_source")
 
 
-@query(BASE + CLS + " SELECT sar_id, CASE WHEN distance_km>15 AND (time_gap_seconds>0 OR distance_km>3*30*1.852*greatest(time_gap_seconds/3600,1e-6)) THEN 'LIKELY_MISATTRIBUTION' ELSE 'GENUINE_DISPLACEMENT' END verdict FROM clf WHERE time_gap_seconds IS NOT NULL")
+@query(BASE + CLS + ALT + f""", ov AS (SELECT s.sar_id, s.t st, a.t, {hav('s.lat', 's.lon', 'a.lat', 'a.lon')} km FROM sar s JOIN ais a ON s.mmsi=a.mmsi AND abs(s.t-a.t)<=7200000000),
+ov2 AS (SELECT sar_id, count(*) n_track, min(km) vertex_km, arg_min(abs(t-st)/3.6e9, (km, t)) dt_h, bool_or(t<st) AND bool_or(t>st) br FROM ov GROUP BY 1),
+li AS (SELECT c.sar_id, distance_km, coalesce(n_track,0) n_track, vertex_km, dt_h, coalesce(br,false) br, 3600.0 x, time_gap_seconds/3600 gap_h, best_alt_mmsi, coalesce(best_alt_km<=5 AND best_alt_km<=0.5*distance_km,false) better_alt FROM clf c LEFT JOIN ov2 USING (sar_id) LEFT JOIN alt USING (sar_id) WHERE time_gap_seconds IS NOT NULL),
+lr AS (SELECT *, 30*1.852*greatest(dt_h, gap_h, 1e-6) reach FROM li), lw AS (SELECT *, vertex_km IS NULL OR (vertex_km>15 AND (br OR vertex_km>3*reach)) struct_wrong FROM lr)
+SELECT sar_id, n_track, round(vertex_km,6) vertex_km, round(dt_h,6) dt_h, CASE WHEN vertex_km IS NOT NULL THEN round(reach,6) END reach_km, struct_wrong, best_alt_mmsi, better_alt, CASE WHEN struct_wrong OR better_alt THEN 'LIKELY_MISATTRIBUTION' ELSE 'GENUINE_DISPLACEMENT' END verdict FROM lw""")
 def K_24_structural_verdict(s, d):
-    rows = _classified(s, d).where("time_gap_seconds is not null")
-    dt = F.col("time_gap_seconds") / 3600
-    return rows.select("sar_id", report.structural_verdict(F.col("distance_km"), dt, dt, F.col("time_gap_seconds") > 0, F.lit(False)).alias("verdict"))
+    links = _classified(s, d).where("time_gap_seconds is not null").select("sar_id", "distance_km", "time_gap_seconds")
+    r = report.assess_links(links, _sar(s, d), _ais(s, d))
+    return r.select("sar_id", "n_track", *[F.round(c, 6).alias(c) for c in ("vertex_km", "dt_h", "reach_km")], "struct_wrong", "best_alt_mmsi", "better_alt", "verdict")
 
 
-@query(BASE + ANOM + FLG + " SELECT vessel, count(*) n FROM an WHERE vessel IN (SELECT vessel FROM con ORDER BY flag_rate DESC, total_flags DESC, vessel LIMIT 14) GROUP BY 1")
+@query(BASE + ANOM + FLG + " SELECT vessel, count(*) n FROM an WHERE vessel IN (SELECT vessel FROM con WHERE NOT is_known_artifact ORDER BY flag_rate DESC, total_flags DESC, vessel LIMIT 14) GROUP BY 1")
 def P_15_top_semi_join(s, d):
     top = W_07_S_02_top_ranked(s, d).select("vessel")  # 14 rows
     a = cluster.anomalies(_classified(s, d), _triples(s, d))
     return a.join(F.broadcast(top), "vessel", "left_semi").groupBy("vessel").agg(F.count("*").alias("n"))
 
 
-@query(BASE + ANOM + FLG + f" SELECT vessel, n_windows, total_flags, k.reliability_score FROM con JOIN ({ORACLES['K_16_scores']}) k USING (vessel) WHERE n_windows>=2")
+@query(BASE + ANOM + FLG + f" SELECT vessel, n_windows, total_flags, k.reliability_score FROM con JOIN ({ORACLES['K_16_scores']}) k USING (vessel) WHERE n_windows>=2 AND NOT k.is_known_artifact")
 def R_06_cross_window(s, d):
-    con = score.consolidate(_flags(s, d)).where("n_windows >= 2").select("vessel", "n_windows", "total_flags")
-    return con.join(K_16_scores(s, d).select("vessel", "reliability_score"), "vessel").where(~F.col("vessel").isin(list(cluster.KNOWN_ARTIFACTS)))
+    con = score.consolidate(_flags(s, d), ARTIFACTS).where("n_windows >= 2 and not is_known_artifact").select("vessel", "n_windows", "total_flags")
+    return con.join(K_16_scores(s, d).select("vessel", "reliability_score"), "vessel")
 
 
 @query("WITH c AS (SELECT DISTINCT o_orderpriority collection FROM orders UNION SELECT 'NOT-THERE'), f AS (SELECT o_orderpriority collection, count(*) n, count(*) FILTER (o_orderkey%3=0) k FROM orders GROUP BY 1) SELECT collection, coalesce(n,0) items, coalesce(k,0) online, coalesce(n-k,0) offline FROM c LEFT JOIN f USING (collection)")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import haversine
 from veritrack.functions.timeutil import HOUR_US, with_runs
+from veritrack.operators.intervals import stab
 from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut
 
-#: Vessels whose tracks are known artifacts.
-KNOWN_ARTIFACTS: tuple[int, ...] = ()
+#: Vessels whose tracks are known artifacts.
+KNOWN_ARTIFACTS: tuple[int, ...] = (257933000, 636015780)
 
 
 def anomalies(classified: DataFrame, triples: DataFrame, artifacts: tuple[int, ...] = KNOWN_ARTIFACTS) -> DataFrame:
@@ -70,3 +71,46 @@ def cluster_summary(labelled: DataFrame, hours: float = 6.0, km: float = 10.0, s
                                       F.max(haversine(F.col("cy"), F.col("cx"), F.col("lat"), F.col("lon"))).alias("radius_km"), F.array_join(F.sort_array(F.collect_set("vessel")), ",").alias("vessels"))
     genuine = (F.col("n_vessels") >= 2) & (F.col("span_h") <= hours) & (F.col("radius_km") <= km)
     return out.withColumn("coherence", F.when(genuine, "genuine").when(F.col("n_vessels") >= 2, "loose").otherwise("single_vessel_artifact")).withColumn("strong", genuine & (F.col("n_vessels") >= strong))
+
+
+def propagate(pings: DataFrame, labelled: DataFrame, summary: DataFrame) -> DataFrame:
+    """Each ping ``(vessel, t, ...)`` with the episode that holds it, that episode's cluster and the cluster's coherence.
+
+    Episodes of a vessel don't overlap, so a ping has one; a ping outside all
+    episodes has cluster -1, as has one in an episode that is noise.
+    """
+    spans = labelled.select("vessel", "t_start", "t_end", "episode_id", "cluster")
+    rows = stab(pings, spans, ("vessel",)).drop("t_start", "t_end").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return rows.join(summary.select("cluster", "coherence"), "cluster", "left").withColumn("coherence", F.coalesce("coherence", F.lit("noise")))
+
+
+def isolation(labelled: DataFrame, summary: DataFrame) -> DataFrame:
+    """``vessel, cluster, n_own, n_other_vessels, nearest_gap_h, status`` for each vessel in each cluster.
+
+    The gap is from the span of all the vessel's episodes to the nearest episode
+    of another vessel in the cluster, 0 if one overlaps. Own episodes lie inside
+    the own span, so episodes that end before it or begin after it are others':
+    one ordered pass over each cluster counts them and keeps the nearest.
+    Episodes that are noise stand under cluster -1 as ``isolated``.
+    """
+    spans = labelled.groupBy("vessel").agg(F.min("t_start").alias("a"), F.max("t_end").alias("b"))
+    members = labelled.groupBy("vessel", "cluster").agg(F.count("*").alias("n_own")).join(spans, "vessel")
+    inside = members.where("cluster >= 0")
+    none = F.lit(None).cast("long")
+
+    def beside(edge: str, mine: str, sign: int) -> DataFrame:
+        """How many episodes of the cluster lie wholly on one side of a vessel's span, and the nearest of them."""
+        rows = labelled.where("cluster >= 0").select("cluster", F.lit(None).cast(labelled.schema["vessel"].dataType).alias("vessel"), (sign * F.col(edge)).alias("x"), F.col(edge).alias("e"))
+        asked = inside.select("cluster", "vessel", (sign * F.col(mine)).alias("x"), none.alias("e"))
+        w = Window.partitionBy("cluster").orderBy("x").rangeBetween(Window.unboundedPreceding, -1)
+        seen = rows.union(asked).withColumn("n", F.count("e").over(w)).withColumn("near", F.max(sign * F.col("e")).over(w))
+        return seen.where("vessel is not null").select("cluster", "vessel", F.col("n").alias(f"n_{edge}"), (F.col("x") - F.col("near")).alias(f"gap_{edge}"))
+
+    sizes = summary.select("cluster", "n_episodes", "n_vessels", "coherence")
+    rows = inside.join(beside("t_end", "a", 1), ["cluster", "vessel"]).join(beside("t_start", "b", -1), ["cluster", "vessel"]).join(sizes, "cluster")
+    overlaps = F.col("n_episodes") - F.col("n_own") > F.col("n_t_end") + F.col("n_t_start")
+    gap = F.when(F.col("n_vessels") > 1, F.when(overlaps, 0).otherwise(F.least("gap_t_end", "gap_t_start"))) / HOUR_US
+    status = F.when(F.col("n_vessels") == 1, "alone").when(F.col("coherence") == "genuine", "contemporaneous").otherwise("not_contemporaneous")
+    found = rows.select("vessel", "cluster", "n_own", (F.col("n_vessels") - 1).alias("n_other_vessels"), gap.alias("nearest_gap_h"), status.alias("status"))
+    noise = members.where("cluster < 0").select("vessel", "cluster", "n_own", F.lit(0).cast("long").alias("n_other_vessels"), F.lit(None).cast("double").alias("nearest_gap_h"), F.lit("isolated").alias("status"))
+    return found.unionByName(noise)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import haversine
 from veritrack.operators.nearest import nearest_rows
+from veritrack.plans.stages import once
 
 MATCHED_KM, SPOOFED_KM = 1.5, 20.0
 
@@ -61,7 +62,8 @@ def match_and_classify(sar: DataFrame, ais: DataFrame, matched: float = MATCHED_
     rows = sar.join(own, "sar_id", "left").join(near, "sar_id", "left")
     identity = F.col("gap_s").isNotNull()
     km = F.when(identity, haversine(F.col("lat"), F.col("lon"), F.col("ais_lat"), F.col("ais_lon"))).otherwise(F.col("near_km"))
-    return rows.select("sar_id", "t", "hour", "lat", "lon", "mmsi", F.when(identity, F.col("mmsi")).otherwise(F.col("near_mmsi")).alias("matched_mmsi"), km.alias("distance_km"), F.col("gap_s").alias("time_gap_seconds"), tier(km, matched, spoofed).alias("classification"))
+    rows = once(rows, distance_km=km)
+    return rows.select("sar_id", "t", "hour", "lat", "lon", "mmsi", F.when(identity, F.col("mmsi")).otherwise(F.col("near_mmsi")).alias("matched_mmsi"), "distance_km", F.col("gap_s").alias("time_gap_seconds"), tier(F.col("distance_km"), matched, spoofed).alias("classification"))
 
 
 def nearest_in_time(probes: DataFrame, tracks: DataFrame, id_col: str = "sar_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import RADIUS_KM, haversine
+from veritrack.plans.stages import once
 
 #: Degrees of the largest cells, how many lie side by side in one of the next size, and how often cells open.
 ROOT_DEGREES, FAN, LEVELS = 32.0, 8, 4
@@ -76,7 +77,7 @@ def nearest_rows(probes: DataFrame, rows: DataFrame, id_col: str, window_us: int
         whole = (F.col("t0") >= F.col("t") - (window_us or 0)) & (F.col("t1") <= F.col("t") + (window_us or 0))
         if others:
             reached &= (F.col("m0") != F.col("own")) | (F.col("m1") != F.col("own"))
-        met = pairs.where(reached).select("id", probe.alias("p"), F.struct(low.alias("low"), "_b", "_y", "_x").alias("cell"), F.when(whole, high).alias("high"))
+        met = once(pairs.where(reached), low=low, high=F.when(whole, high)).select("id", probe.alias("p"), F.struct("low", "_b", "_y", "_x").alias("cell"), "high")
         best = met.groupBy("id").agg(F.first("p").alias("p"), F.min("high").alias("high"), F.collect_list("cell").alias("cells"))
         # the slack covers rounding of the bounds
         left = F.filter("cells", lambda c: F.col("high").isNull() | (c["low"] <= F.col("high") * (1 + 1e-9) + 1e-18))

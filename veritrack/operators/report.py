@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import haversine
+from veritrack.functions.timeutil import HOUR_US
 from veritrack.operators.match import nearest_in_time
-from veritrack.operators.trajectory import KNOT_KMH
+from veritrack.operators.screen import alternatives, own_window
+from veritrack.operators.trajectory import KNOT_KMH, norm_type
 from veritrack.sources.files import VAGUE_TYPES
 
 #: Fixed values of the structural verdict: knots a vessel can hold, how many
@@ -92,7 +94,7 @@ def _told(c: str) -> Column:
 
 
 def _vague(c: str) -> Column:
-    return F.lower(F.trim(F.col(c))).isin([str(v).strip().lower() for v in VAGUE_TYPES])
+    return norm_type(F.col(c)).isin(*VAGUE_TYPES)
 
 
 def resolve_type(rows: DataFrame, confirmed: str, ship: str, gear: str, listed: str) -> DataFrame:
@@ -111,17 +113,78 @@ def resolve_type(rows: DataFrame, confirmed: str, ship: str, gear: str, listed:
     return rows.withColumn("resolved_type", resolved).withColumn("type_source", source.otherwise("unknown"))
 
 
-def structural_verdict(distance_km: Column, dt_h: Column, gap_h: Column, brackets: Column, better: Column) -> Column:
-    """Whether a link of a detection with a vessel can't be true.
+def structural_verdict(vertex_km: Column, dt_h: Column, gap_h: Column, brackets: Column, better: Column) -> tuple[Column, Column, Column]:
+    """``(reach in km, structurally wrong, verdict)`` of a link of a detection with a vessel.
 
-    It can't if the vessel is beyond its reach, or has positions before and
-    after the pass and is far away, or another vessel fits better. Nulls count
-    as no evidence.
+    ``vertex_km`` and ``dt_h`` tell how far and how long the nearest of the
+    vessel's own fixes is. A link is wrong if there is no such fix, if it is
+    beyond the vessel's reach, or if fixes on both sides of the pass are all far
+    away; it is also misattributed if another vessel fits better.
     """
     reach = REACH_KN * KNOT_KMH * F.greatest(dt_h, gap_h, F.lit(1e-6))
-    far = distance_km > WRONG_KM
-    wrong = (far & (distance_km > REACH_FACTOR * reach)) | (far & brackets) | better
-    return F.when(F.coalesce(wrong, F.lit(False)), "LIKELY_MISATTRIBUTION").otherwise("GENUINE_DISPLACEMENT")
+    far = vertex_km > WRONG_KM
+    wrong = vertex_km.isNull() | F.coalesce(far & ((vertex_km > REACH_FACTOR * reach) | F.coalesce(brackets, F.lit(False))), F.lit(False))
+    return reach, wrong, F.when(wrong | F.coalesce(better, F.lit(False)), "LIKELY_MISATTRIBUTION").otherwise("GENUINE_DISPLACEMENT")
+
+
+def assess_links(links: DataFrame, sar: DataFrame, ais: DataFrame, alt_km: float = 5.0, alt_share: float = 0.5) -> DataFrame:
+    """The structural verdict of links ``(sar_id, distance_km, time_gap_seconds)``, with what it rests on.
+
+    The nearest own fix is among those within two hours of the pass, the earlier
+    at a tie; the better vessel is the nearest other one within an hour.
+    """
+    asked = sar.join(links.select("sar_id"), "sar_id", "left_semi")
+    dt = F.abs(F.col("rt") - F.col("t")) / HOUR_US
+    own = own_window(asked, ais).withColumn("dt", dt).groupBy("sar_id").agg(
+        F.count("*").alias("n_track"), F.min(F.struct("km", "rt", "dt")).alias("v"), (F.bool_or(F.col("rt") < F.col("t")) & F.bool_or(F.col("rt") > F.col("t"))).alias("brackets"))
+    rows = links.join(own, "sar_id", "left").join(alternatives(asked, ais), "sar_id", "left")
+    better = F.coalesce((F.col("best_alt_km") <= alt_km) & (F.col("best_alt_km") <= alt_share * F.col("distance_km")), F.lit(False))
+    rows = rows.select("sar_id", "distance_km", F.coalesce("n_track", F.lit(0)).alias("n_track"), F.col("v.km").alias("vertex_km"), F.col("v.dt").alias("dt_h"), F.coalesce("brackets", F.lit(False)).alias("brackets"),
+                       (F.col("time_gap_seconds") / 3600).alias("gap_h"), "best_alt_mmsi", "best_alt_km", better.alias("better_alt"))
+    reach, wrong, verdict = structural_verdict(*[F.col(c) for c in ("vertex_km", "dt_h", "gap_h", "brackets", "better_alt")])
+    return rows.select("*", F.when(F.col("vertex_km").isNotNull(), reach).alias("reach_km"), wrong.alias("struct_wrong"), verdict.alias("verdict"))
+
+
+#: Fixed values of the baseline reading: share of flags inside the baseline area, hours of a lay-up, kilometres of a
+#: confined and of an international area, port countries of either, reporting gaps, positions a day.
+INSIDE_SHARE, LAYUP_H, CONFINED_KM, INTERNATIONAL_KM, FEW_COUNTRIES, MANY_COUNTRIES, MANY_GAPS, DENSE_A_DAY = 0.6, 504.0, 1500.0, 4000.0, 2, 4, 3, 200.0
+
+
+def operating_baseline(events: DataFrame, key: str = "mmsi") -> DataFrame:
+    """Per vessel the area, extent and habits over ``events(key, event_type, lat, lon, duration_hrs, country)``; two port calls at least make a longest stay."""
+    kind = lambda k: F.col("event_type") == k
+    extent = F.round(haversine(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")), 0)
+    return events.groupBy(key).agg(
+        F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.coalesce(extent, F.lit(0.0)).alias("extent_km"),
+        F.when(F.count_if(kind("port_visit")) >= 2, F.max(F.when(kind("port_visit"), F.col("duration_hrs")))).alias("longest_stay_h"),
+        F.countDistinct(F.when(kind("port_visit"), F.col("country"))).alias("n_countries"), F.count_if(kind("ais_gap")).alias("n_gaps"), F.count_if(kind("encounter")).alias("n_encounters"))
+
+
+def baseline_reading(flags: DataFrame, baseline: DataFrame, identity: DataFrame, pad: float = 0.75) -> DataFrame:
+    """Which reading of a vessel's flags its own baseline supports.
+
+    ``flags`` has ``mmsi, lat, lon`` (a null place can't be located), ``baseline``
+    is that of ``operating_baseline``, ``identity`` has ``mmsi, foc_tier, n_flags,
+    n_names, positions_per_day``. Below a share of flags inside the padded area,
+    or without located flags, the flags are outside the baseline. Else the
+    counts of odd and of clean indicators choose between persistent, mixed and
+    ordinary. A vessel without a baseline gives no row.
+    """
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    inside = F.col("lat").between(F.col("y0") - pad, F.col("y1") + pad) & F.col("lon").between(F.col("x0") - pad, F.col("x1") + pad)
+    # flags are counted by vessel before anything else meets them
+    share = flags.join(baseline.select("mmsi", "y0", "y1", "x0", "x1"), "mmsi").groupBy("mmsi").agg(F.count("*").alias("n_flagged"), F.count_if(located).alias("n_located"), F.count_if(located & inside).alias("n_inside"))
+    rows = share.join(baseline, "mmsi").join(identity, "mmsi", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(1))).withColumn("n_names", F.coalesce("n_names", F.lit(1)))
+    c = F.col
+    odd = {"shadow_fleet": c("foc_tier") == "shadow_fleet", "reflagged": c("n_flags") >= 2, "renamed": c("n_names") >= 2, "lay_up": c("longest_stay_h") > LAYUP_H,
+           "confined": (c("extent_km") < CONFINED_KM) & (c("n_countries") <= FEW_COUNTRIES), "reporting_gaps": c("n_gaps") >= MANY_GAPS}
+    clean = {"no_gaps": c("n_gaps") == 0, "no_encounters": c("n_encounters") == 0, "many_countries": c("n_countries") >= MANY_COUNTRIES, "international": c("extent_km") > INTERNATIONAL_KM,
+             "stable_identity": (c("n_flags") == 1) & (c("n_names") == 1), "dense_positions": c("positions_per_day") > DENSE_A_DAY}
+    named = lambda tests: F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
+    rows = rows.withColumn("share", F.try_divide(c("n_inside"), c("n_located"))).withColumn("odd", named(odd)).withColumn("clean", named(clean))
+    n_odd, n_clean = F.size("odd"), F.size("clean")
+    reading = (F.when(~F.coalesce(c("share") >= INSIDE_SHARE, F.lit(False)), "outside_baseline").when((n_odd >= 2) & (n_odd >= n_clean), "persistent").when(n_odd >= 1, "mixed").otherwise("ordinary"))
+    return rows.select("mmsi", "n_flagged", "n_located", "share", F.array_join("odd", ";").alias("odd"), F.array_join("clean", ";").alias("clean"), reading.alias("reading"))
 
 
 def corrected_pairs(corrected: DataFrame, ais: DataFrame, fence_km: float = TAIL_FENCE_KM) -> DataFrame:

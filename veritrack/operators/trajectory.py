@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import bearing, destination, haversine
 from veritrack.functions.timeutil import HOUR_US
+from veritrack.plans.stages import once
 
 KNOT_KMH = 1.852
 
@@ -25,13 +26,15 @@ def predict_triples(ais: DataFrame) -> DataFrame:
     p = F.struct("t", "lat", "lon")
     rows = ais.withColumn("p0", F.lag(p, 2).over(w)).withColumn("p1", F.lag(p, 1).over(w)).where("p0 is not null")
     rows = rows.withColumn("gap01", (F.col("p1.t") - F.col("p0.t")) / HOUR_US).withColumn("gap12", (F.col("t") - F.col("p1.t")) / HOUR_US).where("gap01 > 0 and gap12 > 0")
-    moved = haversine(F.col("p0.lat"), F.col("p0.lon"), F.col("p1.lat"), F.col("p1.lon"))
+    p0, p1 = ("p0.lat", "p0.lon"), ("p1.lat", "p1.lon")
+    here = [F.col(c) for c in (*p0, *p1)]
+    moved = haversine(*here)
     # the optimiser may evaluate this before the guard above
-    rows = rows.withColumn("speed_kmh", F.try_divide(moved, F.col("gap01")))
-    y, x = destination(F.col("p1.lat"), F.col("p1.lon"), bearing(F.col("p0.lat"), F.col("p0.lon"), F.col("p1.lat"), F.col("p1.lon")), F.col("speed_kmh") * F.col("gap12"))
+    rows = once(rows, speed_kmh=F.try_divide(moved, F.col("gap01")), heading=bearing(*here))
+    y, x = destination(F.col("p1.lat"), F.col("p1.lon"), F.col("heading"), F.col("speed_kmh") * F.col("gap12"))
     still = F.col("speed_kmh") == 0
-    rows = rows.withColumn("predicted_lat", F.when(still, F.col("p1.lat")).otherwise(y)).withColumn("predicted_lon", F.when(still, F.col("p1.lon")).otherwise(x))
-    rows = rows.withColumn("deviation_km", haversine(F.col("predicted_lat"), F.col("predicted_lon"), F.col("lat"), F.col("lon")))
+    rows = once(rows, predicted_lat=F.when(still, F.col("p1.lat")).otherwise(y), predicted_lon=F.when(still, F.col("p1.lon")).otherwise(x))
+    rows = once(rows, deviation_km=haversine(F.col("predicted_lat"), F.col("predicted_lon"), F.col("lat"), F.col("lon")))
     return rows.select("event_id", "mmsi", "t", "lat", "lon", "gap01", "gap12", "speed_kmh", "predicted_lat", "predicted_lon", "deviation_km", deviation_tier(F.col("deviation_km"), F.col("gap12")).alias("tier"))
 
 

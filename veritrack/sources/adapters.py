@@ -8,6 +8,7 @@ triangle wave of 96 hours.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LAT = "2550 + ((user_id*7919)%1000)*120 div 1000 + CASE WHEN user_id%10=0 THEN 0 ELSE 30*abs((user_id*37+h)%96-48) div 48 END"
 _LON = "5550 + ((user_id*104729)%1000)*160 div 1000 + CASE WHEN user_id%10=0 THEN 0 ELSE 40*abs((user_id*53+h)%96-48) div 48 END"
@@ -56,3 +57,34 @@ def port_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``facility, lat, lon, flagged`` from suppliers."""
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS facility", "CAST(2550 + (s_suppkey*7919)%120 AS DOUBLE)/100 AS lat", "CAST(5550 + (s_suppkey*104729)%160 AS DOUBLE)/100 AS lon", "s_suppkey%5 = 0 AS flagged")
+
+
+_FLAG = "element_at(array('GAB', 'PAN', 'USA', 'CHN', 'CMR', 'LBR', 'IND'), CAST(1 + {}%7 AS INT))"
+
+
+def particulars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mmsi, flag, vessel_type, built_year, cached_built_year``: flag codes, utility craft and unknown years among them."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS mmsi", f"{_FLAG.format('c_nationkey')} AS flag", "CASE WHEN c_custkey%6=0 THEN 'Tug' WHEN c_custkey%6=1 THEN 'Patrol Vessel' ELSE 'CARGO' END AS vessel_type",
+        "CASE WHEN c_custkey%4<>0 THEN 1990 + c_custkey%35 END AS built_year", "CASE WHEN c_custkey%8=0 THEN 2000 END AS cached_built_year")
+
+
+def vessel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, mmsi, event_type, t_start, t_end, lat, lon, duration_hrs, country``: events of four kinds from orders."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS m", "o_totalprice AS p", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) AS us")
+    return o.selectExpr(
+        "k AS event_id", "m AS mmsi",
+        "CASE WHEN m%4=1 THEN CASE WHEN k%2=0 THEN 'port_visit' ELSE 'loitering' END WHEN k%6=3 THEN 'loitering' WHEN k%6=4 THEN 'ais_gap' WHEN k%6=5 THEN 'encounter' ELSE 'port_visit' END AS event_type",
+        "us AS t_start", "us + CAST(floor(p*7200000) AS BIGINT) AS t_end",
+        "CAST(CASE WHEN m%3=0 THEN 2500 + (k*37)%400 ELSE 500 + (k*37)%4500 END AS DOUBLE)/100 AS lat", "CAST(CASE WHEN m%3=0 THEN 5500 + (k*91)%500 ELSE 3000 + (k*91)%6000 END AS DOUBLE)/100 AS lon",
+        "p/500 AS duration_hrs", "concat('C', k%(m%5+1)) AS country")
+
+
+def identity_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mmsi, json``: an identity payload of each vessel, with changing flags and names, foreign numbers and stubs among its reports."""
+    iso = lambda us: f"date_format(timestamp_micros({us}), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")"
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS m", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) AS us")
+    r = o.selectExpr("m AS mmsi", f"""named_struct('id', concat('r', k), 'ssvid', CAST(CASE WHEN k%11=0 THEN m+1 ELSE m END AS STRING),
+        'flag', CASE WHEN k%10=0 THEN NULL WHEN k%13=0 THEN 'PAN' ELSE {_FLAG.format('m')} END, 'shipname', CASE WHEN k%6=0 THEN NULL WHEN k%17=0 THEN concat('RENAMED ', m) ELSE concat('VESSEL ', m) END,
+        'imo', CAST(m*10 AS STRING), 'transmissionDateFrom', {iso('us')}, 'transmissionDateTo', {iso('us + (k%40)*86400000000')}, 'positionsCounter', k*7919%3000) AS r""")
+    return r.groupBy("mmsi").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list("r").alias("selfReportedInfo"))).alias("entries"))).alias("json"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrack.operators.trajectory import norm_type
+
 SAR_CSV = "sar_id string, timestamp string, lat double, lon double, mmsi string, ais_matched boolean, ship_name string, flag string, vessel_type string"
 AIS_CSV = "mmsi string, timestamp string, lat double, lon double, ship_name string, flag string, vessel_type string"
 REPORT = "entries array<map<string, array<struct<mmsi:string, date:string, lat:double, lon:double, shipName:string, flag:string, vesselType:string, entryTimestamp:string>>>>"
 IDENTITY = "entries array<struct<registryInfo:array<struct<flag:string, imo:string, shipname:string, builtYear:int>>, selfReportedInfo:array<struct<flag:string, shipname:string, ssvid:string, transmissionDateTo:string, positionsCounter:long>>, combinedSourcesInfo:array<struct<shiptypes:array<struct<name:string>>, geartypes:array<struct<name:string>>>>>>"
 VESSEL_EVENTS = "entries array<struct<start:string, `end`:string, type:string, position:struct<lat:double,lon:double>, regions:struct<eez:array<string>>, port_visit:struct<durationHrs:double,confidence:string>, loitering:struct<totalTimeHours:double,averageSpeedKnots:double>, gap:struct<durationHours:double>, encounter:struct<medianSpeedKnots:double,durationHours:double>>>, nextOffset long"
+#: Types that say nothing, as normalised.
 VAGUE_TYPES = ("", "other", "unknown", "insufficient_data", "other_non_fishing", "gear", "not_available", "none", "na", "n_a", "null")
 
 
@@ -55,7 +58,7 @@ def flatten_identity(payloads: DataFrame, key: str = "mmsi", column: str = "json
     first = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), 0)
     part = lambda name, field: F.flatten(F.transform(p, lambda e: F.transform(F.coalesce(e[name], F.array()), lambda x: x[field])))
     kinds = F.flatten(F.transform(p, lambda e: F.flatten(F.transform(F.coalesce(e["combinedSourcesInfo"], F.array()), lambda c: F.concat(F.coalesce(c["shiptypes"], F.array()), F.coalesce(c["geartypes"], F.array()))))))
-    specific = F.filter(F.transform(kinds, lambda k: k["name"]), lambda n: n.isNotNull() & ~F.lower(n).isin(*VAGUE_TYPES))
+    specific = F.filter(F.transform(kinds, lambda k: k["name"]), lambda n: ~F.coalesce(norm_type(n).isin(*VAGUE_TYPES), F.lit(True)))
     return payloads.select(key, F.coalesce(first(part("registryInfo", "flag")), first(part("selfReportedInfo", "flag"))).alias("flag"), first(part("registryInfo", "imo")).alias("imo"), first(part("registryInfo", "builtYear")).alias("built_year"),
                            F.size(F.array_distinct(F.filter(part("selfReportedInfo", "flag"), lambda x: x.isNotNull()))).alias("n_flags"), F.get(specific, 0).alias("vessel_type"))
 
@@ -87,3 +90,13 @@ def window_layouts(classified: DataFrame, relinked: DataFrame) -> DataFrame:
     a = classified.select(F.col("sar_lat").alias("lat"), F.col("sar_lon").alias("lon"), F.col("classification").alias("cls"), F.coalesce("matched_mmsi", "mmsi").alias("mmsi"), F.col("distance_km").alias("km"))
     b = relinked.select(F.col("sar_lat").alias("lat"), F.col("sar_lon").alias("lon"), F.coalesce(F.try_element_at(states, F.col("link_status")), F.lit("discrepant")).alias("cls"), F.col("relinked_mmsi").alias("mmsi"), F.col("relinked_dist_km").alias("km"))
     return a.unionByName(b)
+
+
+SELF_REPORTS = "entries array<struct<selfReportedInfo:array<struct<id:string, ssvid:string, flag:string, shipname:string, imo:string, transmissionDateFrom:string, transmissionDateTo:string, positionsCounter:long>>>>"
+
+
+def identity_reports(payloads: DataFrame, key: str = "mmsi", column: str = "json") -> DataFrame:
+    """The self-reports of identity payloads, all entries of a payload together: times in microseconds, unreadable ones null."""
+    e = payloads.select(key, F.explode(F.from_json(column, SELF_REPORTS)["entries"]).alias("e")).select(key, F.explode("e.selfReportedInfo").alias("r"))
+    us = lambda c: F.unix_micros(F.try_to_timestamp(f"r.{c}"))
+    return e.select(F.col(key).alias("mmsi"), "r.ssvid", "r.id", "r.flag", F.col("r.shipname").alias("name"), "r.imo", us("transmissionDateFrom").alias("t_from"), us("transmissionDateTo").alias("t_to"), F.col("r.positionsCounter").alias("positions"))
