@@ -83,25 +83,47 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_forest_finds_close_pairs_with_few_copies(monkeypatch):
-    """Recall of pairs just over the threshold and leaves a vector, at a tree depth of 10 on isotropic vectors."""
+@pytest.mark.parametrize("depth,pairs", [(10, 1000), (14, 500), (18, 300)])
+@pytest.mark.parametrize("size", [16, 64, 384])
+def test_forest_finds_close_pairs_at_any_depth(size, depth, pairs):
+    """Recall of pairs just over the threshold and leaves a vector and tree, on isotropic vectors."""
+    if (size, depth) == (384, 18):
+        pytest.skip("as long as the others together")
     draw = np.random.default_rng(8)
-    for size in (16, 384):
-        base = embedding_dedup._unit(draw.standard_normal((4000, size)))
-        side = draw.standard_normal((1000, size))
-        side -= (side * base[:1000]).sum(1, keepdims=True) * base[:1000]
-        close = 0.935 * base[:1000] + (1 - 0.935**2) ** 0.5 * embedding_dedup._unit(side)
-        together, copies = np.zeros(1000, bool), 0
-        for seed in range(embedding_dedup.TREES):
-            tree = plant(base, 1 << 20, seed)
-            assert tree.depth == 10
-            row, at = leaves(np.concatenate([base[:1000], close]), tree)
-            copies += len(row) / 2000
-            spots = [set() for _ in range(2000)]
-            for r, leaf in zip(row.tolist(), at.tolist(), strict=True):
-                spots[r].add(leaf)
-            together |= np.array([bool(spots[i] & spots[i + 1000]) for i in range(1000)])
-        assert together.mean() > 0.93 and copies < 11, (size, together.mean(), copies)
+    base = embedding_dedup._unit(draw.standard_normal((4000, size)))
+    side = draw.standard_normal((pairs, size))
+    side -= (side * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
+    close = 0.935 * base[:pairs] + (1 - 0.935**2) ** 0.5 * embedding_dedup._unit(side)
+    together, copies, trees = np.zeros(pairs, bool), 0, embedding_dedup.trees_for(depth)
+    for seed in range(trees):
+        tree = plant(base, embedding_dedup.LEAF << depth, seed)
+        assert tree.depth == depth
+        row, at = leaves(np.concatenate([base[:pairs], close]), tree)
+        copies += len(row) / (2 * pairs)
+        spots = [set() for _ in range(2 * pairs)]
+        for r, leaf in zip(row.tolist(), at.tolist(), strict=True):
+            spots[r].add(leaf)
+        together |= np.array([bool(spots[i] & spots[i + pairs]) for i in range(pairs)])
+    assert together.mean() >= 0.95 and copies < 2.6 * trees, (together.mean(), copies, trees)
+
+
+def test_trees_follow_the_depth():
+    assert [embedding_dedup.trees_for(d) for d in (0, 3, 10, 14, 18)] == [1, 6, 7, 10, 15]
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(400_000)
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * rng.standard_normal(400_000)
+    edge = 0.0627068  # of the middle 5 % of a normal
+    apart = ((x < -edge) & (y > edge) | (x > edge) & (y < -edge)).mean()
+    assert abs(1 - apart - embedding_dedup.kept_at_a_node()) < 0.002
+
+
+def test_fitting_sample_is_bounded_and_repeats(spark):
+    rows = spark.range(30_000).selectExpr("cast(id as string) AS print", "array(cast(id % 7 + 1 as float), cast(id % 11 as float)) AS embedding").repartition(16)
+    some = embedding_dedup.fitting_sample(rows, 30_000, 2, 500)
+    assert 400 <= len(some) <= 500 and np.allclose(np.linalg.norm(some, axis=1), 1)
+    assert (embedding_dedup.fitting_sample(rows.repartition(3), 30_000, 2, 500) == some).all()
+    assert len(embedding_dedup.fitting_sample(rows.limit(40), 40, 2, 500)) == 40
+    assert embedding_dedup.fitting_sample(rows.limit(0), 0, 2, 500).shape == (0, 2)
 
 
 def test_forest_loses_no_link_of_deep_trees(spark, monkeypatch):

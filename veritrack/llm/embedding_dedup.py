@@ -5,7 +5,8 @@ divides its vectors at the median of their projections. A vector in the middle
 ``SPILL`` of a node's projections goes down both sides. A tree is as deep as
 the rows of the largest label need for leaves of about ``LEAF`` vectors; the
 medians come from a bounded fitting sample, at nodes that few of the sample
-reach from all of it. Every vector is sent to all its leaves; vectors that
+reach from all of it. Deeper trees part more pairs, so the number of trees
+follows the depth. Every vector is sent to all its leaves; vectors that
 share a leaf and a label are compared in blocks and links are verified in
 double precision. A link counts in the first leaf that its two vectors share,
 so once over all trees. From a pair of blocks come a count for each vector and
@@ -15,6 +16,7 @@ the stars are joined to components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.llm.features import bounded_sample
 from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut, release
 
 #: ``SPILL`` is a share of a node's vectors, so that the number of copies does not depend on the dimension.
-THRESHOLD, TREES, LEAF, SPILL = 0.93, 6, 1024, 0.05
+THRESHOLD, LEAF, SPILL = 0.93, 1024, 0.05
+#: The share of pairs just at the threshold that share a leaf of some tree, by which the number of trees follows the depth.
+RECALL, LEAST_TREES = 0.98, 6
 #: Rows of a block of a leaf; a pair of blocks is one unit of comparison.
 BLOCK = 512
 #: A node that fewer vectors of the sample reach takes its division from the whole sample.
@@ -58,7 +61,7 @@ def _division(projected: np.ndarray) -> tuple[float, float, float]:
 
 def plant(sample: np.ndarray, rows: int, seed: int) -> Tree:
     """A tree for a table of ``rows`` unit vectors like those of ``sample``."""
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF)))) if len(sample) else 0
+    depth = depth_for(rows) if len(sample) else 0
     divisions: dict[int, tuple[float, float, float]] = {}
     here = {1: np.arange(len(sample))}
     for _ in range(depth):
@@ -93,6 +96,30 @@ def leaves(x: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     return row, at
 
 
+def kept_at_a_node(threshold: float = THRESHOLD, spill: float = SPILL) -> float:
+    """The chance that a node sends two vectors at the threshold down a common side, for directions without preference.
+
+    Their projections are normal with the threshold as correlation. They part
+    if one lies below the band that spills and the other above it.
+    """
+    x = np.linspace(0.0, 9.0, 20_001)
+    normal = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    below = np.concatenate(([0.5], 0.5 - np.cumsum((normal[1:] + normal[:-1]) / 2) * (x[1] - x[0])))  # the share under -x
+    edge = x[np.searchsorted(-below, -(0.5 - spill / 2))]
+    across = np.interp((edge + threshold * x) / math.sqrt(1 - threshold * threshold), x, below, right=0.0)
+    return 1 - 2 * float((normal * across)[x >= edge].sum() * (x[1] - x[0]))
+
+
+def trees_for(depth: int, recall: float = RECALL) -> int:
+    """How many trees of a depth bring pairs at the threshold together with the chance ``recall``."""
+    one = kept_at_a_node() ** depth
+    return 1 if one == 1 else max(LEAST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+
+
+def depth_for(rows: int) -> int:
+    return max(0, math.ceil(math.log2(max(rows, 1) / LEAF)))
+
+
 def _unit(raw) -> np.ndarray:
     """Rows of length 1; the largest component is made 1 first, so no square over- or underflows."""
     x = np.asarray(raw, np.float64)
@@ -177,10 +204,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], low])), pa.array(np.concatenate([links[some], none])), pa.array(np.concatenate([ids[some], heads]))], ["vec_id", "links", "head"])
 
 
+def fitting_sample(classes: DataFrame, rows: int, size: int, most: int, seed: int = 17) -> np.ndarray:
+    """About ``most`` unit vectors of ``classes(print, embedding)`` of one ``size``, the same on every run, and never more.
+
+    Each task keeps the vectors whose hash is under a threshold and sends no
+    others; a sample that chance made too large is cut in the order of hashes.
+    """
+    hashed = classes.select(F.xxhash64("print", F.lit(seed)).alias("h"), F.col("embedding").cast("array<float>").alias("embedding"))
+    share = min(1.0, most / max(rows, 1))
+    kept = hashed.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).toArrow().sort_by("h").slice(0, most)
+    if not kept.num_rows:
+        return np.zeros((0, size))
+    return _unit(kept["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, size))
+
+
 def embedding_near_duplicates(vectors: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding, label)``.
 
-    Trees are fitted on at most ``fit_rows`` vectors of each length that some
+    Trees are fitted on a sample of at most ``fit_rows`` vectors of each length that some
     label has more than ``LEAF`` of; every vector is placed. Equal vectors of a
     label are folded before the search and count as links of each other. A null
     label, a null or zero vector and one with null or non-finite components
@@ -198,9 +239,9 @@ def embedding_near_duplicates(vectors: DataFrame, fit_rows: int = 20_000) -> Dat
     classes = cut(good.groupBy("print").agg(F.min("vec_id").alias("vec_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.countDistinct("vec_id").alias("copies")))
     by_label = classes.groupBy("label").agg(F.count("*").alias("n"), F.first(F.size("embedding")).alias("size"))
     forests = {}
-    for r in by_label.groupBy("size").agg(F.max("n").alias("n")).where(F.col("n") > LEAF).collect():
-        sample = _unit([x.embedding for x in bounded_sample(classes.where(F.size("embedding") == r["size"]).select("vec_id", "embedding"), fit_rows, "vec_id").collect()])
-        forests[r["size"]] = [plant(sample, r.n, seed) for seed in range(TREES)]
+    for r in by_label.groupBy("size").agg(F.max("n").alias("n"), F.sum("n").alias("all")).where(F.col("n") > LEAF).collect():
+        sample = fitting_sample(classes.where(F.size("embedding") == r["size"]), r["all"], r["size"], fit_rows)
+        forests[r["size"]] = [plant(sample, r.n, seed) for seed in range(trees_for(depth_for(r.n)))]
     forest = vectors.sparkSession.sparkContext.broadcast(forests)
     placed = cut(classes.select("vec_id", "label", "copies", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
                  .mapInArrow(_router(forest), f"vec_id long, label string, copies long, embedding array<{'float' if single else 'double'}>, leaves array<long>"))
