@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from veritrack.functions.timeutil import HOUR_US
-from veritrack.operators.nearest import nearest_rows, rows_within
+from veritrack.operators.nearest import count_within, nearest_rows, rows_within
 
 
 def km(y0, x0, y1, x1):
@@ -97,3 +97,15 @@ def test_an_hour_of_100_000_rows_is_never_paired_whole(spark):
     for i in range(0, probes, 37):
         assert abs(got[i] - km(qy[i], qx[i], y, x).min()) < 1e-6
     assert joined_rows(found) < 2000 * probes  # all pairs would be 100,000 for each probe
+
+
+@pytest.mark.parametrize("kind", ["globe", "date line", "stack", "ports"])
+def test_count_within_equals_all_pairs(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    (py, px), (ry, rx) = world(rng, 80, kind), world(rng, 400, kind)
+    pk, rk = rng.integers(0, 3, 80), rng.integers(0, 2, 400)
+    a = spark.createDataFrame([(i, int(pk[i]), float(py[i]), float(px[i])) for i in range(80)] + [(900, 0, None, 1.0)], "id long, k int, lat double, lon double")
+    b = spark.createDataFrame([(int(rk[i]), float(ry[i]), float(rx[i])) for i in range(400)] + [(0, None, 1.0)], "k int, lat double, lon double")
+    for radius in (1.0, 150.0, 6000.0):
+        got = {r.id: r.n for r in count_within(a, b, "id", radius, "k").collect()}
+        assert got == {**{i: int(((km(py[i], px[i], ry, rx) <= radius) & (rk == pk[i])).sum()) for i in range(80)}, 900: 0}

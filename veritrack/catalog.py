@@ -359,10 +359,14 @@ REPAIR = POOL + _edges("pl", 5.0).replace("ek AS (SELECT", "e0 AS (SELECT") + ",
 ln AS (SELECT sar_id, mmsi, NULL::double km, 'locked' st FROM lk UNION ALL SELECT sar_id, relinked_mmsi, relinked_km, 'relinked' FROM rl)"""
 
 
-@query(_recursive(BASE + REPAIR + f" SELECT s.sar_id, s.mmsi, r.mmsi relinked_mmsi, round(r.km,6) relinked_km, coalesce(r.st,'dark_vessel') link_status, {CHANGE} change FROM sar s LEFT JOIN ln r USING (sar_id)"))
+CAND = ", cn AS (SELECT sar_id, count(*) n FROM eg WHERE km<=100 AND (mmsi, t) NOT IN (SELECT mmsi, t FROM lk) GROUP BY 1)"
+
+
+@query(_recursive(BASE + REPAIR + CAND + f""" SELECT s.sar_id, s.mmsi, r.mmsi relinked_mmsi, round(r.km,6) relinked_km, coalesce(r.st,'dark_vessel') link_status, {CHANGE} change, CASE WHEN r.st='locked' THEN NULL ELSE coalesce(n,0) END n_candidates,
+ CASE WHEN r.st='locked' THEN NULL WHEN r.st='relinked' THEN round(r.km,6) ELSE 5.0 END::double assignment_cost, CASE WHEN r.st='locked' THEN 'locked' WHEN r.st='relinked' THEN 'consistent' END bracket_status FROM sar s LEFT JOIN ln r USING (sar_id) LEFT JOIN cn USING (sar_id)"""))
 def J_07_relink(s, d):
-    r = relink.relink_window(_sar(s, d), _ais(s, d))
-    return r.select("sar_id", "mmsi", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"), "link_status", relink.change_label(F.col("mmsi"), F.col("relinked_mmsi")).alias("change"))
+    r = relink.with_costs(relink.relink_window(_sar(s, d), _ais(s, d)), _sar(s, d), _ais(s, d))
+    return r.select("sar_id", "mmsi", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"), "link_status", relink.change_label(F.col("mmsi"), F.col("relinked_mmsi")).alias("change"), "n_candidates", F.round("assignment_cost", 6).alias("assignment_cost"), "bracket_status")
 
 
 @query(_recursive(BASE + _edges("sar", 15.0) + _assigned(15.0) + " SELECT s.sar_id, r.relinked_mmsi, round(r.relinked_km,6) relinked_km FROM sar s LEFT JOIN rl r USING (sar_id)"))
@@ -370,11 +374,13 @@ def G_06_relink_full(s, d):
     return relink.relink_window(_sar(s, d), _ais(s, d), "full").select("sar_id", "relinked_mmsi", F.round("relinked_km", 6).alias("relinked_km"))
 
 
-@query(_recursive(BASE + REPAIR + " SELECT coalesce(r.st,'dark_vessel') link_status, count(*) n, count(DISTINCT s.t) n_overpasses FROM sar s LEFT JOIN ln r USING (sar_id) GROUP BY 1"))
+@query(_recursive(BASE + REPAIR + CAND + """ SELECT coalesce(r.st,'dark_vessel') link_status, count(*) n, count(DISTINCT s.t) n_overpasses, round(quantile_cont(CASE WHEN r.st='locked' THEN NULL ELSE coalesce(cn.n,0) END, 0.5),6)::double median_candidates, max(CASE WHEN r.st='locked' THEN NULL ELSE coalesce(cn.n,0) END) max_candidates
+ FROM sar s LEFT JOIN ln r USING (sar_id) LEFT JOIN cn USING (sar_id) GROUP BY 1"""))
 def A_34_relink_summary(s, d):
     sar = _sar(s, d)
-    r = relink.relink_window(sar, _ais(s, d)).join(sar.select("sar_id", "t"), "sar_id")
-    return r.groupBy("link_status").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_overpasses"))
+    r = cut(relink.with_costs(relink.relink_window(sar, _ais(s, d)), sar, _ais(s, d)).join(sar.select("sar_id", "t"), "sar_id").select("link_status", "t", "n_candidates"))
+    q = quantiles(r, "n_candidates", {"median_candidates": 0.5}, "link_status").select("link_status", F.round("median_candidates", 6).alias("median_candidates"), F.col("max").cast("long").alias("max_candidates"))
+    return r.groupBy("link_status").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_overpasses")).join(F.broadcast(q), "link_status")  # a row for each status
 
 
 # calibration

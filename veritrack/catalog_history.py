@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrack.catalog import ANOM, ARTIFACTS, BASE, CLS, DBS, ORACLES, _ais, _classified, _episodes, _recursive, _sar, _triples, hav, query
-from veritrack.operators import cluster, identity, report, score
+from veritrack.catalog import ANOM, BASE, CLS, DBS, FLG, TRIPLE, W_07_S_02_top_ranked, _ais, _classified, _episodes, _recursive, _sar, _triples, hav, query
+from veritrack.operators import cluster, identity, report, routes, score
 from veritrack.plans.lineage import cut
 from veritrack.sources import adapters as src
 from veritrack.sources import files
@@ -99,3 +99,34 @@ gp AS (SELECT m.vessel, m.cluster, min(greatest(0, s.a-o.t_end, o.t_start-s.b))/
 def R_05_J_18_isolation(s, d):
     found, summary = _labelled(s, d)
     return cluster.isolation(found, summary).withColumn("nearest_gap_h", F.round("nearest_gap_h", 6))
+
+
+# routes
+
+CHN = f""", c0 AS (SELECT event_id, mmsi, lat, lon, t_start, event_type, lag(coalesce(t_end,t_start)) OVER w pt, lag(lat) OVER w py, lag(lon) OVER w px, lag(event_type) OVER w pe FROM ev WINDOW w AS (PARTITION BY mmsi ORDER BY t_start, event_id)),
+ch AS (SELECT event_id, mmsi, {hav('py', 'px', 'lat', 'lon')} km, (t_start-pt)/3.6e9 AS hours, pe||'->'||event_type prior_tier FROM c0 WHERE pt IS NOT NULL)"""
+
+
+def _verdict(lim: str) -> str:
+    return f"CASE WHEN hours IS NULL THEN 'UNDETERMINED' WHEN hours<=1.0/60 AND km>=5 THEN 'PHYSICALLY_IMPOSSIBLE' WHEN hours<=1.0/60 AND km>=1 THEN 'IMPLAUSIBLE_BUT_POSSIBLE' WHEN hours<=1.0/60 OR km<1 THEN 'PLAUSIBLE' WHEN km/hours/1.852>45 THEN 'PHYSICALLY_IMPOSSIBLE' WHEN km/hours/1.852>{lim} THEN 'IMPLAUSIBLE_BUT_POSSIBLE' ELSE 'PLAUSIBLE' END"
+
+
+@query("WITH " + EVT + CHN + f" SELECT event_id, mmsi, round(km,6) km, round(hours,6) AS hours, prior_tier, CASE WHEN hours>0 THEN round(km/hours/1.852,6) END required_knots, {_verdict('(CASE WHEN mmsi%6 IN (0,1) THEN 16 ELSE 22 END)')} classification FROM ch")
+def W_02_event_chains(s, d):
+    r = routes.judged(routes.event_chain(src.vessel_events(s, d)), src.particulars(s, d))
+    return r.select("event_id", "mmsi", F.round("km", 6).alias("km"), F.round("hours", 6).alias("hours"), "prior_tier", F.round("required_knots", 6).alias("required_knots"), "classification")
+
+
+@query(BASE + ANOM + FLG + ", " + EVT + CHN + f""", tn AS (SELECT 'trajectory' source, mmsi, {hav('y0', 'x0', 'lat', 'lon')} km, gap12 AS hours, tier prior_tier, gap12 gap_h FROM trc UNION ALL
+ SELECT 'sar_vs_ais', coalesce(mmsi, matched_mmsi), distance_km, time_gap_seconds/3600, classification, time_gap_seconds/3600 FROM clf WHERE distance_km IS NOT NULL UNION ALL SELECT 'event_chain', mmsi, km, hours, prior_tier, NULL FROM ch),
+tj AS (SELECT *, {_verdict("(CASE WHEN mmsi%7=0 THEN 16 ELSE 22 END)")} classification FROM tn),
+wt AS (SELECT vessel FROM con WHERE NOT is_known_artifact ORDER BY flag_rate DESC, total_flags DESC, vessel LIMIT 14),
+pt AS (SELECT 'by_source' part, source item, classification FROM tj UNION ALL SELECT 'by_source', 'TOTAL', classification FROM tj
+ UNION ALL SELECT 'discriminator', CASE WHEN coalesce(gap_h,0)>6 THEN 'explained' ELSE 'unexplained' END, classification FROM tj WHERE source='trajectory' AND classification IN ('PHYSICALLY_IMPOSSIBLE','IMPLAUSIBLE_BUT_POSSIBLE')
+ UNION ALL SELECT 'retro', 'high', classification FROM tj WHERE source='trajectory' AND prior_tier='high' AND gap_h>10 AND mmsi IN (SELECT vessel FROM wt)
+ UNION ALL SELECT 'disagreement', prior_tier, classification FROM tj WHERE prior_tier IN ('high','likely_spoofed'))
+SELECT part, item, classification, count(*) n FROM pt GROUP BY 1,2,3""")
+def A_37_route_summaries(s, d):
+    everything = routes.all_transitions(_triples(s, d), _classified(s, d), src.vessel_events(s, d))
+    kinds = src.table(s, d, "customer").selectExpr("c_custkey AS mmsi", "CASE WHEN c_custkey%7=0 THEN 'FISHING' WHEN c_custkey%5=0 THEN 'OTHER' WHEN c_custkey%3=0 THEN 'TANKER' ELSE 'CARGO' END AS vessel_type")
+    return routes.route_summaries(routes.judged(everything, kinds), W_07_S_02_top_ranked(s, d).select("vessel"))

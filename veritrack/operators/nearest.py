@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import RADIUS_KM, haversine
+from veritrack.plans.lineage import cut
 from veritrack.plans.stages import once
 
 #: Degrees of the largest cells, how many lie side by side in one of the next size, and how often cells open.
@@ -94,6 +95,38 @@ def nearest_rows(probes: DataFrame, rows: DataFrame, id_col: str, window_us: int
     return found.select(F.col("id").alias(id_col), "n.km", F.col("n.m").alias("mmsi"), F.col("n.y").alias("lat"), F.col("n.x").alias("lon"))
 
 
+def count_within(probes: DataFrame, rows: DataFrame, id_col: str, radius_km: float, key: str) -> DataFrame:
+    """``(id, n)``: how many rows of a probe's ``key`` are at most ``radius_km`` away; 0 where none is.
+
+    A cell whose box lies within the radius adds the number of its rows, one
+    whose box lies beyond it adds nothing, and only the others open; pairs are
+    made at the rim alone. Probes and rows without a place count nothing.
+    """
+    side = lambda c: F.floor(F.col(c) * (FAN ** (LEVELS - 1) / ROOT_DEGREES)).cast("long")
+    placed = cut(rows.where("lat is not null and lon is not null").select(F.col(key).alias("_b"), F.col("lat").alias("y"), F.col("lon").alias("x")).withColumn("_y", side("y")).withColumn("_x", side("x")))
+    box = lambda df, y, x, of, n: df.groupBy("_b", y.alias("_y"), x.alias("_x")).agg(*[(F.min if c[1] == "0" else F.max)(of[c]).alias(c) for c in _BOX[:4]], n.alias("n"))
+    levels = [box(placed, F.col("_y"), F.col("_x"), {"y0": "y", "y1": "y", "x0": "x", "x1": "x"}, F.count("*"))]
+    for _ in range(LEVELS - 1):
+        levels.append(box(levels[-1], F.floor(F.col("_y") / FAN), F.floor(F.col("_x") / FAN), {c: c for c in _BOX[:4]}, F.sum("n")))
+    limit = F.pow(F.sin(F.lit(radius_km / RADIUS_KM / 2)), F.lit(2.0))
+    asked = probes.where("lat is not null and lon is not null").select(F.col(id_col).alias("id"), "lat", "lon", F.col(key).alias("_b"))
+    pairs, parts = asked.join(levels[-1], "_b"), []
+    for k in range(LEVELS - 2, -2, -1):
+        low, high = box_distances(F.col("lat"), F.col("lon"), *[F.col(c) for c in _BOX[:4]])
+        inside = F.col("high") <= limit * (1 - 1e-9)
+        met = cut(once(pairs, low=low, high=high).where(F.col("low") <= limit * (1 + 1e-9) + 1e-18).select("id", "lat", "lon", "_b", "_y", "_x", "n", inside.alias("inside")))
+        parts.append(met.where("inside").select("id", "n"))
+        opened = met.where("not inside").select("id", "lat", "lon", "_b", "_y", "_x")
+        if k >= 0:
+            inner = levels[k].withColumn("_u", F.floor(F.col("_y") / FAN)).withColumn("_v", F.floor(F.col("_x") / FAN))
+            pairs = opened.withColumnsRenamed({"_y": "_u", "_x": "_v"}).join(inner, ["_b", "_u", "_v"])
+    rim = opened.join(placed, ["_b", "_y", "_x"]).where(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) <= radius_km).select("id", F.lit(1).cast("long").alias("n"))
+    for part in parts:
+        rim = rim.unionByName(part)
+    counts = rim.groupBy("id").agg(F.sum("n").alias("n"))
+    return probes.select(F.col(id_col).alias("id")).join(counts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def rows_within(probes: DataFrame, rows: DataFrame, radius_km: float, window_us: int, columns: tuple[str, ...]) -> DataFrame:
     """Pairs of probes and rows at most ``radius_km`` and ``window_us`` apart: ``columns`` of the probe, ``other, rt, y, x, km``.
 

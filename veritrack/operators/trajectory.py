@@ -35,7 +35,8 @@ def predict_triples(ais: DataFrame) -> DataFrame:
     still = F.col("speed_kmh") == 0
     rows = once(rows, predicted_lat=F.when(still, F.col("p1.lat")).otherwise(y), predicted_lon=F.when(still, F.col("p1.lon")).otherwise(x))
     rows = once(rows, deviation_km=haversine(F.col("predicted_lat"), F.col("predicted_lon"), F.col("lat"), F.col("lon")))
-    return rows.select("event_id", "mmsi", "t", "lat", "lon", "gap01", "gap12", "speed_kmh", "predicted_lat", "predicted_lon", "deviation_km", deviation_tier(F.col("deviation_km"), F.col("gap12")).alias("tier"))
+    step = haversine(F.col("p1.lat"), F.col("p1.lon"), F.col("lat"), F.col("lon"))
+    return rows.select("event_id", "mmsi", "t", "lat", "lon", "gap01", "gap12", step.alias("step_km"), "speed_kmh", "predicted_lat", "predicted_lon", "deviation_km", deviation_tier(F.col("deviation_km"), F.col("gap12")).alias("tier"))
 
 
 def step_speeds(ais: DataFrame) -> DataFrame:
