@@ -86,3 +86,9 @@ def knee(rows: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     d = F.try_divide(F.abs((F.col("y1") - F.col("y0")) * F.col("x") - (F.col("n") - 1) * (F.col("v") - F.col("y0"))), chord)
     best = points.agg(F.max_by("v", F.struct(F.round(d, 9), -F.col("x"))).alias("k"), F.max("n").alias("n"), F.max("y1").alias("y1"), F.min("y0").alias("y0"))
     return best.select(F.when((F.col("n") < 3) | (F.col("y0") == F.col("y1")), F.col("y1")).otherwise(F.col("k")).alias("knee"))
+
+
+def region_thresholds(rows: DataFrame, region: str, matched: float = 0.5, spoofed: float = 0.99) -> DataFrame:
+    """Thresholds of each of a few regions from ``(region, distance_km)``: ``region, n, matched_km, spoofed_km, confidence``."""
+    q = quantiles(cut(rows.select(region, "distance_km")), "distance_km", {"matched_km": matched, "spoofed_km": spoofed}, region)
+    return q.select(region, "n", "matched_km", "spoofed_km", F.when(F.col("n") >= LEAST_PAIRS, "ok").otherwise("low").alias("confidence"))

@@ -56,3 +56,9 @@ def _local(spark: SparkSession) -> str:
     if not _made:
         _made.append(tempfile.mkdtemp(prefix="lineage-"))
     return _made[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
