@@ -438,13 +438,29 @@ def A_19_agreement(s, d):
 # dwell, scores, baselines, watch-list
 
 
-@query()
+FACILITIES, ANCHORAGES = [("east", 25.72, 55.96), ("west", 26.3, 56.6)], [("north", 26.5, 56.9), ("south", 25.55, 56.2)]
+_FAR = f"list_max(list_transform(list_zip(list_append(ys,lat), list_append(xs,lon)), lambda z: {hav('((sy+lat)/(len(ys)+1))', '((sx+lon)/(len(xs)+1))', 'z[1]', 'z[2]')}))"
+
+
+def _near(places: list) -> str:
+    return "least(" + ", ".join(hav("cy", "cx", f"{y}::double", f"{x}::double") for _, y, x in places) + ")"
+
+
+@query(_recursive(BASE + f""", rw AS (SELECT mmsi, t, lat, lon, row_number() OVER (PARTITION BY mmsi ORDER BY t, lat, lon) i FROM ais),
+dw(mmsi, i, t, ep, ys, xs, sy, sx) AS (SELECT mmsi, i, t, 1, [lat], [lon], lat, lon FROM rw WHERE i=1 UNION ALL
+ SELECT mmsi, i, t, CASE WHEN ok THEN ep ELSE ep+1 END, CASE WHEN ok THEN list_append(ys,lat) ELSE [lat] END, CASE WHEN ok THEN list_append(xs,lon) ELSE [lon] END, CASE WHEN ok THEN sy+lat ELSE lat END, CASE WHEN ok THEN sx+lon ELSE lon END
+ FROM (SELECT rw.mmsi, rw.i, rw.t, rw.lat, rw.lon, ep, ys, xs, sy, sx, (rw.t-dw.t)/3.6e9<=24 AND {_FAR}<=5 ok FROM dw JOIN rw ON rw.mmsi=dw.mmsi AND rw.i=dw.i+1)),
+de AS (SELECT mmsi, ep, min(t) t_start, max(t) t_end, count(*) n_bins, arg_max(sy/len(ys), i) cy, arg_max(sx/len(xs), i) cx FROM dw GROUP BY 1,2),
+df AS (SELECT *, (t_end-t_start)/3.6e9 dur, {_near(FACILITIES)} fk, {_near(ANCHORAGES)} ak, (SELECT greatest((max(t)-min(t))/3.6e9,1.0) FROM ais) span, mmsi%4=0 dom FROM de),
+dg AS (SELECT *, CASE WHEN dur<=48 THEN 'ordinary' WHEN dur<=168 THEN 'extended' ELSE 'prolonged' END dwell_tier, CASE WHEN fk<=25 THEN 'flagged_facility' WHEN ak<=20 THEN 'ordinary_anchorage' ELSE 'open_water' END location_class, dur>=0.95*span resident FROM df WHERE dur>=6)
+SELECT mmsi, t_start, t_end, round(dur,6)::double duration_h, n_bins, dwell_tier, location_class, resident, (CASE dwell_tier WHEN 'ordinary' THEN 0 WHEN 'extended' THEN 1 ELSE 2 END + CASE location_class WHEN 'flagged_facility' THEN 2 WHEN 'open_water' THEN 1 ELSE 0 END + (NOT resident)::int + (location_class='flagged_facility' AND NOT dom)::int)::int dwell_score,
+ CASE WHEN dwell_tier='prolonged' AND NOT resident AND location_class='flagged_facility' AND NOT dom THEN 'prolonged_dwell_at_flagged_facility' WHEN dwell_tier='prolonged' AND NOT resident AND location_class='open_water' THEN 'prolonged_dwell_open_water' ELSE '' END trigger_category, dwell_tier='prolonged' AND NOT resident AND location_class='flagged_facility' AND NOT dom escalate FROM dg"""))
 def W_04_dwell(s, d):
     ais = _ais(s, d)
     e = dwell.dwell_episodes(ais, gap_h=24.0)
     span = ais.agg(((F.max("t") - F.min("t")) / HOUR_US).alias("span"))
-    e = e.crossJoin(F.broadcast(span))
-    e = e.withColumn("facility_km", nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS[:1])["km"]).withColumn("anchorage_km", nearest_of(F.col("lat"), F.col("lon"), HOTSPOTS[1:])["km"]).withColumn("domestic", F.col("mmsi") % 4 == 0)
+    e = e.crossJoin(F.broadcast(span))  # one row
+    e = e.withColumn("facility_km", nearest_of(F.col("lat"), F.col("lon"), FACILITIES)["km"]).withColumn("anchorage_km", nearest_of(F.col("lat"), F.col("lon"), ANCHORAGES)["km"]).withColumn("domestic", F.col("mmsi") % 4 == 0)
     return dwell.dwell_scores(e, F.greatest("span", F.lit(1.0))).select("mmsi", "t_start", "t_end", F.round("duration_h", 6).alias("duration_h"), "n_bins", "dwell_tier", "location_class", "resident", "dwell_score", "trigger_category", "escalate")
 
 
@@ -644,17 +660,17 @@ def SRC_01_SRC_04_report(s, d):
 
 @query("SELECT epoch_us(ts)//3600000000 AS hour, event_type, count(*) n FROM events GROUP BY 1,2")
 def ST_01_tumbling(s, d):
-    return twins.drain(twins.hourly_counts(twins.event_stream(s, d)), "complete")
+    return twins.drain(twins.hourly_counts(twins.event_stream(s, d)))
 
 
 @query("SELECT epoch_us(ts)//3600000000 - k AS hour, event_type, count(*) n FROM events, (VALUES (0),(1)) v(k) GROUP BY 1,2")
 def ST_02_sliding(s, d):
-    return twins.drain(twins.hourly_counts(twins.event_stream(s, d), "2 hours", "1 hour"), "complete")
+    return twins.drain(twins.hourly_counts(twins.event_stream(s, d), "2 hours", "1 hour"))
 
 
 @query("WITH x AS (SELECT user_id, epoch_us(ts) t, CASE WHEN epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 10800000000 THEN 0 ELSE 1 END nw FROM events), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t) run FROM x) SELECT user_id, min(t) t_start, max(t) t_end, count(*) n FROM y GROUP BY user_id, run")
 def ST_03_sessions(s, d):
-    return twins.drain(twins.sessions(twins.event_stream(s, d)), "complete")
+    return twins.drain(twins.sessions(twins.event_stream(s, d)))
 
 
 @query("SELECT DISTINCT user_id, epoch_us(ts)//3600000000 AS hour FROM events")
@@ -664,11 +680,14 @@ def ST_04_dedup(s, d):
 
 @query("SELECT s.event_id sar_id, a.event_id FROM events s JOIN events a ON s.user_id=a.user_id AND s.event_type='view' AND a.event_type<>'view' AND abs(epoch_us(s.ts)-epoch_us(a.ts))<=3600000000")
 def ST_05_interval_join(s, d):
-    e = twins.event_stream(s, d)
-    return twins.drain(twins.interval_join(e.where("event_type = 'view'"), twins.event_stream(s, d).where("event_type <> 'view'")))
+    path = twins.staged(s, d)
+    e = twins.event_stream(s, d, path)
+    return twins.drain(twins.interval_join(e.where("event_type = 'view'"), twins.event_stream(s, d, path).where("event_type <> 'view'")))
 
 
-@query()
+@query("""WITH RECURSIVE pe AS (SELECT user_id, event_id, epoch_us(ts) us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
+pr(user_id, i, last_us, event_id, decision) AS (SELECT user_id, i, us, event_id, 'FRESH_PULL' FROM pe WHERE i=1 UNION ALL SELECT pe.user_id, pe.i, CASE WHEN us-last_us>7*86400000000 THEN us ELSE last_us END, pe.event_id, CASE WHEN us-last_us>7*86400000000 THEN 'FRESH_PULL' ELSE 'CACHE_SKIP' END FROM pr JOIN pe ON pe.user_id=pr.user_id AND pe.i=pr.i+1)
+SELECT event_id, decision FROM pr""")
 def ST_06_pull_state(s, d):
     return twins.drain(twins.pull_state(twins.event_stream(s, d), ttl_days=7.0))
 

@@ -2,45 +2,78 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrack.functions.timeutil import HOUR_US
+from veritrack.functions.timeutil import HOUR_US, with_runs
 
 _R = 6371.0088
 
 
+def stays(t: np.ndarray, y: np.ndarray, x: np.ndarray, radius_km: float) -> list[tuple[int, int, float, float]]:
+    """``(first, end, mean lat, mean lon)`` of runs whose members all stay within ``radius_km`` of each new mean.
+
+    Running sums give the mean. While the box of the members lies within the
+    radius nothing else is looked at, so a moored vessel takes one step a row;
+    otherwise the distinct places of the stay are.
+    """
+    out, start, n = [], 0, len(t)
+    sy = sx = 0.0
+    box, places = [0.0] * 4, {}
+    for i in range(n + 1):
+        if i < n:
+            a, b = float(y[i]), float(x[i])
+            if i > start:
+                cy, cx = (sy + a) / (i - start + 1), (sx + b) / (i - start + 1)
+                wide = [min(box[0], a), max(box[1], a), min(box[2], b), max(box[3], b)]
+                if not _box_within(wide, cy, cx, radius_km):
+                    p = np.array([*places, (a, b)])
+                    if _km(p[:, 0], p[:, 1], cy, cx).max() > radius_km:
+                        out.append((start, i, sy / (i - start), sx / (i - start)))
+                        start, sy, sx, places = i, 0.0, 0.0, {}
+                        wide = [a, a, b, b]
+                box = wide
+            else:
+                box = [a, a, b, b]
+            sy, sx = sy + a, sx + b
+            places[a, b] = None
+        elif n:
+            out.append((start, n, sy / (n - start), sx / (n - start)))
+    return out
+
+
+def _box_within(box: list[float], cy: float, cx: float, radius_km: float) -> bool:
+    """Whether a bound of the distance to the farthest place of a box is within the radius."""
+    dy, dx = max(cy - box[0], box[1] - cy), max(cx - box[2], box[3] - cx)
+    widest = 1.0 if box[0] <= 0 <= box[1] else max(math.cos(math.radians(box[0])), math.cos(math.radians(box[1])))
+    far = math.sin(math.radians(dy) / 2) ** 2 + math.cos(math.radians(cy)) * widest * math.sin(math.radians(min(dx, 180.0)) / 2) ** 2
+    return 2 * _R * math.asin(min(1.0, math.sqrt(far))) <= radius_km * (1 - 1e-9)
+
+
 def dwell_episodes(ais: DataFrame, radius_km: float = 5.0, gap_h: float = 6.0, least_h: float = 6.0) -> DataFrame:
-    """Runs of a vessel within ``radius_km`` of their running centroid.
+    """Runs of a vessel within ``radius_km`` of their running centroid, of ``least_h`` at least.
 
-    Each new row must leave all members within the radius of the new mean, so
-    the walk depends on order and runs in a grouped map by vessel. Rows with a
-    null are left out.
+    Tracks are cut at gaps over ``gap_h`` first, so a group is a stretch of a
+    vessel without a gap and not its whole track; within it the walk depends on
+    order. Rows with a null are left out.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", "lat", "lon"])
         t, y, x = (rows[c].to_numpy() for c in ("t", "lat", "lon"))
-        out, start = [], 0
-
-        def close(end: int) -> None:
-            hours = (t[end - 1] - t[start]) / HOUR_US
+        out = []
+        for first, end, cy, cx in stays(t, y, x, radius_km):
+            hours = (t[end - 1] - t[first]) / HOUR_US
             if hours >= least_h:
-                cy, cx = y[start:end].mean(), x[start:end].mean()
-                out.append((int(rows["mmsi"].iloc[0]), int(t[start]), int(t[end - 1]), hours, end - start, (end - start) / (hours + 1), cy, cx, float(_km(y[start:end], x[start:end], cy, cx).max())))
-
-        for i in range(1, len(t)):
-            cy, cx = y[start : i + 1].mean(), x[start : i + 1].mean()
-            if (t[i] - t[i - 1]) / HOUR_US > gap_h or _km(y[start : i + 1], x[start : i + 1], cy, cx).max() > radius_km:
-                close(i)
-                start = i
-        if len(t):
-            close(len(t))
+                out.append((int(rows["mmsi"].iloc[0]), int(t[first]), int(t[end - 1]), hours, end - first, (end - first) / (hours + 1), cy, cx, float(_km(y[first:end], x[first:end], cy, cx).max())))
         return pd.DataFrame(out, columns=["mmsi", "t_start", "t_end", "duration_h", "n_bins", "continuity", "lat", "lon", "radius_km"])
 
-    return ais.select("mmsi", "t", "lat", "lon").na.drop().groupBy("mmsi").applyInPandas(walk, "mmsi long, t_start long, t_end long, duration_h double, n_bins long, continuity double, lat double, lon double, radius_km double")
+    runs = with_runs(ais.select("mmsi", "t", "lat", "lon").na.drop(), "mmsi", gap_us=round(gap_h * HOUR_US), order=("lat", "lon"))
+    return runs.groupBy("mmsi", "run").applyInPandas(walk, "mmsi long, t_start long, t_end long, duration_h double, n_bins long, continuity double, lat double, lon double, radius_km double")
 
 
 def _km(y, x, cy, cx):

@@ -7,6 +7,7 @@ The functions take streaming or batch DataFrames with an event time ``ts``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from veritrack.plans.lineage import scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-LATE = "30 days"
-
-
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream; zone-less times are read as UTC."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+#: How late a row may be; state older than that is closed and dropped.
+LATE = "2 days"
+#: A row of this type ends a replay: it comes long after the others and closes what they opened.
+END, END_DAYS = "_end", 60
+
+
+def staged(spark: SparkSession, sf_dir: str, parts: int = 6) -> str:
+    """The events table as files in the order of time, in the shared folder, for a replay: ``parts`` of equal span and an end row."""
+    events, path = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), scratch(spark)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        events.write.parquet(path)
+        return path
+    step = (high - low) / parts
+    for k in range(parts):
+        begin, end = F.lit(low + k * step), F.lit(low + (k + 1) * step)
+        events.where((F.col("ts") >= begin) & ((F.col("ts") < end) if k < parts - 1 else F.lit(True))).write.mode("append").parquet(path)
+    events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(high + timedelta(days=END_DAYS)).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(END).alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """The events as a stream of files in the order of time; zone-less times are read as UTC."""
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path or staged(spark, sf_dir))
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return raw.withColumn("us", us).withColumn("ts", F.timestamp_micros("us"))
 
@@ -45,7 +64,7 @@ def sessions(events: DataFrame, gap: str = "3 hours") -> DataFrame:
 def deduplicated(events: DataFrame) -> DataFrame:
     """One row for each vessel and hour, with state bounded by the watermark."""
     hours = events.withColumn("hour", epoch_hour("ts"))
-    return hours.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["user_id", "hour"]).select("user_id", "hour")
+    return hours.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["user_id", "hour"]).where(F.col("event_type") != END).select("user_id", "hour")
 
 
 def interval_join(sar: DataFrame, ais: DataFrame, hours: int = 1) -> DataFrame:
@@ -57,21 +76,31 @@ def interval_join(sar: DataFrame, ais: DataFrame, hours: int = 1) -> DataFrame:
 
 
 def pull_state(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
-    """The cache rule with state by vessel: a row for each event, FRESH_PULL if none was within the TTL before it."""
+    """The cache rule with state by vessel: a row for each event, FRESH_PULL if none was within the TTL before it.
+
+    A timer drops a vessel's state once the watermark is past its TTL: a later
+    event finds none and is a fresh pull, as it would be with the old state.
+    """
+    ttl_ms = int(ttl_days * 86_400_000)
 
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         last = state.get[0] if state.exists else None
         out = []
         for event_id, us in zip(rows["event_id"], rows["us"], strict=True):
-            fresh = last is None or (us - last) / 8.64e10 > ttl_days
+            fresh = last is None or us - last > ttl_days * 8.64e10
             if fresh:
                 last = int(us)
             out.append((event_id, "FRESH_PULL" if fresh else "CACHE_SKIP"))
         state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["event_id", "decision"])
 
-    return events.select("user_id", "event_id", "us").groupBy("user_id").applyInPandasWithState(decide, "event_id long, decision string", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", LATE).where(F.col("event_type") != END).select("user_id", "event_id", "us", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, decision string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
