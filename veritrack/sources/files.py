@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrack.operators.trajectory import norm_type
+from veritrack.plans.lineage import exists
 
 SAR_CSV = "sar_id string, timestamp string, lat double, lon double, mmsi string, ais_matched boolean, ship_name string, flag string, vessel_type string"
 AIS_CSV = "mmsi string, timestamp string, lat double, lon double, ship_name string, flag string, vessel_type string"
@@ -84,12 +85,23 @@ def bootstrap_from_files(spark: SparkSession, path: str, pattern: str = r"histor
     return files.select(F.regexp_extract("path", pattern, 1).try_cast("long").alias("mmsi"), F.col("modificationTime").alias("last_pulled")).where("mmsi is not null")
 
 
+#: The class that a link's state stands for.
+LINK_CLASSES = {"gfw_locked": "matched", "locked": "matched", "relinked": "discrepant", "forced_low_confidence": "likely_spoofed", "dark_vessel": "unmatched"}
+
+
 def window_layouts(classified: DataFrame, relinked: DataFrame) -> DataFrame:
-    """One view of two layouts: ``lat, lon, cls, mmsi, km``."""
-    states = F.create_map(*[F.lit(x) for x in ("gfw_locked", "matched", "locked", "matched", "relinked", "discrepant", "dark", "no_ais_activity")])
-    a = classified.select(F.col("sar_lat").alias("lat"), F.col("sar_lon").alias("lon"), F.col("classification").alias("cls"), F.coalesce("matched_mmsi", "mmsi").alias("mmsi"), F.col("distance_km").alias("km"))
-    b = relinked.select(F.col("sar_lat").alias("lat"), F.col("sar_lon").alias("lon"), F.coalesce(F.try_element_at(states, F.col("link_status")), F.lit("discrepant")).alias("cls"), F.col("relinked_mmsi").alias("mmsi"), F.col("relinked_dist_km").alias("km"))
-    return a.unionByName(b)
+    """One view of two layouts: ``lat, lon, cls, mmsi, name, km``; rows without a place are left out.
+
+    An unknown link state counts as unmatched. A relinked row without a vessel
+    shows the one that it was given.
+    """
+    states = F.create_map(*[F.lit(x) for pair in LINK_CLASSES.items() for x in pair])
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None)
+    place = [F.col("sar_lat").cast("double").alias("lat"), F.col("sar_lon").cast("double").alias("lon")]
+    a = classified.select(*place, F.col("classification").alias("cls"), F.coalesce(has(classified, "matched_mmsi").cast("long"), has(classified, "mmsi").cast("long")).alias("mmsi"), has(classified, "ship_name").cast("string").alias("name"), F.col("distance_km").cast("double").alias("km"))
+    b = relinked.select(*place, F.coalesce(F.try_element_at(states, F.col("link_status")), F.lit("unmatched")).alias("cls"), F.coalesce(F.col("relinked_mmsi").cast("long"), has(relinked, "gfw_mmsi").cast("long")).alias("mmsi"),
+                        F.coalesce(has(relinked, "relinked_name").cast("string"), has(relinked, "gfw_ship_name").cast("string")).alias("name"), F.col("relinked_dist_km").cast("double").alias("km"))
+    return a.unionByName(b).where("lat is not null and lon is not null")
 
 
 SELF_REPORTS = "entries array<struct<selfReportedInfo:array<struct<id:string, ssvid:string, flag:string, shipname:string, imo:string, transmissionDateFrom:string, transmissionDateTo:string, positionsCounter:long>>>>"
@@ -100,3 +112,63 @@ def identity_reports(payloads: DataFrame, key: str = "mmsi", column: str = "json
     e = payloads.select(key, F.explode(F.from_json(column, SELF_REPORTS)["entries"]).alias("e")).select(key, F.explode("e.selfReportedInfo").alias("r"))
     us = lambda c: F.unix_micros(F.try_to_timestamp(f"r.{c}"))
     return e.select(F.col(key).alias("mmsi"), "r.ssvid", "r.id", "r.flag", F.col("r.shipname").alias("name"), "r.imo", us("transmissionDateFrom").alias("t_from"), us("transmissionDateTo").alias("t_to"), F.col("r.positionsCounter").alias("positions"))
+
+
+POSITION_COLUMNS = ("mmsi", "timestamp", "lat", "lon", "ship_name")
+
+
+def slim_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The position columns that a CSV file has, rows without vessel, time or place left out; no other column is parsed."""
+    raw = spark.read.option("header", True).csv(path)
+    d = raw.select(*[c for c in POSITION_COLUMNS if c in raw.columns])
+    d = d.withColumn("mmsi", F.col("mmsi").try_cast("double").cast("long")).withColumn("timestamp", F.try_to_timestamp("timestamp"))
+    return d.withColumn("lat", F.col("lat").try_cast("double")).withColumn("lon", F.col("lon").try_cast("double")).na.drop(subset=["mmsi", "timestamp", "lat", "lon"])
+
+
+def deep_history(spark: SparkSession, path: str, pattern: str = r"history_(\d+)") -> DataFrame:
+    """Kept event histories, a CSV file or folder for each vessel, the vessel by name of its file; unreadable times are null."""
+    d = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    d = d.withColumn("mmsi", F.regexp_extract(F.input_file_name(), pattern, 1).try_cast("long"))
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    return d.select("mmsi", "event_type", F.try_to_timestamp("start").alias("start"), F.try_to_timestamp("end").alias("end"), number("lat"), number("lon"), number("duration_hrs"))
+
+
+def escalating_dwell(spark: SparkSession, path: str) -> DataFrame:
+    """Dwell episodes of a flags file that escalate and have a place."""
+    d = spark.read.option("header", True).csv(path).where(F.col("escalate").try_cast("boolean"))
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    return d.select(F.col("mmsi").try_cast("long").alias("mmsi"), "ship_name", number("lat"), number("lon"), number("duration_h")).na.drop(subset=["lat", "lon"])
+
+
+def dwell_flag_events(episodes: DataFrame, window: str) -> DataFrame:
+    """Escalating episodes as flag events, one count for each vessel, with a name that it was seen under."""
+    return episodes.where("mmsi is not null").groupBy("mmsi").agg(F.count("*").alias("flagged_events"), F.max("ship_name").alias("ship_name")).select(
+        "mmsi", F.lit(window).alias("window"), F.lit(True).alias("observed"), "flagged_events", F.lit("prolonged_dwell_at_flagged_facility").alias("event_type"), "ship_name")
+
+
+CALIBRATION = "region string, derived_thresholds struct<matched_km:double, likely_spoofed_km:double>, sar_ais_distance_calibration struct<confirmed_pair_percentiles_km:map<string,double>, likely_spoofed_tail_check:struct<p95_km:double>, n_confirmed_identity_pairs:long, n_confirmed_identity_pairs_pre_screen:long, confidence:string>"
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of stored calibration reports, a document a file, that views need."""
+    return calibration_fields(spark.read.schema(CALIBRATION).option("multiLine", True).json(path))
+
+
+def calibration_fields(d: DataFrame) -> DataFrame:
+    """The fields of calibration reports that views need; a field that a report lacks is null."""
+    c, t = "sar_ais_distance_calibration", "derived_thresholds"
+    return d.select("region", f"{t}.matched_km", f"{t}.likely_spoofed_km", f"{c}.likely_spoofed_tail_check.p95_km", F.col(f"{c}.n_confirmed_identity_pairs").alias("n_confirmed"), F.col(f"{c}.n_confirmed_identity_pairs_pre_screen").alias("n_pre_screen"), F.col(f"{c}.confidence").alias("confidence"), F.col(f"{c}.confirmed_pair_percentiles_km").alias("percentiles"))
+
+
+def cache_or_fetch(spark: SparkSession, path: str, fetch=None) -> DataFrame:
+    """What is kept at ``path``; without it what ``fetch`` brings, kept from now on. Without either an error: nothing is fetched unasked."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        if fetch is None:
+            raise FileNotFoundError(f"nothing is kept at {path} and fetching is not allowed")
+        fetch().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def file_audit(spark: SparkSession, expected: list[tuple[str, str]]) -> DataFrame:
+    """``label, path, present`` of a list of expected files."""
+    return spark.createDataFrame([(label, path, exists(spark, path)) for label, path in expected], "label string, path string, present boolean")
