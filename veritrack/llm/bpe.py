@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veritrack.llm.kernels import slices
 
 #: Most determinised moves that a Python worker keeps, beyond which it starts anew, and most pieces in each of two generations.
-MOST_MOVES, MOST_PIECES = 400_000, 250_000
+MOST_MOVES, MOST_PIECES = 400_000, 200_000
 
 
 _NEVER = 1 << 60
@@ -284,8 +284,12 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
         find, cache, tokens = _codec(shared.value, pattern)
         packed_of = cache.__getitem__
         for part in slices(batches):
-            ids = [b"".join(map(packed_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
-            back = [streamed(memoryview(x).cast("I"), tokens) for x in ids]
+            gc.disable()  # states and moves are many and hold no cycles
+            try:
+                ids = [b"".join(map(packed_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
+                back = [streamed(memoryview(x).cast("I"), tokens) for x in ids]
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "token_ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids binary, decoded binary")
