@@ -53,16 +53,6 @@ def test_ids_are_decoded_by_the_state_machine(text, step):
     assert streamed(ids, TRANSDUCER.tokens, step) == text.encode()
 
 
-def test_generations_of_pieces(monkeypatch):
-    from veritrack.llm import bpe
-
-    monkeypatch.setattr(bpe, "MOST_PIECES", 3)
-    cache = PieceCache(TRANSDUCER)
-    for piece in (" one", " two", " three", " four", " one", " five", " six", " seven", " one", " two"):
-        assert list(struct.unpack(f"<{len(cache[piece]) // 4}I", cache[piece])) == REFERENCE.encode_ordinary(piece)
-        assert len(cache) <= 3 and len(cache.before) <= 3
-
-
 def test_ascii_pattern():
     import re
 

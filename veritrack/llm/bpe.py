@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from veritrack.llm.kernels import slices
 
-#: Most determinised moves that a Python worker keeps, beyond which it starts anew, and most pieces in each of two generations.
-MOST_MOVES, MOST_PIECES = 400_000, 200_000
+#: Most determinised moves and most pieces that a Python worker keeps; beyond it starts anew, which gives whole arenas back.
+MOST_MOVES, MOST_PIECES = 400_000, 400_000
 
 
 _NEVER = 1 << 60
@@ -183,16 +183,12 @@ class PieceCache(dict):
     def __init__(self, transducer: MergeTransducer) -> None:
         super().__init__()
         self.transducer = transducer
-        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.before.get(piece)
-        if packed is None:
-            ids = self.transducer.encode(piece.encode())
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.transducer.encode(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= MOST_PIECES:  # what is still used moves over from the generation before
-                self.before = dict(self)
+            if len(self) >= MOST_PIECES:
                 self.clear()
             self[piece] = packed
         return packed
