@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrack.functions.geo import bearing, haversine, nearest_of
 from veritrack.functions.timeutil import HOUR_US, with_runs
-from veritrack.operators import calibrate, cluster, dwell, match, nearest, relink, report, score, screen, trajectory, window_run
+from veritrack.operators import calibrate, cluster, dwell, match, nearest, relink, report, score, screen, trajectory
 from veritrack.operators.quantiles import quantiles
 from veritrack.plans.lineage import cut
 from veritrack.sources import adapters as src
@@ -320,15 +320,6 @@ def A_07_by_source(s, d):
     return _episodes(s, d).select(F.explode(F.split("sources", ";")).alias("source"), "n_pings").groupBy("source").agg(F.count("*").alias("n_episodes"), F.sum("n_pings").alias("n_pings"))
 
 
-@query()
-def G_02_parameter_sweep(s, d):
-    from functools import reduce
-
-    e = cut(_episodes(s, d))
-    runs = [cluster.st_dbscan(e, km, h, 2).agg(F.count_if(F.col("cluster") < 0).alias("noise"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters")).select(F.lit(km).alias("eps_km"), F.lit(h).alias("eps_h"), "clusters", "noise") for km in (5.0, 8.0) for h in (1.0, 4.0)]
-    return reduce(DataFrame.unionByName, runs)
-
-
 # relinking
 
 
@@ -636,13 +627,6 @@ def S_05_seeded_sample(s, d):
 # orchestration, sources
 
 
-@query()
-def R_01_window_run(s, d):
-    r = window_run.run_window(_sar(s, d), _ais(s, d), types=("CARGO", "OTHER", "TANKER"))
-    c = r.clusters.groupBy((F.col("cluster") >= 0).alias("clustered")).agg(F.count("*").alias("n"))
-    return c.select(F.concat(F.lit("episodes_clustered_"), F.col("clustered").cast("string")).alias("what"), "n").union(r.classified.groupBy("classification").count()).union(r.kept_links.groupBy(F.concat(F.lit("kept_"), F.col("keep").cast("string"))).count())
-
-
 def _payloads(s, d):
     """Report payloads made from the events, one document for each vessel."""
     row = F.struct(F.col("mmsi").cast("string").alias("mmsi"), F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm").alias("date"), "lat", "lon", F.col("ship_name").alias("shipName"), F.col("vessel_type").alias("vesselType"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrack.catalog import ANOM, BASE, CLS, DBS, FLG, TRIPLE, W_07_S_02_top_ranked, _ais, _classified, _episodes, _recursive, _sar, _triples, hav, query
+from veritrack.catalog import ANOM, BASE, CLS, DBS, FLG, W_07_S_02_top_ranked, _ais, _classified, _episodes, _recursive, _sar, _triples, hav, query
 from veritrack.operators import cluster, identity, report, routes, score
 from veritrack.plans.lineage import cut
 from veritrack.sources import adapters as src

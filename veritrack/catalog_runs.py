@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrack.catalog import ANOM, ARTIFACTS, BASE, CHANGE, CLS, EDGE, KEEP, REPAIR, TRACK, _ais, _classified, _identity, _recursive, _sar, _triples, hav, query
+from veritrack.catalog import ANOM, ARTIFACTS, BASE, CLS, REPAIR, _ais, _classified, _identity, _recursive, _sar, _triples, hav, query
 from veritrack.operators import calibrate, cluster, compare, match, relink, screen, watchlist
 from veritrack.plans.lineage import cut, scratch
 from veritrack.sources import adapters as src
@@ -36,7 +36,7 @@ def _watch_runs(s, d):
     seed = src.table(s, d, "customer").where("c_custkey % 10 in (3, 4)").selectExpr(
         "c_custkey AS mmsi", "CAST(NULL AS LONG) AS first_pulled", f"CASE WHEN c_custkey % 10 = 3 THEN {_BASE_US - 5 * DAY} END AS last_pulled", "1L AS pull_count", "0L AS reflag_count", "CAST(NULL AS LONG) AS last_reflag", "array('seed') AS flagged_windows", "'seed' AS last_decision", "CAST(NULL AS LONG) AS last_n_events")
     log, decisions = seed, None
-    for k in [*range(RUNS)]:
+    for k in range(RUNS):
         for _ in range(2 if k == 1 else 1):
             run = watchlist.run_watchlist(flagged.where(F.col("k") == k), log, pulls, f"w{k}", _BASE_US + k * STEP_DAYS * DAY, f"run{k}", BUDGET, artifacts=ARTIFACTS)
             kept = watchlist.keep_run(run, s, folder, f"run{k}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import haversine
@@ -26,6 +26,16 @@ def near_port_crosstab(rows: DataFrame, by: str, near: Column) -> DataFrame:
     return out.withColumn("pct", 100.0 * F.col("near") / F.col("total"))
 
 
+def sampled_near_share(rows: DataFrame, by: tuple[str, ...], key: str, near: str, size: int, seed: int = 42) -> DataFrame:
+    """Of each group the pool, a seeded sample of at most ``size`` rows, and how many of the sample are near; the sample is the feature."""
+    w = Window.partitionBy(*by)
+    order = w.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key)
+    pool = rows.groupBy(*by).agg(F.count("*").alias("pool"))
+    some = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
+    out = some.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(near).alias("n_near"))
+    return pool.join(out, list(by)).withColumn("pct", 100.0 * F.col("n_near") / F.col("n"))
+
+
 def window_stats(summary: DataFrame, episodes: DataFrame) -> DataFrame:
     """One row on the clusters of a window: counts by coherence, rates for 100 episodes, medians and maxima of the genuine ones.
 
