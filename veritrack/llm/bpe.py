@@ -124,34 +124,45 @@ class MergeTransducer:
         return known
 
     def _name(self, state: tuple) -> int:
-        name = self.names.get(state)
-        if name is None:
-            name = self.names[state] = len(self.states)
+        name = self.names.setdefault(state, len(self.states))
+        if name == len(self.states):
             self.states.append(state)
-            self.ends.append(next((held for _, held, node in state if node == 0), ()))
+            for _, held, node in state:
+                if not node:
+                    self.ends.append(held)
+                    break
+            else:
+                self.ends.append(())
         return name
 
     def _determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         found = []
-        child, token_at, fits = self.child, self.token_at, self._fits
+        child, token_at, edges, pairs = self.child, self.token_at, self.edges, self.pairs
         for last, held, node in self.states[state]:
             below = child.get(node << 8 | byte)
-            if below is not None:
-                found.append((last, held, below))
-                token = token_at[below]
-                if token >= 0 and self._edges(token) and (last < 0 or fits(last, token)):
-                    found.append((token, (*held, token), 0))
+            if below is None:
+                continue
+            found.append((last, held, below))
+            token = token_at[below]
+            if token < 0 or not (edges[token] if token in edges else self._edges(token)):
+                continue
+            if last >= 0:
+                fits = pairs.get(last << 32 | token)
+                if not (self._fits(last, token) if fits is None else fits):
+                    continue
+            found.append((token, (*held, token), 0))
         emitted = found[0][1]
-        for _, held, _ in found:
-            if held != emitted:
-                n = 0
-                for x, y in zip(held, emitted):
-                    if x != y:
-                        break
-                    n += 1
-                emitted = emitted[:n]
-            if not emitted:
-                break
+        if emitted:
+            for _, held, _ in found:
+                if held != emitted:
+                    n = 0
+                    for x, y in zip(held, emitted):
+                        if x != y:
+                            break
+                        n += 1
+                    emitted = emitted[:n]
+                if not emitted:
+                    break
         if emitted:
             n = len(emitted)
             found = [(last, held[n:], node) for last, held, node in found]
