@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veritrack.llm.kernels import slices
 
 #: Most determinised moves and most pieces that a Python worker keeps; beyond it starts anew, which gives whole arenas back.
-MOST_MOVES, MOST_PIECES = 400_000, 400_000
+MOST_MOVES, MOST_PIECES = 700_000, 300_000
 
 
 _NEVER = 1 << 60
