@@ -76,7 +76,7 @@ def _paths(alias: str) -> str:
 
 
 @query(_recursive(BASE + REPAIR + OWN2 + ", " + _thresholds("t1", "kept WHERE true", "distance_km") + ", " + _thresholds("t2", "d2", "km") + f""", x AS ({_paths("t1")} UNION ALL SELECT 'screen.n_kept', (SELECT count(*) FROM kept WHERE keep)), y AS ({_paths("t2")} UNION ALL SELECT 'relink.n_dark', (SELECT count(*) FROM sar WHERE sar_id NOT IN (SELECT sar_id FROM ln)))
-SELECT path, round(x.v,6)::double AS before, round(y.v,6)::double AS after, round(y.v-x.v,6)::double delta, CASE WHEN x.v IS NULL THEN 'added' WHEN y.v IS NULL THEN 'removed' WHEN round(x.v,6)=round(y.v,6) THEN 'same' ELSE 'changed' END status FROM x FULL JOIN y USING (path)"""))
+SELECT path, round(x.v,6)::double AS before, round(y.v,6)::double AS after, round(round(y.v,6)-round(x.v,6),6)::double delta, CASE WHEN x.v IS NULL THEN 'added' WHEN y.v IS NULL THEN 'removed' WHEN round(x.v,6)=round(y.v,6) THEN 'same' ELSE 'changed' END status FROM x FULL JOIN y USING (path)"""))
 def G_06_R_14_recalibration(s, d):
     """The calibration of the links as given against that of the relinked ones, by path."""
     sar, ais = _sar(s, d), _ais(s, d)

@@ -99,8 +99,9 @@ def pull_state(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
         state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["event_id", "decision"])
 
-    rows = events.withWatermark("ts", LATE).where(F.col("event_type") != END).select("user_id", "event_id", "us", "ts")
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, decision string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    # the end row of a replay moves the watermark, so it is left out only afterwards
+    rows = events.withWatermark("ts", LATE).select("user_id", "event_id", "us", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, decision string", "last long", "append", GroupStateTimeout.EventTimeTimeout).where("event_id >= 0")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
