@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veritrack.llm.kernels import slices
 
-#: Most determinised moves and most pieces that a Python worker keeps; beyond it starts anew, which gives whole arenas back.
+#: Most determinised moves and most pieces that a Python worker keeps unless told otherwise; beyond it starts anew, which gives whole arenas back.
 MOST_MOVES, MOST_PIECES = 700_000, 300_000
 
 
@@ -40,8 +40,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeTransducer:
     """Compiles merge ranks; ``encode`` gives the ids of one piece of text."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = MOST_MOVES) -> None:
+        self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at = [-1]
@@ -174,7 +174,7 @@ class MergeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) > MOST_MOVES:
+        if len(self.moves) > self.most_moves:
             self.reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
@@ -191,15 +191,15 @@ class MergeTransducer:
 class PieceCache(dict):
     """Piece of text to its ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, transducer: MergeTransducer) -> None:
+    def __init__(self, transducer: MergeTransducer, most: int = MOST_PIECES) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most = transducer, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = packed
         return packed
@@ -260,22 +260,22 @@ def ascii_pattern(pattern: str) -> str:
     return out
 
 
-_made: dict[tuple[str, int], tuple] = {}
+_made: dict[tuple, tuple] = {}
 
 
-def _codec(ranks: dict[bytes, int], pattern: str):
+def _codec(ranks: dict[bytes, int], pattern: str, most_moves: int, most_pieces: int):
     """This worker's compiled codec, made once."""
-    key = (pattern, hash(frozenset(ranks.items())))
+    key = (pattern, hash(frozenset(ranks.items())), most_moves, most_pieces)
     if key not in _made:
         _made.clear()
-        transducer = MergeTransducer(ranks)
+        transducer = MergeTransducer(ranks, most_moves)
         plain, full = re.compile(ascii_pattern(pattern)).findall, regex.compile(pattern).findall
-        _made[key] = (lambda text: plain(text) if text.isascii() else full(text), PieceCache(transducer), transducer.tokens)
+        _made[key] = (lambda text: plain(text) if text.isascii() else full(text), PieceCache(transducer, most_pieces), transducer.tokens)
         gc.freeze()  # the tables hold no cycles
     return _made[key]
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, most_moves: int = MOST_MOVES, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Token ids of every text and the bytes that they decode to.
 
     Returns ``doc_id, token_ids, decoded`` with a row for each row of ``docs``:
@@ -284,11 +284,13 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
     or empty text has no ids and no bytes. Repeated rows and null ids of
     documents are kept, other columns ignored; an empty table gives no rows.
     The ranks, whose size the file bounds, go to the executors as a broadcast.
+    ``most_moves`` and ``most_pieces`` bound what a worker remembers and so its
+    memory; they change the time and never the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, cache, tokens = _codec(shared.value, pattern)
+        find, cache, tokens = _codec(shared.value, pattern, most_moves, most_pieces)
         packed_of = cache.__getitem__
         for part in slices(batches):
             gc.disable()  # states and moves are many and hold no cycles
