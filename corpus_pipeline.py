@@ -19,6 +19,8 @@ from veritrack.llm.quality_knn import fit_quality, score_quality
 from veritrack.plans.lineage import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Moves and pieces that the last stage's workers remember: they hold the models of the stages before it too.
+MOST_MOVES, MOST_PIECES = 400_000, 400_000
 #: Documents whose language is less certain than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -76,7 +78,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded bytes; a null text has none."""
     _small_batches(spark)
-    encoded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, MOST_MOVES, MOST_PIECES)
     return token_digests(encoded)
 
 
