@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritrack.functions.geo import haversine
 from veritrack.functions.timeutil import HOUR_US, with_runs
 from veritrack.operators.intervals import stab
+from veritrack.operators.nearest import rows_within
 from veritrack.plans.components import connected_components
 from veritrack.plans.lineage import cut
 
@@ -32,15 +33,11 @@ def episodes(pings: DataFrame, gap_us: int = 3 * HOUR_US) -> DataFrame:
 def neighbours(e: DataFrame, eps_km: float = 8.0, eps_h: float = 2.0) -> DataFrame:
     """Pairs ``(a, b)`` of episodes within both radii, inclusive, each with itself.
 
-    Buckets of time and of latitude are the equi keys; the distance is the
-    residual, so work follows local density and no nested loop is planned.
+    Buckets of time and cells of latitude and longitude are the equi keys, so
+    work follows local density and no nested loop is planned.
     """
-    w, deg = int(eps_h * HOUR_US), eps_km / 111.0 + 1e-9
-    cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
-    base = e.select(F.col("episode_id").alias("b"), F.col("t").alias("tb"), F.col("lat").alias("yb"), F.col("lon").alias("xb"), cell("t", w).alias("_t"), cell("lat", deg).alias("_y"))
-    spread = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    probe = e.select(F.col("episode_id").alias("a"), "t", "lat", "lon", spread(cell("t", w)).alias("_t"), cell("lat", deg).alias("_c")).withColumn("_y", spread(F.col("_c")))
-    return probe.join(base, ["_t", "_y"]).where((F.abs(F.col("t") - F.col("tb")) <= w) & (haversine(F.col("lat"), F.col("lon"), F.col("yb"), F.col("xb")) <= eps_km)).select("a", "b")
+    near = rows_within(e, e.withColumn("mmsi", F.col("episode_id")), eps_km, int(eps_h * HOUR_US), ("episode_id",))
+    return near.select(F.col("episode_id").alias("a"), F.col("other").alias("b"))
 
 
 def st_dbscan(e: DataFrame, eps_km: float = 8.0, eps_h: float = 2.0, min_pts: int = 2) -> DataFrame:
