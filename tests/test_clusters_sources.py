@@ -64,6 +64,6 @@ def test_upsert_writes_a_new_version(spark, tmp_path):
 
 def test_stream_equals_batch(spark):
     d = "/root/testdata/sf0.001"
-    stream = {tuple(r) for r in twins.drain(twins.sessions(twins.event_stream(spark, d)), "complete").select("user_id", "n").groupBy("user_id").agg(F.sum("n")).collect()}
+    stream = {tuple(r) for r in twins.drain(twins.sessions(twins.event_stream(spark, d))).select("user_id", "n").groupBy("user_id").agg(F.sum("n")).collect()}
     batch = {tuple(r) for r in spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").count().collect()}
     assert stream == batch
