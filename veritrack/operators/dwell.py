@@ -63,17 +63,21 @@ def dwell_episodes(ais: DataFrame, radius_km: float = 5.0, gap_h: float = 6.0, l
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "lat", "lon"])
-        t, y, x = (rows[c].to_numpy() for c in ("t", "lat", "lon"))
-        out = []
-        for first, end, cy, cx in stays(t, y, x, radius_km):
-            hours = (t[end - 1] - t[first]) / HOUR_US
-            if hours >= least_h:
-                out.append((int(rows["mmsi"].iloc[0]), int(t[first]), int(t[end - 1]), hours, end - first, (end - first) / (hours + 1), cy, cx, float(_km(y[first:end], x[first:end], cy, cx).max())))
+        rows = rows.sort_values(["run", "t", "lat", "lon"])
+        run, t, y, x = (rows[c].to_numpy() for c in ("run", "t", "lat", "lon"))
+        edges, out = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(t)], []
+        for begin, stop in zip(edges, edges[1:], strict=False):
+            for first, end, cy, cx in stays(t[begin:stop], y[begin:stop], x[begin:stop], radius_km):
+                first, end = first + begin, end + begin
+                hours = (t[end - 1] - t[first]) / HOUR_US
+                if hours >= least_h:
+                    out.append((int(rows["mmsi"].iloc[0]), int(t[first]), int(t[end - 1]), hours, end - first, (end - first) / (hours + 1), cy, cx, float(_km(y[first:end], x[first:end], cy, cx).max())))
         return pd.DataFrame(out, columns=["mmsi", "t_start", "t_end", "duration_h", "n_bins", "continuity", "lat", "lon", "radius_km"])
 
     runs = with_runs(ais.select("mmsi", "t", "lat", "lon").na.drop(), "mmsi", gap_us=round(gap_h * HOUR_US), order=("lat", "lon"))
-    return runs.groupBy("mmsi", "run").applyInPandas(walk, "mmsi long, t_start long, t_end long, duration_h double, n_bins long, continuity double, lat double, lon double, radius_km double")
+    # a few stretches share a group, as a group has a cost of its own
+    some = runs.withColumn("part", F.expr("run div 64"))
+    return some.groupBy("mmsi", "part").applyInPandas(walk, "mmsi long, t_start long, t_end long, duration_h double, n_bins long, continuity double, lat double, lon double, radius_km double")
 
 
 def _km(y, x, cy, cx):
