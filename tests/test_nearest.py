@@ -109,3 +109,29 @@ def test_count_within_equals_all_pairs(spark, kind):
     for radius in (1.0, 150.0, 6000.0):
         got = {r.id: r.n for r in count_within(a, b, "id", radius, "k").collect()}
         assert got == {**{i: int(((km(py[i], px[i], ry, rx) <= radius) & (rk == pk[i])).sum()) for i in range(80)}, 900: 0}
+
+
+def test_probes_among_rows_meet_few_of_them(spark):
+    import pandas as pd
+
+    from veritrack.operators import nearest
+
+    rng = np.random.default_rng(12)
+    n = 6000
+    y, x = rng.integers(2550, 2700, n) / 100, rng.integers(5550, 5700, n) / 100
+    ais = spark.createDataFrame(pd.DataFrame({"event_id": np.arange(n), "mmsi": np.arange(n) % 3000, "hour": 7, "lat": y, "lon": x}))
+    asked = ais.selectExpr("event_id AS id", "0L AS t", "lat", "lon", "mmsi AS own", "hour AS _b")
+    placed = ais.selectExpr("hour AS _b", "0L AS rt", "mmsi AS m", "lat AS y", "lon AS x")
+    tried = nearest._from_own_cells(nearest._bounded(asked, placed, True).where("k is not null"), placed, None, True)
+    got = {r.id: r.n.km for r in tried.collect()}
+    assert len(got) > 0.99 * n and joined_rows(tried) < 60 * n  # the large cells alone made over 500 pairs a probe
+    for i in range(0, n, 397):
+        other = np.arange(n) % 3000 != i % 3000
+        assert i not in got or abs(got[i] - km(y[i], x[i], y[other], x[other]).min()) < 1e-6
+
+
+def test_a_crowded_cell_is_left_to_the_large_cells(spark):
+    rows = [(m, 7, 26 + 1e-6 * m, 56.0) for m in range(400)]
+    ais = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, mmsi long, hour long, lat double, lon double")
+    got = {r.event_id: (r.mmsi, round(r.km * 1e4)) for r in nearest_rows(ais, ais, "event_id", others=True).collect()}
+    assert len(got) == 400 and all(abs(m - i) == 1 and d == 1 for i, (m, d) in got.items())
