@@ -18,6 +18,13 @@ def test_components(spark):
     assert [tuple(r) for r in connected_components(chain).groupBy("component").count().collect()] == [(0, 61)]
 
 
+def test_components_of_a_large_graph(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(101, 100), (101, 102), (103, 102), (5, 5)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    got = connected_components(e, large=True).groupBy("component").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 41), (100, 4)]
+
+
 def pings(spark, rows):
     return spark.createDataFrame([(v, t, float(y), float(x), "likely_spoofed") for v, t, y, x in rows], "vessel long, t long, lat double, lon double, source string")
 
@@ -67,3 +74,49 @@ def test_stream_equals_batch(spark):
     stream = {tuple(r) for r in twins.drain(twins.sessions(twins.event_stream(spark, d))).select("user_id", "n").groupBy("user_id").agg(F.sum("n")).collect()}
     batch = {tuple(r) for r in spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").count().collect()}
     assert stream == batch
+
+
+def plain_dbscan(rows, eps_km, eps_us, least):
+    """Clusters by all pairs; rows are ``id, t, lat, lon``."""
+    import numpy as np
+
+    from test_nearest import km
+
+    ids, t, y, x = (np.array([r[i] for r in rows]) for i in range(4))
+    near = (km(y[:, None], x[:, None], y, x) <= eps_km) & (abs(t[:, None] - t) <= eps_us)
+    core = near.sum(1) >= least
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[near[i] & core].min() if core[i] else label[i] for i in range(len(rows))])
+        if (new == label).all():
+            break
+        label = new
+    first = {}
+    for i in np.flatnonzero(core):
+        first[label[i]] = min(first.get(label[i], (t[i], ids[i])), (t[i], ids[i]))
+    number = {part: n for n, part in enumerate(sorted(first, key=first.get))}
+    return {ids[i]: number[label[i]] if core[i] else min((number[label[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(rows))}
+
+
+def test_dbscan_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for y, x, wide, n in ((26.0, 56.0, 0.35, 150), (-0.01, 179.98, 0.06, 30), (65.0, -20.0, 0.5, 60), (26.0, 56.0, 0.02, 60)):
+        for i in range(n):
+            lon = x + rng.normal() * wide
+            rows.append((f"{len(rows)}-1", int(rng.integers(0, 12 * H)), float(y + rng.normal() * wide), float((lon + 180) % 360 - 180)))
+    e = spark.createDataFrame(rows, "episode_id string, t long, lat double, lon double")
+    for eps_km, eps_h, least in ((8.0, 2.0, 2), (5.0, 1.0, 4)):
+        got = {r.episode_id: r.cluster for r in cluster.st_dbscan(e, eps_km, eps_h, least).collect()}
+        assert got == plain_dbscan(rows, eps_km, int(eps_h * H), least)
+
+
+def test_dbscan_writes_no_pairs_of_a_crowd(spark, monkeypatch):
+    written, cut = [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda df: written.append(cut(df)) or written[-1])
+    n = 3000
+    e = spark.range(n).selectExpr("concat(id, '-1') AS episode_id", "id * 1000 AS t", "26 + id * 1e-6 AS lat", "56D AS lon")
+    assert cluster.st_dbscan(e).where("cluster = 0").count() == n
+    assert sum(table.count() for table in written) < 20 * n  # all pairs are 9,000,000
