@@ -129,3 +129,35 @@ def test_range_join_is_not_a_nested_loop(spark):
     p = match.range_join(sar(spark, [(1, H, 0, 0)]).select("sar_id", "t"), track(spark, [(1, 0, 0, 0)]).select(F.col("t").alias("rt")), H)
     assert p.count() == 1
     assert "NestedLoop" not in p._jdf.queryExecution().toString()
+
+
+def test_crowded_overpass_writes_few_links(spark):
+    # one instant, three detections and many vessels: beyond the three nearest none is needed, as the links are dealt over cells
+    t = track(spark, [(m, h * H, 0, m * 1e-5) for m in range(1, 400) for h in (0, 2)])
+    d = sar(spark, [(None, H, 0, 0), (None, H, 0, 0), (None, H, 0, 0)])
+    pool = d.select("sar_id", "t", "lat", "lon", F.lit(3).cast("long").alias("n"))
+    assert relink.candidate_edges(pool, t, 15.0).count() <= 3 * 3 * 4
+    assert sorted(r.relinked_mmsi for r in relink.relink(d, t).collect()) == [1, 2, 3]
+
+
+def test_candidates_are_counted_over_cells_and_the_date_line(spark):
+    # vessels 1 and 2 are near, 2 beyond the date line, 3 is beyond the radius, 4 has no fix within three hours, 5 is taken
+    t = track(spark, [(m, h * H, 0, x) for m, x in ((1, 179.2), (2, -179.9), (3, 178.5), (5, 179.7)) for h in (0, 2)] + [(4, -4 * H, 0, 179.7), (4, 6 * H, 0, 179.7)])
+    d = sar(spark, [(None, H, 0, 179.7)])
+    held = spark.createDataFrame([(9, 5, H)], "sar_id long, mmsi long, t long")
+    assert [r.n for r in relink.candidates_in_radius(d, t, held).collect()] == [2]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 14), st.integers(0, 40)), min_size=1, max_size=70, unique_by=lambda r: r[:2]))
+def test_cheapest_links_equal_the_whole_assignment(rows):
+    import numpy as np
+
+    d, v, km = (np.array(c) for c in zip(*rows, strict=True))
+    km = km.astype(float) / 2
+    pick = relink.cheapest(d, v, km, 15.0)
+    assert len(set(d[pick])) == len(set(v[pick])) == len(pick)
+    cost = np.full((7, 22), 1e7)
+    cost[d, v], cost[np.arange(7), 15 + np.arange(7)] = km, 15.0
+    best = cost[np.arange(7), relink.assign(cost)].sum()
+    assert km[pick].sum() + 15.0 * (7 - len(pick)) == pytest.approx(best)
