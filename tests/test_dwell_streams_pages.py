@@ -67,6 +67,30 @@ def test_late_rows_of_a_replay_are_whole(spark):
     assert got == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_a_trigger_takes_a_part_of_a_replay_whole(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    path = twins.staged(spark, str(tmp_path), file_rows=60)
+    stream = twins.event_stream(spark, str(tmp_path), path)
+    q = twins.pull_state(stream, 3.0).writeStream.outputMode("append").format("memory").queryName("parts").option("checkpointLocation", str(tmp_path / "parts")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 7  # six parts and the end row
+    got, last = {}, {}
+    for u, e, us in sorted(events.selectExpr("user_id", "event_id", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS us").collect(), key=lambda r: (r.us, r.event_id)):
+        fresh = u not in last or us - last[u] > 3 * 86_400_000_000
+        got[e] = "FRESH_PULL" if fresh else "CACHE_SKIP"
+        if fresh:
+            last[u] = us
+    assert {tuple(r) for r in spark.table("parts").collect()} == set(got.items())
+
+
+def test_few_rows_still_fill_the_files_of_a_part(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(9).write.parquet(str(tmp_path / "events.parquet"))
+    path = twins.staged(spark, str(tmp_path), parts=3, file_rows=1)
+    assert len(spark.read.schema(twins.EVENTS).parquet(path).inputFiles()) == 3 * 3 + 1
+    assert twins.drain(twins.pull_state(twins.event_stream(spark, str(tmp_path), path))).count() == 9
+
+
 def test_pages_are_followed_by_a_task_a_folder(spark, tmp_path):
     rows = spark.range(25).select((F.col("id") % 3).alias("day"), F.lit("a=b/c").alias("tile"), "id", F.struct("id").alias("row"))
     path = str(tmp_path / "pages")

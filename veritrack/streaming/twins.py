@@ -6,9 +6,11 @@ The functions take streaming or batch DataFrames with an event time ``ts``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +23,48 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 LATE = "2 days"
 #: A row of this type ends a replay: it comes long after the others and closes what they opened.
 END, END_DAYS = "_end", 60
+#: Rows of a part of a replay that make a file.
+FILE_ROWS = 500_000
 
 
-def staged(spark: SparkSession, sf_dir: str, parts: int = 6) -> str:
-    """The events table as files in the order of time, in the shared folder, for a replay: ``parts`` of equal span and an end row."""
-    events, path = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), scratch(spark)
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+def staged(spark: SparkSession, sf_dir: str, parts: int = 6, file_rows: int = FILE_ROWS) -> str:
+    """The events table as files in the order of time, in the shared folder, for a replay: ``parts`` of equal span and an end row.
+
+    Every part has the same number of files, which ends the path's name, so that
+    a trigger takes a part whole: the next part would move the watermark past
+    rows that were left behind, and each trigger looks at all state once.
+    """
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    low, high, n = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    files = max(1, -(-n // (parts * file_rows)))
+    path = f"{scratch(spark)}-{files}"
     if low is None:
         events.write.parquet(path)
         return path
-    step = (high - low) / parts
+    step, none, held = (high - low) / parts, spark.createDataFrame([], EVENTS), 0
     for k in range(parts):
         begin, end = F.lit(low + k * step), F.lit(low + (k + 1) * step)
-        events.where((F.col("ts") >= begin) & ((F.col("ts") < end) if k < parts - 1 else F.lit(True))).write.mode("append").parquet(path)
+        events.where((F.col("ts") >= begin) & ((F.col("ts") < end) if k < parts - 1 else F.lit(True))).repartition(files).write.mode("append").parquet(path)
+        before, held = held, _count_files(spark, path)
+        if held - before > files:
+            raise ValueError(f"{held - before} files of a part that should have {files}")
+        for _ in range(files - held + before):  # few rows leave some files out
+            none.write.mode("append").parquet(path)
+        held = before + files
     events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(high + timedelta(days=END_DAYS)).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(END).alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props")).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """The events as a stream of files in the order of time; zone-less times are read as UTC."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path or staged(spark, sf_dir))
+def _count_files(spark: SparkSession, path: str) -> int:
+    return len(spark.read.schema(EVENTS).parquet(path).inputFiles())
+
+
+def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """The events as a stream of files in the order of time, by default a part of ``staged`` a trigger; zone-less times are read as UTC."""
+    path = path or staged(spark, sf_dir)
+    named = re.search(r"-(\d+)/*$", path)
+    files = files_per_trigger or (int(named[1]) if named else 1)
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return raw.withColumn("us", us).withColumn("ts", F.timestamp_micros("us"))
 
@@ -75,33 +99,40 @@ def interval_join(sar: DataFrame, ais: DataFrame, hours: int = 1) -> DataFrame:
     return s.join(a, (F.col("mmsi") == F.col("a_mmsi")) & near).select("sar_id", "event_id")
 
 
-def pull_state(events: DataFrame, ttl_days: float = 30.0) -> DataFrame:
+def pull_state(events: DataFrame, ttl_days: float = 30.0, shards: int = 512) -> DataFrame:
     """The cache rule with state by vessel: a row for each event, FRESH_PULL if none was within the TTL before it.
 
-    A timer drops a vessel's state once the watermark is past its TTL: a later
-    event finds none and is a fresh pull, as it would be with the old state.
+    Vessels share ``shards`` groups, as a call for each vessel costs more than
+    its rows. A vessel's state is dropped once the watermark is past its TTL, by
+    the next call of its group or by the group's timer: a later event finds none
+    and is a fresh pull, as it would be with the old state.
     """
-    ttl_ms = int(ttl_days * 86_400_000)
+    ttl_us = ttl_days * 8.64e10
 
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        last = state.get[0] if state.exists else None
-        out = []
-        for event_id, us in zip(rows["event_id"], rows["us"], strict=True):
-            fresh = last is None or us - last > ttl_days * 8.64e10
-            if fresh:
-                last = int(us)
-            out.append((event_id, "FRESH_PULL" if fresh else "CACHE_SKIP"))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["event_id", "decision"])
+        rows = pd.concat(list(batches))
+        user, event, us = (rows[c].to_numpy() for c in ("user_id", "event_id", "us"))
+        order = np.lexsort((event, us, user))
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        fresh = np.zeros(len(order), bool)
+        for k, (u, t) in enumerate(zip(user[order].tolist(), us[order].tolist(), strict=True)):
+            if u not in last or t - last[u] > ttl_us:
+                last[u], fresh[k] = t, True
+        now = state.getCurrentWatermarkMs()
+        last = {u: t for u, t in last.items() if t + ttl_us >= now * 1000}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp(max(int(max(last.values()) + ttl_us) // 1000, now) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"event_id": event[order], "decision": np.where(fresh, "FRESH_PULL", "CACHE_SKIP")})
 
     # the end row of a replay moves the watermark, so it is left out only afterwards
-    rows = events.withWatermark("ts", LATE).select("user_id", "event_id", "us", "ts")
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, decision string", "last long", "append", GroupStateTimeout.EventTimeTimeout).where("event_id >= 0")
+    rows = events.withWatermark("ts", LATE).select(F.pmod(F.xxhash64("user_id"), F.lit(shards)).alias("shard"), "user_id", "event_id", "us", "ts")
+    return rows.groupBy("shard").applyInPandasWithState(decide, "event_id long, decision string", "users array<long>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout).where("event_id >= 0")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
