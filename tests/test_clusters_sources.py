@@ -120,3 +120,11 @@ def test_dbscan_writes_no_pairs_of_a_crowd(spark, monkeypatch):
     e = spark.range(n).selectExpr("concat(id, '-1') AS episode_id", "id * 1000 AS t", "26 + id * 1e-6 AS lat", "56D AS lon")
     assert cluster.st_dbscan(e).where("cluster = 0").count() == n
     assert sum(table.count() for table in written) < 20 * n  # all pairs are 9,000,000
+
+
+def test_a_history_is_one_file_whatever_the_tasks(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = spark.range(0, 60, 1, 6).selectExpr("id % 5 AS mmsi", "'port_visit' AS event_type", "'2024-01-01T00:00:00Z' AS start", "CAST(NULL AS STRING) AS end", "1.0D AS lat", "2.0D AS lon", "3.0D AS duration_hrs")
+    files.keep_histories(rows, path)
+    assert files.bootstrap_from_files(spark, f"{path}/*", r"history_(\d+)").count() == 5
+    assert {tuple(r) for r in files.deep_history(spark, path).groupBy("mmsi").count().collect()} == {(k, 12) for k in range(5)}
