@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrack.operators.dwell import _km, stays
-from veritrack.sources.report_pages import folder_value, read_pages, write_pages
+from veritrack.sources.report_pages import Folder, PageReader, folder_value, read_pages, write_pages
 from veritrack.streaming import twins
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,17 @@ def test_pages_are_followed_by_a_task_a_folder(spark, tmp_path):
     assert {(p.day, p.page_offset): p.j.nextOffset for p in pages}["0", 8] is None
 
 
+def test_pages_are_handed_over_by_size(tmp_path, monkeypatch):
+    monkeypatch.setattr("veritrack.sources.report_pages.BATCH_CHARS", 250)
+    for offset in range(7):
+        folder = tmp_path / "day=1" / f"offset={offset}"
+        folder.mkdir(parents=True)
+        (folder / "page.json").write_text(json.dumps({"entries": "x" * 70, "nextOffset": offset + 1 if offset < 6 else None}))
+    got = list(PageReader({"path": str(tmp_path), "levels": "1"}).read(Folder(str(tmp_path), "day=1")))
+    assert [b.num_rows for b in got] == [3, 3, 1]
+    assert [o for b in got for o in b.column("page_offset").to_pylist()] == list(range(7))
+
+
 def test_broken_chains_fail(spark, tmp_path):
     for name, pages in (("circle", {0: 4, 4: 0}), ("missing", {0: 4})):
         for offset, following in pages.items():

@@ -11,11 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "folder string, page_offset long, json string"
+#: Characters of pages from which on they are handed over; Spark itself would hold 10,000 pages of any size.
+BATCH_CHARS = 4_000_000
 
 
 class Folder(InputPartition):
@@ -53,19 +56,24 @@ class PageReader(DataSourceReader):
             names = [f"{n}/{c}".lstrip("/") for n in names for c in _children(system, f"{root}/{n}".rstrip("/"))]
         return [Folder(self.path, n) for n in names]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks for one partition where there is no folder
             return
         system, root = _open(partition.path)
-        offset, seen = 0, set()
+        offset, seen, held, chars = 0, set(), [], 0
         while offset is not None:
             if offset in seen:
                 raise ValueError(f"the pages of {partition.name} go in a circle at offset {offset}")
             seen.add(offset)
             folder = f"{root}/{partition.name}/offset={offset}"
             text = "".join(system.open_input_stream(f"{folder}/{c}").readall().decode() for c in _children(system, folder))
-            yield partition.name, offset, text.strip()
+            held.append((offset, text.strip()))
+            chars += len(text)
             offset = json.loads(text).get("nextOffset")
+            if offset is None or chars >= BATCH_CHARS:
+                offsets, texts = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.name] * len(held), pa.string()), pa.array(offsets, pa.int64()), pa.array(texts, pa.string())], ["folder", "page_offset", "json"])
+                held, chars = [], 0
 
 
 class ReportPages(DataSource):
