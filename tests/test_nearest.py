@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from veritrack.functions.timeutil import HOUR_US
-from veritrack.operators.nearest import count_within, nearest_rows, rows_within
+from veritrack.operators.nearest import count_within, met_within, nearest_rows, rows_within
 
 
 def km(y0, x0, y1, x1):
@@ -135,3 +135,48 @@ def test_a_crowded_cell_is_left_to_the_large_cells(spark):
     ais = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, mmsi long, hour long, lat double, lon double")
     got = {r.event_id: (r.mmsi, round(r.km * 1e4)) for r in nearest_rows(ais, ais, "event_id", others=True).collect()}
     assert len(got) == 400 and all(abs(m - i) == 1 and d == 1 for i, (m, d) in got.items())
+
+
+@pytest.mark.parametrize("kind", ["globe", "date line", "stack", "ports"])
+def test_vessels_met_equal_all_pairs(spark, kind):
+    rng = np.random.default_rng(len(kind) + 7)
+    (py, px), (ry, rx) = world(rng, 80, kind), world(rng, 200, kind)
+    pt, rt = (rng.integers(-3 * HOUR_US, 3 * HOUR_US, n) // (HOUR_US // 4) * (HOUR_US // 4) for n in (80, 200))
+    rm = rng.integers(1, 20, 200)
+    a = spark.createDataFrame([(i, int(pt[i]), float(py[i]), float(px[i])) for i in range(80)] + [(900, 0, None, 1.0)], "id long, t long, lat double, lon double")
+    b = spark.createDataFrame([(int(rm[i]), int(rt[i]), float(ry[i]), float(rx[i])) for i in range(200)] + [(None, 0, 26.0, 56.0), (3, None, 26.0, 56.0), (3, 0, None, 56.0)], "mmsi long, t long, lat double, lon double")
+    for radius in (20.0, 150.0):
+        want = {}
+        for i in range(80):
+            for j in range(200):
+                d = float(km(py[i], px[i], ry[j], rx[j]))
+                if abs(pt[i] - rt[j]) <= HOUR_US and d <= radius:
+                    want[i, int(rm[j])] = min(d, want.get((i, int(rm[j])), d))
+        rows = met_within(a, b, radius, HOUR_US, ("id",)).collect()
+        got = {(r.id, r.other): r.km for r in rows}
+        assert len(rows) == len(got) and set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-9 * max(1.0, want[k]) + 1e-6 for k in got)
+
+
+def test_pairs_of_vessels_are_not_shuffled(spark, monkeypatch):
+    """The only exchanges of a rendezvous are the two before its join: 200 detections and 200 vessels in one place make 40,000 pairs."""
+    from veritrack import catalog
+
+    a = spark.range(200).selectExpr("id AS sar_id", "id + 1000 AS mmsi", "0L AS t", "26D AS lat", "56D AS lon")
+    b = spark.range(200).selectExpr("id AS mmsi", "0L AS t", "26D AS lat", "56.01D AS lon")
+    monkeypatch.setattr(catalog, "_sar", lambda s, d: a)
+    monkeypatch.setattr(catalog, "_ais", lambda s, d: b)
+    met = catalog.J_11_J_17_rendezvous(spark, "")
+    assert len(met.collect()) == 40_000
+
+    def written(node) -> int:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return written(node.executedPlan())
+        if "QueryStage" in name:
+            return written(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        children = node.children()
+        return own + sum(written(children.apply(i)) for i in range(children.size()))
+
+    assert written(met._jdf.queryExecution().executedPlan()) < 10_000
