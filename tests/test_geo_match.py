@@ -161,3 +161,18 @@ def test_cheapest_links_equal_the_whole_assignment(rows):
     cost[d, v], cost[np.arange(7), 15 + np.arange(7)] = km, 15.0
     best = cost[np.arange(7), relink.assign(cost)].sum()
     assert km[pick].sum() + 15.0 * (7 - len(pick)) == pytest.approx(best)
+
+
+def test_identity_links_search_no_nearest_row(spark, monkeypatch):
+    from veritrack import catalog
+    from veritrack.operators import match
+
+    sf = "/root/testdata/sf0.001"
+    rows = catalog._classified(spark, sf).where("time_gap_seconds is not null").select("sar_id", "distance_km").collect()
+    assert rows
+
+    def searched(*args, **kwargs):
+        raise AssertionError("the nearest rows are searched")
+
+    monkeypatch.setattr(match, "nearest_rows", searched)
+    assert sorted(map(tuple, catalog._identity(spark, sf).collect())) == sorted(map(tuple, rows))

@@ -81,10 +81,11 @@ def G_06_R_14_recalibration(s, d):
     """The calibration of the links as given against that of the relinked ones, by path."""
     sar, ais = _sar(s, d), _ais(s, d)
     six = lambda c: F.round(c, 6).alias(c)
-    before = calibrate.distance_thresholds(screen.keep_links(_identity(s, d), sar, ais))
-    links = cut(relink.relink_window(sar, ais))
+    screened = cut(screen.keep_links(_identity(s, d), sar, ais))
+    before = calibrate.distance_thresholds(screened)
+    links = cut(relink.relink_window(sar, ais, "repair", screened))
     relinked = relink.relinked_detections(sar, links)
-    pairs = match.match_and_classify(relinked.where("mmsi is not null"), ais).where("time_gap_seconds is not null").select("distance_km", F.lit(True).alias("keep"))
+    pairs = match.identity_links(relinked, ais).select("distance_km", F.lit(True).alias("keep"))
     after = calibrate.distance_thresholds(pairs).crossJoin(F.broadcast(links.agg(F.count_if(F.col("link_status") == "dark_vessel").alias("n_dark"))))  # one row each
     old = before.select(F.col("raw_p50").alias("matched_km"), F.col("raw_p99").alias("spoofed_km"), F.col("n_pairs").alias("n"), "n_kept").select(F.struct(six("matched_km"), six("spoofed_km")).alias("distance"), F.struct("n").alias("pairs"), F.struct("n_kept").alias("screen"))
     new = after.select(F.struct(six("matched_km"), six("spoofed_km")).alias("distance"), F.struct(F.col("n_pairs").alias("n")).alias("pairs"), F.struct("n_dark").alias("relink"))
@@ -95,5 +96,5 @@ def G_06_R_14_recalibration(s, d):
 @query(BASE + CLS + " SELECT mmsi%3 region, count(*) n, round(quantile_cont(distance_km,0.5),6) matched_km, round(quantile_cont(distance_km,0.99),6) spoofed_km, CASE WHEN count(*)>=200 THEN 'ok' ELSE 'low' END confidence FROM clf WHERE time_gap_seconds IS NOT NULL GROUP BY 1")
 def R_12_region_thresholds(s, d):
     """Thresholds of each region side by side; vessels fall into three regions here."""
-    rows = _classified(s, d).where("time_gap_seconds is not null").select((F.col("mmsi") % 3).alias("region"), "distance_km")
+    rows = match.identity_links(_sar(s, d), _ais(s, d)).select((F.col("mmsi") % 3).alias("region"), "distance_km")
     return calibrate.region_thresholds(rows, "region").select("region", "n", F.round("matched_km", 6).alias("matched_km"), F.round("spoofed_km", 6).alias("spoofed_km"), "confidence")
