@@ -91,3 +91,19 @@ def test_corrected_pairs(spark):
     assert got[6].named_lat == 11.0 and got[6].named_km == pytest.approx(111.2, abs=0.1) and got[6].tail_outlier
     assert (got[7].named_km, got[7].relinked_lat, got[7].tail_outlier) == (None, None, False)
     assert report.corrected_pairs(links.where("sar_id > 9"), track).count() == 0
+
+
+@pytest.mark.parametrize("name", ["A_37_route_summaries", "P_15_top_semi_join", "R_06_cross_window"])
+def test_detections_are_classified_once(spark, monkeypatch, name):
+    from veritrack import catalog, catalog_history
+
+    calls, whole = [], catalog._classified(spark, "/root/testdata/sf0.001").limit(50).persist()
+
+    def counted(s, d):
+        calls.append(d)
+        return whole
+
+    for module in (catalog, catalog_history):
+        monkeypatch.setattr(module, "_classified", counted)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
