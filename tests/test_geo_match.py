@@ -140,6 +140,47 @@ def test_crowded_overpass_writes_few_links(spark):
     assert sorted(r.relinked_mmsi for r in relink.relink(d, t).collect()) == [1, 2, 3]
 
 
+def test_copies_of_a_vessel_are_one_link(spark):
+    # 30 detections of an instant near 300 vessels with one track: a link each to their site, where each had one to its 30 nearest vessels
+    t = track(spark, [(m, h * H, 0, h * 0.01) for m in range(300, 0, -1) for h in (0, 2)])
+    d = sar(spark, [(None, H, 0, 0.01 + i * 1e-4) for i in range(30)])
+    pool = d.select("sar_id", "t", "lat", "lon", F.lit(30).cast("long").alias("n"))
+    assert relink.candidate_edges(pool, t, 15.0).count() == 30
+    assert sorted(r.relinked_mmsi for r in relink.relink(d, t).collect()) == list(range(1, 31))
+
+
+@pytest.mark.parametrize("first,seed", [(1, 1), (1, 2), (8, 3)])
+def test_relinking_costs_what_the_whole_assignment_costs(spark, monkeypatch, first, seed):
+    # vessels share places or cross between far fixes, some are taken; a single nearest site is seldom enough
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(relink, "FIRST", first)
+    monkeypatch.setattr(relink, "OVERPASS", 1000 if seed != 2 else 3)
+    r = random.Random(seed)
+    rows, where = [], {}
+    for m in range(1, 25):
+        x, step = r.randrange(8) / 100, r.choice([0, 0, 0, 0.2])
+        rows += [(m, 0, 0, x - step), (m, 2 * H, 0, x + step)] + ([(m, 3 * H, 0, x)] if m % 2 else [])
+        where[m] = (x, step == 0 or m % 2)
+    spots = [(1 + i if i < 4 else None, H, 0, r.randrange(900) / 1e4) for i in range(20)]
+    locked = spark.createDataFrame([(0,), (2,)], "sar_id long")
+    d = sar(spark, spots)
+    got = {x.sar_id: x for x in relink.relink(d, track(spark, rows), locked).collect()}
+    assert len(got) == 20 and {got[0].relinked_mmsi, got[2].relinked_mmsi} == {1, 3}
+    linked = [x.relinked_mmsi for x in got.values() if x.relinked_mmsi]
+    assert len(linked) == len(set(linked))
+    free, vessels = [i for i in range(20) if i not in (0, 2)], [m for m in where if m not in (1, 3)]
+    km = np.array([[2 * 6371.0088 * math.asin(abs(math.sin(math.radians(spots[i][3] - where[m][0]) / 2))) if where[m][1] else 1e6 for m in vessels] for i in free])
+    cost = np.c_[np.where(km <= 5, km, 1e6), np.full((len(free), len(free)), 5.0)]
+    best = cost[np.arange(len(free)), relink.assign(cost)].sum()
+    assert sum(5.0 if got[i].relinked_km is None else got[i].relinked_km for i in free) == pytest.approx(best)
+    for i in free:
+        if got[i].relinked_mmsi:
+            assert got[i].relinked_km == pytest.approx(km[free.index(i), vessels.index(got[i].relinked_mmsi)])
+
+
 def test_candidates_are_counted_over_cells_and_the_date_line(spark):
     # vessels 1 and 2 are near, 2 beyond the date line, 3 is beyond the radius, 4 has no fix within three hours, 5 is taken
     t = track(spark, [(m, h * H, 0, x) for m, x in ((1, 179.2), (2, -179.9), (3, 178.5), (5, 179.7)) for h in (0, 2)] + [(4, -4 * H, 0, 179.7), (4, 6 * H, 0, 179.7)])
