@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veritrack.functions.geo import bearing, destination, haversine
-from veritrack.operators import dwell, match, relink, screen, trajectory
+from veritrack.operators import dwell, match, passing, relink, screen, trajectory
 from veritrack.operators.calibrate import knee
 from veritrack.operators.match import interpolate, match_and_classify, tier
 
@@ -149,6 +149,17 @@ def test_copies_of_a_vessel_are_one_link(spark):
     assert sorted(r.relinked_mmsi for r in relink.relink(d, t).collect()) == list(range(1, 31))
 
 
+def test_candidates_are_counted_by_sites(spark, monkeypatch):
+    # 300 vessels with one track, 7 of them taken at the instant of the first detection: two fixes and a piece of the free, a piece cut in two of the taken
+    t = track(spark, [(m, h * H, 0, h * 0.01) for m in range(1, 301) for h in (0, 2)])
+    d = sar(spark, [(None, H, 0, 0.01), (None, H + 60_000_000, 0, 0.01)])
+    held = spark.createDataFrame([(100 + m, m, H) for m in range(1, 8)], "sar_id long, mmsi long, t long")
+    met, meet = [], passing.meet
+    monkeypatch.setattr(passing, "meet", lambda spots, rows, *rest: met.append(rows.count()) or meet(spots, rows, *rest))
+    assert {r.sar_id: r.n for r in relink.candidates_in_radius(d, t, held).collect()} == {0: 293, 1: 300}
+    assert met == [5]
+
+
 @pytest.mark.parametrize("first,seed", [(1, 1), (1, 2), (8, 3)])
 def test_relinking_costs_what_the_whole_assignment_costs(spark, monkeypatch, first, seed):
     # vessels share places or cross between far fixes, some are taken; a single nearest site is seldom enough
